@@ -77,10 +77,11 @@ PAYLOAD = "op string, branch_id bigint, identity_id string, revision_id string,
 def decoded_changes(wal: DataFrame) -> DataFrame:
     """(branch_id, identity_id, seq, op, value) of each log_id of which any row reached Committed.
 
-    A payload is undamaged if the CRC-32 of its text, after base64, is the row's checksum; all others are passed over.
+    A payload is undamaged if the CRC-32 of its text, before or after base64, is the row's checksum; others are passed over.
     """
     raw = F.when(F.col("payload").startswith("b64:"), F.expr("try_to_binary(substring(payload, 5), 'base64')")).otherwise(F.col("payload").cast("binary"))
-    sound = F.lpad(F.lower(F.hex(F.crc32(raw))), 8, "0") == F.lower(F.trim("payload_checksum"))
+    said = F.lower(F.trim("payload_checksum"))
+    sound = (F.lpad(F.lower(F.hex(F.crc32(F.col("payload").cast("binary")))), 8, "0") == said) | (F.lpad(F.lower(F.hex(F.crc32(raw))), 8, "0") == said)
     j = F.from_json(F.when(sound, raw.cast("string")), PAYLOAD)
     m = wal.select("log_id", (F.lower(F.trim("phase")) == "committed").alias("committed"), j.alias("j")).select(
         "log_id", "committed", F.lower(F.trim(F.coalesce("j.mutation.op", "j.op"))).alias("said"),
