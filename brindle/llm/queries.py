@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode_corpus
 from brindle.llm.leaks import leaks
+from brindle.llm.readability import reading_levels
 from brindle.llm.splitting import LIMIT, split_bodies
 from brindle.sources.tables import table
 
@@ -44,7 +45,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_pieces, p7_ids, p8_found, p8_report)}
+# --- p9: reading level
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each kind have which level."""
+    levels = p9_found(spark, d).join(table(spark, d, "documents").select("doc_id", "doc_kind"), "doc_id")
+    return levels.groupBy("doc_kind", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_pieces, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL: dict[str, str] = {
     "p4_found": """
