@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode_corpus
 from brindle.llm.leaks import leaks
+from brindle.llm.neighbors import nearest, similar_pairs
 from brindle.llm.readability import reading_levels
 from brindle.llm.splitting import LIMIT, split_bodies
 from brindle.sources.tables import table
 
+# --- p2: most similar vectors
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "vectors"), 0.9).drop("cosine")
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar vectors of every vector whose body_hash, as a number, is divisible by 50."""
+    by_50 = F.pmod(F.conv(F.substring("body_hash", -8, 8), 16, 10).cast("bigint") + F.lit(46) * F.conv(F.substring("body_hash", -16, 8), 16, 10).cast("bigint"), F.lit(50)) == 0
+    return nearest(table(spark, d, "vectors"), by_50)
+
+
 # --- p4: splitting oversized items at natural boundaries
 
 
@@ -58,9 +72,16 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.groupBy("doc_kind", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_pieces, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_pieces, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL: dict[str, str] = {
+    "p2_found": """
+WITH v AS (SELECT DISTINCT lower(trim(model_id)) AS model_id, body_hash, CAST(embedding AS DOUBLE[]) AS e FROM vectors WHERE trim(model_id) <> '' AND len(embedding) > 0),
+sizes AS (SELECT model_id, len(e) AS n, count(*) AS c FROM v GROUP BY ALL), usual AS (SELECT model_id, arg_max(n, c) AS n FROM sizes GROUP BY 1),
+u AS (SELECT v.model_id, body_hash, e FROM v JOIN usual USING (model_id) WHERE len(e) = n AND NOT isnan(list_sum(e)) AND isfinite(list_sum(e)) AND list_dot_product(e, e) > 0),
+s AS (SELECT a.model_id, a.body_hash AS x, b.body_hash AS y, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.model_id = b.model_id AND a.body_hash <> b.body_hash),
+best AS (SELECT *, row_number() OVER (PARTITION BY model_id, x ORDER BY round(c, 7) DESC, y) AS no FROM s)
+SELECT model_id, least(x, y) AS body_hash_a, greatest(x, y) AS body_hash_b FROM best WHERE no <= 10 AND c >= 0.9 GROUP BY ALL HAVING count(*) = 2""",
     "p4_found": """
 WITH large AS (SELECT DISTINCT body_hash, bytes FROM bodies WHERE octet_length(bytes) > 4096),
 lines AS (SELECT body_hash, unnest(string_split_regex(regexp_replace(hex(bytes), '(..)', '\\1 ', 'g'), '0D 0A |0A |0D ')) AS line FROM large)
