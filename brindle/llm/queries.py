@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.ids import plain_id
 from brindle.llm.bpe import encode_corpus
+from brindle.llm.handwritten import not_handwritten
 from brindle.llm.leaks import leaks
 from brindle.llm.neighbors import nearest, similar_pairs
 from brindle.llm.readability import reading_levels
@@ -23,7 +25,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar vectors of every vector whose body_hash, as a number, is divisible by 50."""
-    by_50 = F.pmod(F.conv(F.substring("body_hash", -8, 8), 16, 10).cast("bigint") + F.lit(46) * F.conv(F.substring("body_hash", -16, 8), 16, 10).cast("bigint"), F.lit(50)) == 0
+    digits = [F.conv(F.substring("body_hash", 8 * i + 1, 8), 16, 10).cast("bigint") * pow(2, 32 * (7 - i), 50) for i in range(8)]
+    by_50 = F.pmod(sum(digits[1:], digits[0]), F.lit(50)) == 0
     return nearest(table(spark, d, "vectors"), by_50)
 
 
@@ -40,6 +43,24 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_bodies(table(spark, d, "bodies")).dropDuplicates(["chunk_id"])
 
 
+# --- p5: generated, minified and vendored files
+
+
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "revisions")
+    own = F.when(F.col("qualified_name") == F.col("file_path"), plain_id("body_hash", 64))
+    return not_handwritten(r.select("file_path", own.alias("body_hash")), table(spark, d, "bodies"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d).select("file_path")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many files are not hand-written, by kind."""
+    return _not_handwritten(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 # --- p7: encoding the corpus
 
 
@@ -72,7 +93,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.groupBy("doc_kind", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_pieces, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_kinds, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
 
 SQL: dict[str, str] = {
     "p2_found": """
