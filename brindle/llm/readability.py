@@ -7,11 +7,13 @@ regression turns its scores into levels.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,9 @@ FOREIGN = frozenset(
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~)[^\n]*\n.*?(?:\n[ \t]*\1[^\n]*(?=\n|$)|\Z)", re.S)
 _ASIDE = re.compile(r"[,;]?\s*(?:\(?\s*(?:e\.g\.|i\.e\.|cf\.|see)\s*)?`[^`\n]{1,200}`\s*\)?")
 _CITED = re.compile(r",?\s*\(?\s*(?:e\.g\.|cf\.)\s+[\w./:-]+\s*\)?|\s+since v?\d+(?:\.\d+)+")
-_SYMBOL = re.compile(r"\S*(?:::|\w\(\)|[A-Za-z0-9]_[A-Za-z0-9]|[A-Za-z]{2,}[./][A-Za-z]{2,}|https?://)\S*")
+_MAY_CITE = re.compile(r"e\.g\.|cf\.|since")
+_SYMBOL = re.compile(r"::|\w\(\)|[A-Za-z0-9]_[A-Za-z0-9]|[A-Za-z]{2,}[./][A-Za-z]{2,}|https?://")
+_MAY_BE_SYMBOL = re.compile(r"[:(_./]")
 _MARKS = re.compile(r"[*_~\"“”„«»()\[\]<>|]+")
 _BULLET = re.compile(r"^\s*(?:[-*+•>]+|\d+[.)])\s+")
 _KEYWORD = r"(?:import|from|def|class|func|fn|function|return|public|private|static|export|const|let|var|package|use|assert|raise|throw|for|if|elif|else|while|try|except|catch|finally|with|switch|case|await|break|continue|pass|end)\b"
@@ -61,7 +65,8 @@ def paragraphs(text: str | None) -> list[list[str]]:
 
     def close() -> None:
         if block:
-            prose = _MARKS.sub(" ", _SYMBOL.sub(" ", " ".join(block)))
+            words = [w for w in " ".join(block).split() if not (_MAY_BE_SYMBOL.search(w) and _SYMBOL.search(w))]
+            prose = _MARKS.sub(" ", " ".join(words))
             got = [s for s in _SENTENCE.split(prose) if s.strip()]
             if got:
                 out.append(got)
@@ -73,7 +78,8 @@ def paragraphs(text: str | None) -> list[list[str]]:
         elif re.match(r"\s*#{1,6}\s", line):
             close()
         else:
-            bare = _CITED.sub("", _ASIDE.sub("", line))
+            bare = _ASIDE.sub("", line) if "`" in line else line
+            bare = _CITED.sub("", bare) if _MAY_CITE.search(bare) else bare
             item = _BULLET.match(bare)
             if item:
                 close()
@@ -99,6 +105,7 @@ def english(text: str | None) -> list[list[str]]:
     return out
 
 
+@lru_cache(100_000)
 def syllables(word: str) -> int:
     n = len(_VOWELS.findall(word))
     return max(1, n - (word.endswith("e") and not word.endswith("le") and n > 1))
@@ -114,12 +121,12 @@ def features(sentences: list[list[str]], lexicon: dict[str, float]) -> list[floa
     content = [w for w in words if w not in ENGLISH] or words or ["a"]
     lengths = [len(s) for s in sentences] or [0]
     graded = [lexicon[w] for w in content if w in lexicon]
-    by_sentence = [float(np.mean(g)) for s in sentences if (g := [lexicon[w] for w in s if w in lexicon and w not in ENGLISH])]
+    by_sentence = [sum(g) / len(g) for s in sentences if (g := [lexicon[w] for w in s if w in lexicon and w not in ENGLISH])]
     return [
-        float(np.log1p(np.mean(lengths))), float(np.mean([x > 18 for x in lengths])), sum(w in ("and", "which", "that", "whose", "if", "because") for w in words) / n,
+        math.log1p(sum(lengths) / len(lengths)), sum(x > 18 for x in lengths) / len(lengths), sum(w in ("and", "which", "that", "whose", "if", "because") for w in words) / n,
         sum(map(len, content)) / len(content), sum(len(w) >= 8 for w in content) / len(content), sum(len(w) >= 12 for w in content) / len(content),
-        sum(map(syllables, content)) / len(content), float(np.mean(graded)) if graded else 0.0,
-        float(np.mean([g > 0.5 for g in by_sentence])) if by_sentence else 0.0, float(np.mean([g < -0.5 for g in by_sentence])) if by_sentence else 0.0,
+        sum(map(syllables, content)) / len(content), sum(graded) / len(graded) if graded else 0.0,
+        sum(g > 0.5 for g in by_sentence) / max(1, len(by_sentence)), sum(g < -0.5 for g in by_sentence) / max(1, len(by_sentence)),
     ]
 
 
