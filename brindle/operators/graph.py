@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.scoring import DAY_MS, edge_confidence, source_weight
+from brindle.workspace import Workspace
 
 LIVE = ("Active", "Speculative")
 LOCAL_EDGES = ("Calls", "Imports", "Uses", "Extends")
@@ -93,6 +94,7 @@ class View:
         self.chain = branch_chain(g.branches, branch_id)
         row = g.branches.filter(F.col("branch_id") == branch_id).select("fork_ts_ms").head()
         self.fork_ts = row[0] if row else None
+        self._resolved: DataFrame | None = None
 
     def pos(self, branch: Column) -> Column:
         """Place of a branch in the chain, null if it is not on it."""
@@ -116,7 +118,15 @@ class View:
         return r.groupBy("identity_id", "pos").agg(F.min(F.struct((F.col("status") != "Active").alias("late"), "revision_id")).alias("p")).select("identity_id", "pos", F.col("p.revision_id").alias("revision_id"))
 
     def resolved(self) -> DataFrame:
-        """(identity_id, revision_id): what each identity resolves to; identities that resolve to nothing have no row."""
+        """(identity_id, revision_id): what each identity resolves to; identities that resolve to nothing have no row.
+
+        Written once for a view: every walk reads it several times, and it is no larger than the table of identities.
+        """
+        if self._resolved is None:
+            self._resolved = Workspace(self.g.revisions.sparkSession, "view").write(self._resolve(), "resolved")
+        return self._resolved
+
+    def _resolve(self) -> DataFrame:
         r = self.on_chain(self.g.revisions)
         live = F.when(F.col("status").isin(*LIVE), F.struct((F.col("status") != "Active").alias("late"), F.col("revision_id")))
         tomb = F.when(F.col("status") == "Tombstone", F.col("revision_id"))
@@ -158,19 +168,27 @@ class View:
         Edges of resolved sources whose effective target it is and which, or whose source has others that, point at it as
         stored; and edges that an override on the chain turns to it. Each edge once.
         """
-        eff = self.effective_edges()
+        eff = self.effective_edges().withColumnRenamed("eff", "target_id").withColumn("turned", ~F.col("target_id").eqNullSafe(F.col("target_identity_id")))
         r = self.g.revisions.select("revision_id", "identity_id", "branch_id")
-        src = self.resolved().select(F.col("identity_id").alias("sid"), F.col("revision_id").alias("source_revision_id"))
-        owner = r.select(F.col("revision_id").alias("source_revision_id"), F.col("identity_id").alias("source_identity_id"), "branch_id")
-        raw = self.g.edges.select("source_revision_id", F.col("target_identity_id").alias("target_id")).join(owner.select("source_revision_id", F.col("source_identity_id").alias("sid")), "source_revision_id").select("sid", "target_id").distinct()
-        resolved_edges = src.join(eff, "source_revision_id").withColumnRenamed("eff", "target_id")
-        one = resolved_edges.join(raw, ["sid", "target_id"], "left_semi").join(owner.drop("branch_id"), "source_revision_id").select("target_id", "edge_id", "ty", "source_revision_id", "source_identity_id", "edge_conf", F.lit(0).alias("via"))
+        cols = ["target_id", "edge_id", "ty", "source_revision_id", "source_identity_id", "edge_conf"]
+        src = self.resolved().withColumnRenamed("identity_id", "sid").join(r.select("revision_id", F.col("identity_id").alias("source_identity_id")), "revision_id").withColumnRenamed("revision_id", "source_revision_id")
+        own = src.filter("sid = source_identity_id").select("source_revision_id", "source_identity_id")
+        # An edge of an identity's own revision that no override turns is itself the stored edge asked for. Only turned
+        # edges, and those of revisions that stand in for a renamed identity alone, need a look at what is stored.
+        straight = eff.filter("NOT turned").join(own, "source_revision_id").select(*cols, F.lit(0).alias("via"))
+        bridged = src.filter("sid != source_identity_id").join(own, "source_revision_id", "left_anti")
+        asked = eff.filter("turned").join(src, "source_revision_id").unionByName(eff.filter("NOT turned").join(bridged, "source_revision_id"))
+        pairs = asked.select("sid", "target_id").distinct()
+        stored = pairs.join(r.select(F.col("identity_id").alias("sid"), F.col("revision_id").alias("source_revision_id")), "sid").join(self.g.edges.select("source_revision_id", F.col("target_identity_id").alias("target_id")), ["source_revision_id", "target_id"]).select("sid", "target_id").distinct()
+        one = asked.join(stored, ["sid", "target_id"], "left_semi").select(*cols, F.lit(0).alias("via"))
         gone = self.honored().filter("honored").select(F.col("identity_id").alias("source_identity_id")).distinct()
-        turned = self.on_chain(self.g.overrides).select("source_revision_id", "edge_id", F.col("new_target").alias("target_id")).distinct()
-        two = turned.join(eff.withColumnRenamed("eff", "target_id"), ["source_revision_id", "edge_id", "target_id"]).join(owner.filter(F.col("branch_id").isin(self.chain)).drop("branch_id"), "source_revision_id").join(gone, "source_identity_id", "left_anti")
-        both = one.unionByName(two.select("target_id", "edge_id", "ty", "source_revision_id", "source_identity_id", "edge_conf", F.lit(1).alias("via")))
-        w = Window.partitionBy("target_id", "edge_id").orderBy("via", "source_revision_id")
-        return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+        over = self.on_chain(self.g.overrides).select("source_revision_id", "edge_id", F.col("new_target").alias("target_id")).distinct()
+        here = r.filter(F.col("branch_id").isin(self.chain)).select(F.col("revision_id").alias("source_revision_id"), F.col("identity_id").alias("source_identity_id"))
+        turned = over.join(eff, ["source_revision_id", "edge_id", "target_id"]).join(here, "source_revision_id").join(gone, "source_identity_id", "left_anti")
+        back = turned.filter("NOT turned").join(own, "source_revision_id", "left_anti")
+        two = turned.filter("turned").unionByName(back).select(*cols, F.lit(1).alias("via"))
+        rest = one.unionByName(two).groupBy("target_id", "edge_id").agg(F.min(F.struct("via", "ty", "source_revision_id", "source_identity_id", "edge_conf")).alias("b")).select("target_id", "edge_id", "b.ty", "b.source_revision_id", "b.source_identity_id", "b.edge_conf", "b.via")
+        return straight.unionByName(rest)
 
     def node_confidence(self) -> DataFrame:
         """(identity_id, conf): the greatest confidence of the edges into each identity that has any."""

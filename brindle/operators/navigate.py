@@ -37,10 +37,10 @@ def references(v: View, ty: str | None = None, limit: int = 20) -> DataFrame:
     e = v.inbound()
     if ty:
         e = e.filter(F.col("ty") == ty)
-    one = Window.partitionBy("target_id", "source_identity_id").orderBy("via", "edge_id")
-    top = Window.partitionBy("target_id").orderBy("via", "edge_id")
-    e = e.withColumn("n", F.row_number().over(one)).filter("n = 1").withColumn("n", F.row_number().over(top))
-    e = e.filter(F.col("n") <= limit) if limit else e
+    e = e.groupBy("target_id", "source_identity_id").agg(F.min(F.struct("via", "edge_id", "source_revision_id", "edge_conf")).alias("b")).select("target_id", "source_identity_id", "b.*")
+    if limit:
+        top = Window.partitionBy("target_id").orderBy("via", "edge_id")
+        e = e.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= limit)
     return e.select("target_id", "source_identity_id", "source_revision_id", "edge_id", F.col("edge_conf").alias("conf"))
 
 

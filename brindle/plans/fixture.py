@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.operators.graph import Graph
 from brindle.sources.tables import table
+from brindle.workspace import Workspace
 
 NOW_MS = 1_007_164_800_000
 USED = ("region", "customer", "orders", "lineitem", "documents")
@@ -30,12 +31,21 @@ def relations(ms: str, t: dict[str, str]) -> dict[str, str]:
 SPARK_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({x} AS TIMESTAMP_NTZ))"
 
 
+#: Graphs stored so far, by session and folder.
+_STORED: dict[tuple[str, str], Graph] = {}
+
+
 def graph(spark: SparkSession, d: str) -> Graph:
-    have: dict[str, DataFrame] = {n: table(spark, d, n) for n in USED}
-    names = {n: "{" + n + "}" for n in (*USED, "g_identities", "g_revisions", "g_edges")}
-    for name, sql in relations(SPARK_MS, names).items():
-        have[name] = spark.sql(sql, **{n: df for n, df in have.items() if "{" + n + "}" in sql})
-    return Graph(*(have[f"g_{n}"] for n in ("branches", "identities", "revisions", "edges", "overrides", "deletions")), now_ms=NOW_MS)
+    """The graph of a data folder: derived and stored as tables once a session, as the engine's own tables would be."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        have: dict[str, DataFrame] = {n: table(spark, d, n) for n in USED}
+        names = {n: "{" + n + "}" for n in (*USED, "g_identities", "g_revisions", "g_edges")}
+        ws = Workspace(spark, "graph")
+        for name, sql in relations(SPARK_MS, names).items():
+            have[name] = ws.write(spark.sql(sql, **{n: df for n, df in have.items() if "{" + n + "}" in sql}), name)
+        _STORED[key] = Graph(*(have[f"g_{n}"] for n in ("branches", "identities", "revisions", "edges", "overrides", "deletions")), now_ms=NOW_MS)
+    return _STORED[key]
 
 
 def with_sql(*more: str) -> str:
