@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +24,19 @@ def local_session(cpus: int | str = 8, name: str = "brindle") -> SparkSession:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session's executors, once."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(here):
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle"), "zip", os.path.dirname(here), "brindle"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,6 +50,7 @@ class Workspace:
     """Written tables that cut lineage: they outlive lost executors, and each is dropped once no later step reads it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept: dict[str, str] = {}
