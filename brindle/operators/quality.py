@@ -187,3 +187,22 @@ def replayed(wal: DataFrame) -> DataFrame:
     last = wal.groupBy("log_id").agg(F.max_by("phase", order).alias("phase"))
     act = F.when(F.col("phase") == "Pending", "fail").when(F.col("phase") == "GraphDone", "redo_vector").when(F.col("phase") == "VectorDone", "finalize").otherwise("none")
     return last.withColumn("action", act)
+
+
+def health(violations: DataFrame, chain: DataFrame, workers: DataFrame) -> DataFrame:
+    """One row: whether all is well, and the degraded modes, sorted and joined by commas.
+
+    violations: rows of consistency(); chain: the row of verify_chain(); workers: rows of stale_workers().
+    """
+    v = violations.agg(F.count(F.lit(1)).alias("violations"))
+    w = workers.agg(F.count_if("stale").alias("stale_workers"))
+    j = v.crossJoin(w).crossJoin(chain.select(F.col("ok").alias("audit_ok")))
+    modes = F.array_compact(F.array(F.when(~F.col("audit_ok"), "audit_chain_broken"), F.when(F.col("violations") > 0, "consistency_violations"), F.when(F.col("stale_workers") > 0, "worker_stale")))
+    return j.select("violations", "stale_workers", "audit_ok", (F.size(modes) == 0).alias("healthy"), F.array_join(modes, ",").alias("degraded_modes"))
+
+
+def recall(expected: DataFrame, found: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """(by..., expected, found, recall): of the distinct expected rows, how many are among those found."""
+    f = found.select(*by, *key).distinct().withColumn("hit", F.lit(1))
+    j = expected.select(*by, *key).distinct().join(f, [*by, *key], "left")
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("expected"))

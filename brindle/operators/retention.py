@@ -87,3 +87,30 @@ def retained(old: DataFrame, fresh: DataFrame, has_children: bool) -> DataFrame:
 
 def body_refcounts(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "body_hash").distinct().filter("body_hash IS NOT NULL").groupBy("body_hash").agg(F.count(F.lit(1)).alias("refs"))
+
+
+def retargeted(edges: DataFrame, revisions: DataFrame, branch_id: int) -> DataFrame:
+    """(branch_id, source_revision_id, edge_id, new_target): overrides that turn the branch's live edges from renamed identities to their successors.
+
+    Of several successors of an identity the least holds; an edge that already aims at it needs none.
+    """
+    mine = revisions.filter(F.col("branch_id") == branch_id).select("revision_id", "identity_id", "status")
+    ren = edges.filter("ty = 'RenamedFrom'").join(mine.filter("status = 'Tombstone'").select(F.col("revision_id").alias("source_revision_id"), F.col("identity_id").alias("old_id")), "source_revision_id")
+    ren = ren.groupBy(F.col("old_id").alias("target_identity_id")).agg(F.min("target_identity_id").alias("new_target"))
+    live = mine.filter(F.col("status").isin("Active", "Speculative")).select(F.col("revision_id").alias("source_revision_id"))
+    e = edges.filter("ty != 'RenamedFrom'").join(live, "source_revision_id", "left_semi").join(ren, "target_identity_id").filter("new_target != target_identity_id")
+    return e.select(F.lit(branch_id).cast("bigint").alias("branch_id"), "source_revision_id", "edge_id", "new_target")
+
+
+def finalized_deletions(revisions: DataFrame, deletions: DataFrame, branches: DataFrame) -> DataFrame:
+    """revision_id of Active revisions hidden by a deletion marker on a branch that has no children: they become tombstones."""
+    parents = branches.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("branch_id")).distinct()
+    gone = deletions.select("branch_id", "identity_id").distinct().join(parents, "branch_id", "left_anti")
+    return revisions.filter("status = 'Active'").join(gone, ["branch_id", "identity_id"], "left_semi").select("revision_id")
+
+
+def drained(revisions: DataFrame, edges: DataFrame, overrides: DataFrame, collected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Revisions, edges and overrides without the collected revisions and what starts at them."""
+    c = collected.select("revision_id").distinct()
+    s = c.withColumnRenamed("revision_id", "source_revision_id")
+    return revisions.join(c, "revision_id", "left_anti"), edges.join(s, "source_revision_id", "left_anti"), overrides.join(s, "source_revision_id", "left_anti")

@@ -395,3 +395,47 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("f18_token_counts", "SELECT doc_id, (strlen(text) + 3) // 4 AS n_tokens FROM documents WHERE text IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", S.token_count(F.col("text")).alias("n_tokens"))
+
+
+# --- further upkeep
+
+
+@query("i6_retargeted_edges", W + "SELECT CAST(1 AS BIGINT) AS branch_id, e.source_revision_id, e.edge_id, n.nt AS new_target FROM g_edges e JOIN g_revisions s ON s.revision_id = e.source_revision_id AND s.branch_id = 1 AND s.status IN ('Active', 'Speculative') JOIN (SELECT t.identity_id AS old, min(x.target_identity_id) AS nt FROM g_edges x JOIN g_revisions t ON t.revision_id = x.source_revision_id AND t.branch_id = 1 AND t.status = 'Tombstone' WHERE x.ty = 'RenamedFrom' GROUP BY 1) n ON n.old = e.target_identity_id WHERE e.ty <> 'RenamedFrom' AND n.nt <> e.target_identity_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    return R.retargeted(g.edges, g.revisions, 1)
+
+
+@query("i9_finalized_deletions", W + "SELECT revision_id FROM g_revisions r WHERE status = 'Active' AND EXISTS (SELECT 1 FROM g_deletions x WHERE x.branch_id = r.branch_id AND x.identity_id = r.identity_id) AND branch_id NOT IN (SELECT parent_id FROM g_branches WHERE parent_id IS NOT NULL)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    return R.finalized_deletions(g.revisions, g.deletions, g.branches)
+
+
+@query("r2_drained_edges", W + f", c AS (SELECT revision_id FROM g_full f WHERE status = 'Tombstone' AND (tombstoned_at_ms IS NULL OR {NOW_MS} - tombstoned_at_ms >= 90 * 86400000::BIGINT) AND revision_id NOT IN (SELECT revision_id FROM g_bind) AND revision_id NOT IN (SELECT revision_id FROM g_prim) AND NOT (revision_id IN (SELECT source_revision_id FROM g_edges WHERE ty = 'RenamedFrom') AND identity_id IN (SELECT target_identity_id FROM g_edges WHERE ty <> 'RenamedFrom'))) SELECT ty, count(*) AS n FROM g_edges WHERE source_revision_id NOT IN (SELECT revision_id FROM c) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    _, e, _ = R.drained(g.revisions, g.edges, g.overrides, QUERIES["r1_tombstones_to_collect"](spark, d))
+    return e.groupBy("ty").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q18_system_status", "SELECT v.n AS violations, w.n AS stale_workers, false AS audit_ok, false AS healthy, concat_ws(',', 'audit_chain_broken', CASE WHEN v.n > 0 THEN 'consistency_violations' END, CASE WHEN w.n > 0 THEN 'worker_stale' END) AS degraded_modes FROM (SELECT count(*) AS n FROM (" + _CONSISTENCY + ")) v, (SELECT count(*) AS n FROM (SELECT (SELECT max((epoch_us(ts) // 1000)) FROM events) - max((epoch_us(ts) // 1000)) > 7200000 AS s FROM events GROUP BY user_id) WHERE s) w")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.health(QUERIES["a5_consistency"](spark, d), QUERIES["q21_verify_audit_chain"](spark, d), QUERIES["a9_stale_workers"](spark, d))
+
+
+@query("a13_edge_landing", W + "SELECT ty, count(*) AS expected, count(*) FILTER (WHERE target_identity_id IN (SELECT identity_id FROM g_prim)) AS found, round(count(*) FILTER (WHERE target_identity_id IN (SELECT identity_id FROM g_prim)) / count(*), 6) AS recall FROM g_edges GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Of the edges of each type, how many lead to an identity that is live on some branch."""
+    g = graph(spark, d)
+    live = A.primaries(g.revisions).select(F.col("identity_id").alias("target_identity_id")).distinct()
+    return A.recall(g.edges, g.edges.join(live, "target_identity_id", "left_semi"), ["ty"], ["edge_id"]).withColumn("recall", F.round("recall", 6))
+
+
+@query("a15_invariant_violations", "WITH e AS (SELECT 'src/m' || user_id || '.py' AS path, event_type FROM events), p AS (SELECT DISTINCT path FROM e WHERE event_type = 'purchase'), l AS (SELECT DISTINCT path FROM e WHERE event_type = 'signup'), " + W.removeprefix("WITH RECURSIVE ") + "SELECT 'patch_without_lease' AS \"check\", path AS key FROM p WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT 'lease_without_patch', path FROM l WHERE path NOT IN (SELECT path FROM p) UNION ALL SELECT DISTINCT 'speculative_without_patch', file_path FROM g_revisions WHERE status = 'Speculative' AND file_path NOT IN (SELECT path FROM p)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.operators.patches import invariant_violations
+
+    e = table(spark, d, "events").select(F.concat(F.lit("src/m"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), "event_type")
+    p, lease = (e.filter(F.col("event_type") == k).select("path").distinct() for k in ("purchase", "signup"))
+    return invariant_violations(p, lease, graph(spark, d).revisions)

@@ -271,3 +271,20 @@ def test_hysteresis(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.degraded for r in spark.table("hyst").collect()] == [False, True, True, False]
+
+
+def test_logs(spark, tmp_path):
+    from brindle.sources.logs import MERGE_METRICS, append_log, last_records, read_log
+
+    at = str(tmp_path / "log")
+    rows = [(f"m{i}", i * 10, {"a": i, "b": 2 * i}, i, i == 3, "b" if i == 2 else None, []) for i in range(1, 6)]
+    append_log(spark.createDataFrame(rows, MERGE_METRICS), at)
+    with open(f"{at}/bad.json", "w") as f:
+        f.write("{not json\n")
+    log = read_log(spark, at, MERGE_METRICS)
+    assert {r.merge_id for r in log.collect()} == {f"m{i}" for i in range(1, 6)}
+    assert {r.merge_id for r in last_records(log, 2).collect()} == {"m5", "m4"}
+    assert {r.merge_id for r in last_records(log, 0, 50).collect()} == {"m5"}
+    assert {r.phase: (r.n, r.avg_ms, r.p99_ms) for r in A.merge_rollup(log).collect()} == {"a": (5, 3.0, 5), "b": (5, 6.0, 10)}
+    assert [r.total_ms for r in A.slowest_merges(log, 2).collect()] == [15, 12]
+    assert tuple(A.merge_summary(log).head()) == (5, 0.2, 0.2, 3.0)
