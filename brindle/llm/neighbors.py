@@ -244,13 +244,18 @@ def similar_pairs(vectors: DataFrame, least_cosine: float, k: int = 10, route_fa
         a, b = ab[:, 0], ab[:, 1]
         cos = np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64))
         h1, h2 = part["h1"].to_numpy(), part["h2"].to_numpy()
+        # The order of a shard's rows is not given; that of a pair must be.
+        swap = (h1[a] > h1[b]) | ((h1[a] == h1[b]) & (h2[a] > h2[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({"model_id": part["model_id"].to_numpy()[a] if len(part) else [], "a1": h1[a], "a2": h2[a], "b1": h1[b], "b2": h2[b], "cosine": np.round(cos, 7)})
 
     routed = hashed.mapInArrow(spread, "shard bigint, model_id string, h1 bigint, h2 bigint, unit binary")
     near = routed.groupBy("shard").applyInPandas(pairs, "model_id string, a1 bigint, a2 bigint, b1 bigint, b2 bigint, cosine double").filter(F.col("cosine") >= least_cosine)
-    both = near.select("model_id", F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2"), "cosine").unionByName(
-        near.select("model_id", F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2"), "cosine")
-    ).distinct()
+    # Each pair once, then both its directions from that one row.
+    once = near.groupBy("model_id", "a1", "a2", "b1", "b2").agg(F.max("cosine").alias("cosine"))
+    there = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2"))
+    back = F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2"))
+    both = once.select("model_id", "cosine", F.explode(F.array(there, back)).alias("d")).select("model_id", "cosine", "d.*")
     # The ids of equal vectors, at most k + 1 each; vectors of no use have no neighbours, their groups are told by length and norm.
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e)
     length = F.create_map(*[x for m, (n, _) in models.items() for x in (F.lit(m), F.lit(n))])
