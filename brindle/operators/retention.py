@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,52 +19,120 @@ def rename_candidates(tombstones: DataFrame, now_ms: int, window_days: int) -> D
     return tombstones.filter(F.col("tombstoned_at_ms") >= now_ms - window_days * DAY_MS)
 
 
+def _no_hubs(symbols: DataFrame) -> DataFrame:
+    return symbols.filter("qualified_name != file_path AND kind != 'File'")
+
+
 def rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
-    """(tomb_id, symbol_id, confidence): tombstones and new symbols of one file and kind that may be one symbol renamed.
+    """(tomb_id, symbol_id, confidence): tombstones and new symbols of one file that may be one symbol renamed.
 
-    Both: id, file_path, kind, qualified_name, body (null if unknown); file hubs take no part. The pairs come from a join
-    on file and kind. The name counts from its proximity's threshold; bodies, with the leaf names masked, from the body
-    threshold (0.4 within a file at most) and need at least one meaningful token; where both bodies are known a body
-    signal is required.
+    Both: id, file_path, kind, qualified_name, body (null if unknown), and branch_id if they are of several branches; file
+    hubs take no part. The pairs come from a join on file (and branch); kinds may differ. The name counts from its
+    proximity's threshold; bodies, with the leaf names masked, from the body threshold (0.4 within a file at most) and need
+    at least one meaningful token; where both bodies are known a body signal is required.
     """
-    t = tombstones.filter("qualified_name != file_path").select("file_path", "kind", F.col("id").alias("tomb_id"), F.col("qualified_name").alias("old_name"), F.col("body").alias("old_body"))
-    s = symbols.filter("qualified_name != file_path").select("file_path", "kind", F.col("id").alias("symbol_id"), F.col("qualified_name").alias("new_name"), F.col("body").alias("new_body"))
-    p = t.join(s, ["file_path", "kind"])
-    old = S.meaningful(S.tokens(S.mask_identifier(F.col("old_body"), S.name_leaf(F.col("old_name")))))
-    new = S.meaningful(S.tokens(S.mask_identifier(F.col("new_body"), S.name_leaf(F.col("new_name")))))
-    p = p.withColumn("near", S.name_proximity(F.col("old_name"), F.col("new_name"))).withColumn("a", old).withColumn("b", new)
+    key = [c for c in ("branch_id", "file_path") if c in tombstones.columns]
+
+    def side(df: DataFrame, as_id: str, as_name: str, as_body: str, as_toks: str) -> DataFrame:
+        toks = S.tokens(S.mask_identifier(F.col("body"), S.name_leaf(F.col("qualified_name"))))
+        told = F.array_except(S.meaningful(toks), F.array(F.lit(S.MASK)))
+        return _no_hubs(df).select(*key, F.col("id").alias(as_id), F.col("qualified_name").alias(as_name), F.col("body").isNotNull().alias(as_body), told.alias(as_toks))
+
+    p = side(tombstones, "tomb_id", "old_name", "old_body", "a").join(side(symbols, "symbol_id", "new_name", "new_body", "b"), key)
+    p = p.withColumn("near", S.name_proximity(F.col("old_name"), F.col("new_name")))
     enough = (F.size("a") >= 1) & (F.size("b") >= 1)
     body = F.when(enough, S.token_jaccard(F.col("a"), F.col("b")))
     p = p.withColumn("alike", F.when(body >= min(policy.body_similarity, 0.4), body))
     name = F.when(F.col("near") >= policy.name_proximity, F.col("near"))
-    both = F.col("old_body").isNotNull() & F.col("new_body").isNotNull()
+    both = F.col("old_body") & F.col("new_body")
     best = F.greatest(F.coalesce(name, F.lit(0.0)), F.coalesce("alike", F.lit(0.0)))
     return p.filter(~both | F.col("alike").isNotNull()).select("tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
 
 
+def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+    """(tomb_id, symbol_id, confidence): tombstones and new symbols of one branch, but of different files, with similar bodies.
+
+    Both: branch_id, id, file_path, kind, qualified_name, body; file hubs take no part. Each body needs two meaningful
+    tokens, and the Jaccard similarity of all tokens must reach the body threshold. The join is exact: bodies are folded to
+    distinct token sets, and of two sets so similar each has one of the other's rarest tokens among its own rarest ones.
+    """
+    from brindle.workspace import Workspace
+
+    ws = Workspace(tombstones.sparkSession, "moved")
+    least = policy.body_similarity
+
+    def bodies(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        r = _no_hubs(df).filter("body IS NOT NULL").select("branch_id", "id", "file_path", F.sort_array(S.tokens(F.col("body"))).alias("toks"))
+        r = r.filter(F.size(S.meaningful(F.col("toks"))) >= 2).withColumn("set_id", F.sha2(F.concat_ws(" ", "toks"), 256))
+        sets = ws.write(r.groupBy("branch_id", "set_id").agg(F.first("toks").alias("toks")), name)
+        return r.drop("toks"), sets
+
+    (t, t_sets), (s, s_sets) = bodies(tombstones, "old"), bodies(symbols, "new")
+    held = t_sets.unionByName(s_sets).select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("held"))
+
+    def rarest(sets: DataFrame, as_id: str, as_n: str) -> DataFrame:
+        each = sets.select("branch_id", F.col("set_id").alias(as_id), F.size("toks").alias(as_n), F.explode("toks").alias("tok")).join(held, "tok")
+        w = Window.partitionBy("branch_id", as_id).orderBy("held", "tok")
+        return each.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= F.col(as_n) - F.ceil(F.col(as_n) * least - 1e-9) + 1).drop("no", "held")
+
+    sizes = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    pairs = rarest(t_sets, "old", "n").join(rarest(s_sets, "new", "m"), ["branch_id", "tok"]).filter(sizes).select("branch_id", "old", "new").distinct()
+    pairs = pairs.join(t_sets.select("branch_id", F.col("set_id").alias("old"), F.col("toks").alias("a")), ["branch_id", "old"]).join(s_sets.select("branch_id", F.col("set_id").alias("new"), F.col("toks").alias("b")), ["branch_id", "new"])
+    alike = pairs.select("branch_id", "old", "new", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence")).filter(F.col("confidence") >= max(least, policy.rename_min_confidence))
+    t = t.select("branch_id", F.col("set_id").alias("old"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
+    s = s.select("branch_id", F.col("set_id").alias("new"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
+    return alike.join(t, ["branch_id", "old"]).join(s, ["branch_id", "new"]).filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
+
+
+def all_rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+    """(tomb_id, symbol_id, confidence, cross_file) of both kinds of pairs; columns as for ``cross_file_scores``."""
+    within = rename_scores(tombstones, symbols, policy).withColumn("cross_file", F.lit(False))
+    return within.unionByName(cross_file_scores(tombstones, symbols, policy).withColumn("cross_file", F.lit(True)))
+
+
+#: After so many rounds the symbols that still compete are settled one after the other.
+ROUNDS = 6
+
+
 def best_renames(scores: DataFrame) -> DataFrame:
     """(tomb_id, symbol_id, confidence): symbols in order take their best tombstone that no earlier symbol took.
 
-    The order only matters among symbols that compete for a tombstone, so it is settled in rounds: each symbol bids for
-    its best free tombstone, and the first bidder of each gets it. Every round settles at least the first symbol left.
+    With a column cross_file, which the result keeps, any tombstone of the same file goes before those of others. The order
+    only matters among symbols that compete for a tombstone, so it is settled in rounds: a symbol of whose tombstones no
+    earlier one competes for any takes its best. What is left after ``ROUNDS`` is read in order by one task, which keeps
+    the tombstones taken.
     """
     from brindle.workspace import Workspace
 
     ws = Workspace(scores.sparkSession, "renames")
-    left, won, k = ws.write(scores, "left0"), None, 0
-    while True:
+    order = [*(["cross_file"] if "cross_file" in scores.columns else []), F.desc("confidence"), "tomb_id"]
+    left, won = ws.write(scores, "left0"), None
+    for k in range(ROUNDS):
         # A symbol may win only if no earlier symbol still competes for any of its tombstones.
         first = left.groupBy("tomb_id").agg(F.min("symbol_id").alias("first"))
         mark = left.join(first, "tomb_id").groupBy("symbol_id").agg(F.max((F.col("first") < F.col("symbol_id")).cast("int")).alias("waits"))
         ready = left.join(mark.filter("waits = 0").select("symbol_id"), "symbol_id", "left_semi")
-        w = Window.partitionBy("symbol_id").orderBy(F.desc("confidence"), "tomb_id")
+        w = Window.partitionBy("symbol_id").orderBy(*order)
         got = ws.write(ready.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n"), f"won{k}")
         if got.isEmpty():
             return won if won is not None else got
         won = got if won is None else won.unionByName(got)
-        k += 1
-        left = ws.write(left.join(got.select("symbol_id"), "symbol_id", "left_anti").join(got.select("tomb_id"), "tomb_id", "left_anti"), f"left{k}")
-        ws.drop(f"left{k - 1}")
+        left = ws.write(left.join(got.select("symbol_id"), "symbol_id", "left_anti").join(got.select("tomb_id"), "tomb_id", "left_anti"), f"left{k + 1}")
+        ws.drop(f"left{k}")
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, settled = set(), None
+        for b in batches:
+            keep = []
+            for i, (tomb, symbol) in enumerate(zip(b.column("tomb_id").to_pylist(), b.column("symbol_id").to_pylist())):
+                if symbol != settled and tomb not in taken:
+                    taken.add(tomb)
+                    settled = symbol
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    rest = left.repartition(1).sortWithinPartitions("symbol_id", *order).mapInArrow(in_order, left.schema)
+    return won.unionByName(ws.write(rest, "rest"))
 
 
 def tombstones_to_collect(revisions: DataFrame, bindings: DataFrame, snapshots: DataFrame, in_flight: DataFrame, edges: DataFrame, now_ms: int, days: int) -> DataFrame:

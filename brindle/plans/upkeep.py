@@ -334,9 +334,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _renames(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
+def _all_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every branch and kind, within files and across them."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    r = graph(spark, d).revisions.join(docs, "doc_id", "left").select("branch_id", F.col("revision_id").alias("id"), "file_path", "kind", "qualified_name", "body", "status")
+    return R.all_rename_scores(r.filter("status = 'Tombstone'"), r.filter("status = 'Active'"), Policy())
+
+
+@query("i3_rename_scores_all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _all_renames(spark, d).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("i1_best_renames")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.best_renames(_renames(spark, d))
+    return R.best_renames(_all_renames(spark, d)).drop("cross_file")
 
 
 @query("i2_rename_candidates", W + f"SELECT revision_id FROM g_full WHERE status = 'Tombstone' AND tombstoned_at_ms >= {NOW_MS} - 2000 * 86400000::BIGINT")

@@ -145,6 +145,50 @@ def test_best_renames_follow_the_order_of_symbols(spark):
     assert {(r.tomb_id, r.symbol_id) for r in R.best_renames(df).collect()} == want
 
 
+def _literal_renames(tombs, symbols):
+    """Scores and assignment of literal rows (branch, id, path, kind, name, body) by plain loops, across files only."""
+    import re
+
+    stop = {"def", "async", "return", "pass", "none", "true", "false", "self", "cls", "class"}
+    toks = lambda x: set(re.findall("[a-z0-9_]+", (x or "").lower()))
+    out = {}
+    for tb, ti, tp, tk, tn, tx in tombs:
+        for sb, si, sp, sk, sn, sx in symbols:
+            a, b = toks(tx), toks(sx)
+            if tb == sb and tp != sp and tk != "File" and sk != "File" and len(a - stop) >= 2 and len(b - stop) >= 2 and len(a & b) >= 0.7 * len(a | b):
+                out[ti, si] = len(a & b) / len(a | b)
+    return out
+
+
+def test_renames_across_files(spark):
+    fields = "branch_id bigint, id bigint, file_path string, kind string, qualified_name string, body string"
+    body = "def total(a):\n    return price * quantity + digits"
+    t = [(1, 1, "f.py", "Function", "f.py::total", body), (1, 2, "f.py", "File", "f", body), (2, 3, "f.py", "Function", "f.py::total", body), (1, 4, "f.py", "Function", "f.py::stub", "def stub(): return self"), (1, 5, "h.py", "Class", "h.py::total", body)]
+    s = [(1, 10, "g.py", "Class", "g.py::total", body), (1, 11, "h.py", "Function", "h.py::total", body), (1, 12, "g.py", "Function", "g.py::stub", "def stub(): return self"), (1, 13, "g.py", "Function", "g.py::x", "price quantity of other words altogether")]
+    df = lambda x: spark.createDataFrame(x, fields)
+    got = R.all_rename_scores(df(t), df(s), Policy())
+    assert {(r.tomb_id, r.symbol_id, r.cross_file) for r in got.collect()} == {(1, 10, True), (5, 10, True), (1, 11, True), (5, 11, False)}
+    assert {(r.tomb_id, r.symbol_id) for r in R.best_renames(got).collect()} == {(1, 10), (5, 11)}
+
+
+def test_renames_across_files_at_random(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["def", "return", *(f"w{i}" for i in range(7))]
+    row = lambda i: (rng.randrange(2), i, f"f{rng.randrange(4)}.py", rng.choice(["Function", "Class"]), f"n{i}", " ".join(rng.sample(words, rng.randrange(1, 9))) if rng.random() < 0.95 else None)
+    t, s = [row(i) for i in range(90)], [row(1000 + i) for i in range(90)]
+    fields = "branch_id bigint, id bigint, file_path string, kind string, qualified_name string, body string"
+    got = {(r.tomb_id, r.symbol_id): r.confidence for r in R.cross_file_scores(spark.createDataFrame(t, fields), spark.createDataFrame(s, fields), Policy()).collect()}
+    want = _literal_renames(t, s)
+    assert len(want) > 50 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_equal_bodies_are_settled_in_order(spark):
+    df = spark.createDataFrame([(t, 100 + s, 1.0, s % 2 == 0) for t in range(20) for s in range(25)], "tomb_id bigint, symbol_id bigint, confidence double, cross_file boolean")
+    assert {(r.tomb_id, r.symbol_id) for r in R.best_renames(df).collect()} == {(i, 100 + i) for i in range(20)}
+
+
 # --- integrity, scores
 
 
