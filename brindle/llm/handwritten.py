@@ -1,8 +1,8 @@
 """Source files that nobody wrote by hand: output of tools, minified scripts, third-party copies and data saved as code.
 
 Paths and the comments at the head of a file tell most of them. What is left is compared with the third-party files found
-so far, over an inverted index of the hashes of rare lines: a file most of whose rare lines stand in one third-party file
-is an edited copy of it. The composition of a file's tokens tells minified scripts, data and repetitive output of tools.
+so far, over an inverted index of the hashes of their lines: a file most of whose lines stand in one third-party file is
+an edited copy of it. The composition of a file's tokens tells minified scripts, data and repetitive output of tools.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A line is rare if so many contents or fewer hold it; shorter lines say nothing about where a file is from.
-RARE, LINE_CHARS = 64, 12
+#: Shorter lines say nothing about where a file is from.
+LINE_CHARS = 12
+#: A copy is first looked for among so many third-party contents of each line; what is not found so is looked for among all.
+NEAR = 8
 CONTAINED, LEAST_LINES = 0.6, 5
 
 #: Directories and names, in lower case, of third-party copies and of what tools write.
@@ -120,14 +122,21 @@ def path_kind(path: Column) -> Column:
     )
 
 
-def not_handwritten(files: DataFrame, bodies: DataFrame, rare: int = RARE, contained: float = CONTAINED, least_lines: int = LEAST_LINES) -> DataFrame:
+def not_handwritten(files: DataFrame, bodies: DataFrame, contained: float = CONTAINED, least_lines: int = LEAST_LINES) -> DataFrame:
     """(file_path, kind) of the distinct paths whose file is not hand-written; kind is vendored, tool, minified or data.
 
     files: file_path, body_hash (plain, null if unknown), any rows; bodies: body_hash, bytes. A path that has several
     contents is judged by each. A file whose path tells nothing and whose content is null, empty or missing is taken for
     hand-written. Null paths are left out, bytes that are no UTF-8 are read with replacement, whole contents are read,
     repeated rows count once, extra columns are ignored and empty tables give no rows.
+
+    A content is a copy if ``contained`` of its lines, and ``least_lines``, stand in one third-party content, however many
+    contents hold them. Contents of which too few lines stand in any are left out first. A copy's rarest lines are so many
+    that one of them must stand in the original, so the search by them loses none.
     """
+    from brindle.workspace import Workspace
+
+    ws = Workspace(files.sparkSession, "handwritten")
     f = files.select("file_path", "body_hash").filter("file_path is not null").distinct()
     wanted = f.filter("body_hash is not null").select("body_hash").distinct()
 
@@ -143,15 +152,28 @@ def not_handwritten(files: DataFrame, bodies: DataFrame, rare: int = RARE, conta
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64()))], names=["body_hash", "said", "lines"])
 
     contents = bodies.select("body_hash", "bytes").filter("body_hash is not null and octet_length(bytes) > 0").join(wanted, "body_hash", "left_semi").mapInArrow(run, "body_hash string, said string, lines array<bigint>").dropDuplicates(["body_hash"])
-    judged = f.join(contents, "body_hash", "left").withColumn("kind", F.coalesce(path_kind(F.col("file_path")), "said"))
+    contents = ws.write(contents, "contents")
+    judged = f.join(contents.select("body_hash", "said", F.lit(True).alias("there")), "body_hash", "left").withColumn("kind", F.coalesce(path_kind(F.col("file_path")), "said"))
 
     # One content may lie at several paths; it is third-party if it is so at any of them.
-    by_content = judged.filter("body_hash is not null and lines is not null").groupBy("body_hash").agg(F.max(F.coalesce(F.col("kind") == "vendored", F.lit(False))).alias("third"), F.min(F.col("kind").isNull()).alias("open"), F.first("lines").alias("lines"))
-    index = by_content.select("body_hash", "third", "open", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    held = index.groupBy("line").agg(F.count(F.lit(1)).alias("held"), F.max("third").alias("third_party")).filter(F.col("held") <= rare)
-    mine = index.filter("open").join(held, "line")
-    total = mine.groupBy("body_hash").agg(F.count(F.lit(1)).alias("total"))
-    shared = mine.filter("third_party").select("body_hash", "line").join(index.filter("third").select(F.col("body_hash").alias("source"), "line"), "line").groupBy("body_hash", "source").agg(F.count(F.lit(1)).alias("n"))
-    copies = shared.groupBy("body_hash").agg(F.max("n").alias("n")).join(total, "body_hash").filter((F.col("n") >= least_lines) & (F.col("n") >= contained * F.col("total"))).select("body_hash")
+    by_content = judged.filter("body_hash is not null and there").groupBy("body_hash").agg(F.max(F.coalesce(F.col("kind") == "vendored", F.lit(False))).alias("third"), F.min(F.col("kind").isNull()).alias("open"))
+    by_content = by_content.filter("third or open").join(contents.select("body_hash", "lines"), "body_hash")
+    source = by_content.filter("third").select(F.col("body_hash").alias("source"), F.explode("lines").alias("line"))
+    w = Window.partitionBy("line").orderBy("source")
+    near = source.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= NEAR).groupBy("line").agg(F.collect_list("source").alias("near"))
+    held = near.join(source.groupBy("line").agg(F.count(F.lit(1)).alias("held")), "line")
+    least = F.greatest(F.lit(least_lines), F.ceil(F.size("lines") * contained - 1e-9))
+    opened = by_content.filter("open").withColumn("least", least).filter(F.size("lines") >= F.col("least"))
+    hits = opened.select("body_hash", "least", F.size("lines").alias("total"), F.explode("lines").alias("line")).join(held, "line")
+    mine = hits.groupBy("body_hash", "least", "total").agg(F.array_sort(F.collect_list(F.struct("held", "line", "near"))).alias("hits")).filter(F.size("hits") >= F.col("least"))
+    mine = ws.write(mine, "mine")
+    # Shared lines counted over a few originals of each line: too low at worst.
+    soon = mine.select("body_hash", "least", F.explode("hits.near").alias("near")).select("body_hash", "least", F.explode("near").alias("source")).groupBy("body_hash", "least", "source").agg(F.count(F.lit(1)).alias("n"))
+    soon = ws.write(soon.filter("n >= least").select("body_hash").distinct(), "soon")
+    rest = mine.join(soon, "body_hash", "left_anti").withColumn("has", F.col("hits.line"))
+    rarest = rest.select("body_hash", F.explode(F.slice("hits.line", F.lit(1), F.size("hits") - F.col("least") + 1)).alias("line"))
+    pairs = rarest.join(source, "line").select("body_hash", "source").distinct()
+    both = pairs.join(rest.select("body_hash", "least", "has"), "body_hash").join(by_content.filter("third").select(F.col("body_hash").alias("source"), "lines"), "source")
+    copies = soon.unionByName(both.filter(F.size(F.array_intersect("has", "lines")) >= F.col("least")).select("body_hash")).distinct()
     copied = judged.filter("kind is null").join(copies, "body_hash", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
     return judged.filter("kind is not null").select("file_path", "kind").unionByName(copied).groupBy("file_path").agg(F.max("kind").alias("kind"))

@@ -172,6 +172,19 @@ def test_edited_copies_are_found_by_lines(spark):
     assert handwritten.not_handwritten(files.limit(0), bodies).isEmpty() and handwritten.not_handwritten(files, bodies.limit(0)).count() == 1
 
 
+def test_copies_of_a_library_held_by_many_contents_are_found(spark):
+    rng = random.Random(9)
+    line = lambda w: f"{w}{rng.randrange(10**6)} = call({rng.randrange(99)}, x[{rng.randrange(9)}]) - " + "abc"[: rng.randrange(1, 4)] + ";"
+    lib, text = [line("lib_") for _ in range(40)], {}
+    for i in range(90):  # every version lacks some lines and has some of its own
+        text[f"vendor/z{i}/a.c"] = [x for x in lib if rng.random() < 0.9] + [line("version_") for _ in range(4)]
+        text[f"src/copy{i}.c"] = [x for x in lib if rng.random() < 0.9] + [line("own_") for _ in range(4)]
+    text["src/own.c"] = lib[:10] + [line("hand_") * (1 + i % 3) for i in range(30)]
+    files = spark.createDataFrame([(k, k) for k in text], "file_path string, body_hash string")
+    bodies = spark.createDataFrame([(k, "\n".join(v).encode()) for k, v in text.items()], "body_hash string, bytes binary")
+    assert {r.file_path for r in handwritten.not_handwritten(files, bodies).collect()} == text.keys() - {"src/own.c"}
+
+
 # --- p7
 
 needs_words = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary")
