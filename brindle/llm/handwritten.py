@@ -59,8 +59,6 @@ def head_comments(lines: list[str]) -> str:
         out.append(line)
         opened, closed = line.rfind("/*"), line.rfind("*/")
         inside = opened > closed if max(opened, closed) >= 0 else inside
-        if len(out) >= 40:
-            break
     return "\n".join(out)
 
 

@@ -185,6 +185,12 @@ def test_copies_of_a_library_held_by_many_contents_are_found(spark):
     assert {r.file_path for r in handwritten.not_handwritten(files, bodies).collect()} == text.keys() - {"src/own.c"}
 
 
+def test_long_heads_are_read_whole():
+    head = [f"// licence, line {i}" for i in range(90)]
+    assert handwritten.inspect("\n".join([*head, "// Code generated by x. DO NOT EDIT.", "int a;"]).encode())[0] == "tool"
+    assert handwritten.inspect("\n".join([*head, "int a;", "// Code generated by x. DO NOT EDIT."]).encode())[0] is None
+
+
 # --- p7
 
 needs_words = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary")
