@@ -27,6 +27,7 @@ SAMPLE, SHARD = 8_000, 1_500
 #: Factors: of the join's router, of the join's search within shards, and of the search for given queries.
 ROUTE_FACTOR, JOIN_FACTOR, SEARCH_FACTOR = 0.15, 0.15, 0.3
 QUERY_BLOCK = 20_000
+_LOW = (1 << 32) - 1
 
 
 def chord(cosine: np.ndarray | float) -> np.ndarray | float:
@@ -94,57 +95,62 @@ def route(node: Node, x: np.ndarray, margin: float, rows: np.ndarray | None = No
 
 
 class Searcher:
-    """Batched search of one tree: all queries descend together, and leaves are compared by matrix products."""
+    """Batched search of one tree: all queries descend together, and leaves are compared by matrix products.
 
-    def __init__(self, x: np.ndarray, k: int, factor: float, floor: float = -2.0, leaf: int = LEAF):
-        self.x, self.k, self.factor, self.floor = x, k, factor, np.float32(floor)
-        self.tree = build(x, leaf)
+    Rows are in the order of their ids. Cosines count rounded to ``digits``, and equal ones rank by the smaller row: both
+    are one integer, so that which rows are kept never depends on chance.
+    """
+
+    def __init__(self, x: np.ndarray, k: int, factor: float, floor: float = -2.0, leaf: int = LEAF, digits: int = 7):
+        self.x, self.k, self.factor, self.scale = np.asarray(x, np.float64), k, factor, 10.0**digits
+        self.floor = int(np.floor(floor * self.scale)) << 32
+        self.tree = build(self.x, leaf)
 
     def search(self, q: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, rows) of the k most similar rows above the floor for each query, best first; row -1 fills up.
 
         own: each query's own row, which is left out.
         """
-        self.q, self.own = q, own
-        self.sim = np.full((len(q), self.k), self.floor, np.float32)
-        self.at = np.full((len(q), self.k), -1, np.int64)
+        self.q, self.own = np.asarray(q, np.float64), own
+        self.best = np.full((len(q), self.k), self.floor, np.int64)
         self._down(self.tree, np.arange(len(q)))
-        order = np.argsort(-self.sim, axis=1, kind="stable")
-        return np.take_along_axis(self.sim, order, 1), np.take_along_axis(self.at, order, 1)
+        best = -np.sort(-self.best, axis=1)
+        return (best >> 32) / self.scale, np.where(best > self.floor, _LOW - (best & _LOW), -1)
 
     def _down(self, node: Node, rows: np.ndarray) -> None:
         if not len(rows):
             return
         if node.vantage is None:
-            for i in range(0, len(rows), 4096):
-                self._leaf(node.rows, rows[i : i + 4096])
+            # A node that cannot be split is read in the order of ids: who has k equals of smaller ids is done with it.
+            for c in range(0, len(node.rows), 2 * LEAF):
+                cand = node.rows[c : c + 2 * LEAF]
+                top = (int(self.scale) << 32) | (_LOW - int(cand[0]))
+                rows = rows[self.best[rows].min(1) < top]
+                for i in range(0, len(rows), 4096):
+                    self._leaf(cand, rows[i : i + 4096])
             return
         d = chord(self.q[rows] @ node.vantage)
         inside = d <= node.border
         self._down(node.inner, rows[inside])
         self._down(node.outer, rows[~inside])
-        reach = chord(self.sim[rows].min(1)) * self.factor
+        # Half a unit of the last digit, as a row of a smaller id may tie with the worst one kept.
+        reach = chord(((self.best[rows].min(1) >> 32) - 0.5) / self.scale) * self.factor + 1e-6
         self._down(node.outer, rows[inside & (node.border - d <= reach)])
         self._down(node.inner, rows[~inside & (d - node.border <= reach)])
 
     def _leaf(self, cand: np.ndarray, rows: np.ndarray) -> None:
-        s = self.q[rows] @ self.x[cand].T
+        s = (np.rint(np.minimum(self.q[rows] @ self.x[cand].T, 1.0) * self.scale).astype(np.int64) << 32) | (_LOW - cand)
         if self.own is not None:
-            s[self.own[rows][:, None] == cand[None, :]] = -3.0
-        worst = self.sim[rows].min(1)
-        hot = np.flatnonzero(s.max(1) > worst)
+            s[self.own[rows][:, None] == cand[None, :]] = np.iinfo(np.int64).min
+        hot = np.flatnonzero(s.max(1) > self.best[rows].min(1))
         if not len(hot):
             return
-        rows, s = rows[hot], s[hot]
-        alls = np.concatenate((self.sim[rows], s), 1)
-        alla = np.concatenate((self.at[rows], np.broadcast_to(cand, s.shape)), 1)
-        keep = np.argpartition(-alls, self.k - 1, axis=1)[:, : self.k]
-        self.sim[rows] = np.take_along_axis(alls, keep, 1)
-        self.at[rows] = np.where(self.sim[rows] > self.floor, np.take_along_axis(alla, keep, 1), -1)
+        both = np.concatenate((self.best[rows[hot]], s[hot]), 1)
+        self.best[rows[hot]] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
 
 
 def unit_rows(embeddings: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the lists that have the length, and which rows those are; zero and not finite ones are left out."""
+    """Unit vectors (of double precision) of the lists that have the length, and which rows those are; zero and not finite ones are left out."""
     lengths = np.asarray(embeddings.value_lengths().fill_null(-1))
     ok = np.flatnonzero(lengths == length)
     flat = embeddings.take(pa.array(ok)).flatten()
@@ -152,7 +158,7 @@ def unit_rows(embeddings: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray
     with np.errstate(all="ignore"):
         norm = np.sqrt((x * x).sum(1))
         good = np.isfinite(norm) & (norm > 0)
-        return (x[good] / norm[good, None]).astype(np.float32), ok[good]
+        return x[good] / norm[good, None], ok[good]
 
 
 def _usable(vectors: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
@@ -170,7 +176,7 @@ def _sample(v: DataFrame, models: dict[str, tuple[int, int]], size: int) -> dict
     out = {}
     for m, (n, _) in models.items():
         mine = rows.filter(pa.compute.equal(rows["model_id"], m))["embedding"].combine_chunks()
-        out[m] = np.unique(unit_rows(mine, n)[0], axis=0) if len(mine) else np.zeros((0, n), np.float32)
+        out[m] = np.unique(unit_rows(mine, n)[0].astype(np.float32), axis=0) if len(mine) else np.zeros((0, n), np.float32)
     return out
 
 
@@ -183,7 +189,8 @@ def similar_pairs(vectors: DataFrame, least_cosine: float, k: int = 10, route_fa
     similarities rank by the smaller id. Empty tables give no rows; other columns are ignored.
 
     Equal vectors are one point; of each such group only the k + 1 smallest ids can be in a pair, so copies are never
-    expanded. With both factors 1 the result is exact. Models are few: one router each is built on the driver.
+    expanded. Vectors that differ in scale or in the last bits are points of their own, of which each keeps the k of the
+    highest rounded cosines and, among ties, the smallest ids. With both factors 1 the result is exact. Models are few: one router each is built on the driver.
     """
     spark = vectors.sparkSession
     v, models = _usable(vectors)
@@ -207,10 +214,14 @@ def similar_pairs(vectors: DataFrame, least_cosine: float, k: int = 10, route_fa
         routers[m] = (models[m][0], first, tree)
         first += n
     sent = spark.sparkContext.broadcast(routers)
+    # Single-precision vectors travel as they are; of them, the double-precision units are made anew.
+    wide = v.schema["embedding"].dataType.elementType.typeName() != "float"
+    kind = pa.float64() if wide else pa.float32()
     hashed = v.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int, str]] = set()
+        # The least id so far of each vector; a smaller one is sent after it, without the vector.
+        seen: dict[tuple[int, int, str], str] = {}
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             names, h1, h2 = np.asarray(col["model_id"].to_pylist(), object), np.asarray(col["h1"]), np.asarray(col["h2"])
@@ -219,37 +230,40 @@ def similar_pairs(vectors: DataFrame, least_cosine: float, k: int = 10, route_fa
                 mine = np.flatnonzero(names == m)
                 x, ok = unit_rows(col["embedding"].take(pa.array(mine)), n)
                 rows = mine[ok]
-                fresh = []
-                for i, key in enumerate(zip(h1[rows].tolist(), h2[rows].tolist())):
-                    if (*key, m) not in seen:
-                        seen.add((*key, m))
+                fresh, known = [], []
+                hashes = col["body_hash"].take(pa.array(rows)).to_pylist()
+                for i, key in enumerate(zip(h1[rows].tolist(), h2[rows].tolist(), [m] * len(rows))):
+                    if key not in seen or hashes[i] < seen[key]:
+                        known.append(key in seen)
+                        seen[key] = hashes[i]
                         fresh.append(i)
-                x, rows = x[fresh], rows[fresh]
-                for leaf, at in route(tree, x, margin):
-                    raw = x[at].tobytes()
-                    step = 4 * n
+                x, rows, names_of, again = x[fresh], rows[fresh], [hashes[i] for i in fresh], np.array(known, bool)
+                raw = col["embedding"].take(pa.array(rows))
+                for leaf, at in route(tree, x.astype(np.float32), margin):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), base + leaf, np.int64)), pa.array([m] * len(at)), pa.array(h1[rows[at]]), pa.array(h2[rows[at]]), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())],
-                        names=["shard", "model_id", "h1", "h2", "unit"],
+                        [pa.array(np.full(len(at), base + leaf, np.int64)), pa.array([m] * len(at)), pa.array(h1[rows[at]]), pa.array(h2[rows[at]]), pa.array([names_of[i] for i in at], pa.string()), raw.take(pa.array(at, mask=again[at])).cast(pa.list_(kind))],
+                        names=["shard", "model_id", "h1", "h2", "id", "vector"],
                     )
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates(["h1", "h2"])
-        x = np.frombuffer(b"".join(part["unit"]), np.float32).reshape(len(part), -1)
-        sim, at = Searcher(x, k + 4, search_factor, least_cosine - 1e-5).search(x, np.arange(len(x)))
+        # Points by the least id of each. Of one that is among a query's k best ids, the least id is too, so k points do.
+        part = part.groupby(["h1", "h2"], sort=False).agg(model_id=("model_id", "first"), id=("id", "min"), vector=("vector", "first")).reset_index().sort_values("id", kind="stable")
+        x = np.stack(part["vector"].to_list()).astype(np.float64)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        sim, at = Searcher(x, k, search_factor, least_cosine - 1e-5).search(x, np.arange(len(x)))
         q, c = np.nonzero(at >= 0)
         other = at[q, c]
         a, b = np.minimum(q, other), np.maximum(q, other)
         ab = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         a, b = ab[:, 0], ab[:, 1]
-        cos = np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64))
+        cos = np.einsum("ij,ij->i", x[a], x[b])
         h1, h2 = part["h1"].to_numpy(), part["h2"].to_numpy()
         # The order of a shard's rows is not given; that of a pair must be.
         swap = (h1[a] > h1[b]) | ((h1[a] == h1[b]) & (h2[a] > h2[b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({"model_id": part["model_id"].to_numpy()[a] if len(part) else [], "a1": h1[a], "a2": h2[a], "b1": h1[b], "b2": h2[b], "cosine": np.round(cos, 7)})
 
-    routed = hashed.mapInArrow(spread, "shard bigint, model_id string, h1 bigint, h2 bigint, unit binary")
+    routed = hashed.mapInArrow(spread, f"shard bigint, model_id string, h1 bigint, h2 bigint, id string, vector array<{'double' if wide else 'float'}>")
     near = routed.groupBy("shard").applyInPandas(pairs, "model_id string, a1 bigint, a2 bigint, b1 bigint, b2 bigint, cosine double").filter(F.col("cosine") >= least_cosine)
     # Each pair once, then both its directions from that one row.
     once = near.groupBy("model_id", "a1", "a2", "b1", "b2").agg(F.max("cosine").alias("cosine"))

@@ -59,6 +59,18 @@ def test_copies_are_not_expanded(spark):
     assert max(max(p) for p in got) == "010"  # only the eleven least ids of equal vectors are among each other's ten
 
 
+def test_scaled_copies_rank_by_id(spark):
+    x = np.concatenate([np.outer(np.arange(1, 601) / 7, vectors(1, 16, 5)[0]), vectors(60, 16, 6)]).astype(np.float32)
+    order = np.random.RandomState(2).permutation(len(x))
+    x, ids = x[order], [f"{i:04d}" for i in order]
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 7)
+    best = [set(sorted((j for j in range(len(x)) if j != i and s[i, j] >= 0.9), key=lambda j: (-s[i, j], ids[j]))[:10]) for i in range(len(x))]
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(x)) for j in best[i] if i in best[j]}
+    assert {("0000", "0010"), ("0000", "0001")} <= want
+    assert {(r[1], r[2]) for r in neighbors.similar_pairs(frame(spark, x, ids), 0.9, route_factor=1.0, search_factor=1.0, shard_rows=100).collect()} == want
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
