@@ -12,6 +12,7 @@ shard is searched by a tree of its own. A search for given queries builds a tree
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -318,9 +319,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, factor: float =
                     asked, q = queries[m]
                     if not len(x) or not len(q):
                         continue
-                    row = {h: i for i, h in enumerate(hashes)}
-                    own = np.array([row.get(h, -1) for h in asked])
-                    sim, got = Searcher(x, min(k + 2, max(1, len(x))), factor).search(q, own)
+                    # Rows in the order of ids, repeated ones once; an id with several vectors may fill as many places.
+                    once: dict[tuple[str, bytes], int] = {(h, x[i].tobytes()): i for i, h in enumerate(hashes)}
+                    at = np.array([once[key] for key in sorted(once, key=lambda key: key[0])])
+                    x, hashes = x[at], hashes[at]
+                    most = max(Counter(hashes.tolist()).values())
+                    sim, got = Searcher(x, min((k + 1) * most, len(x)), factor, digits=6).search(q)
                     i, j = np.nonzero(got >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array([m] * len(i)), pa.array(np.asarray(asked, object)[i].tolist()), pa.array(hashes[got[i, j]].tolist()), pa.array(np.round(sim[i, j].astype(np.float64), 6))], names=["model_id", "query_hash", "body_hash", "cosine"])
 
@@ -334,6 +338,6 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, factor: float =
             pending = []
     if pending or parts is None:
         parts = ask(pending) if parts is None else parts.unionByName(ask(pending))
-    found = parts.filter("query_hash != body_hash").distinct()
+    found = parts.filter("query_hash != body_hash").groupBy("model_id", "query_hash", "body_hash").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("model_id", "query_hash").orderBy(F.desc("cosine"), "body_hash")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("model_id", "query_hash", "body_hash", "rank", "cosine")

@@ -99,6 +99,18 @@ def test_nearest_recall(spark):
     assert exact == want
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    x = vectors(60, 12, 8)
+    x[40:] = np.outer(np.arange(1, 21) / 3, x[0])  # equal but for the scale
+    ids = [f"{i:03d}" for i in range(60)]
+    s = np.round((x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)), 6)
+    want = {(ids[i], ids[j]) for i in (1, 2, 0, 45) for j in sorted((j for j in range(60) if j != i), key=lambda j: (-s[i, j], j))[:10]}
+    order = np.random.RandomState(3).permutation([*range(60), *[3] * 90, *[50] * 30])
+    df = frame(spark, x[order], [ids[i] for i in order]).repartition(3)
+    got = neighbors.nearest(df, F.col("body_hash").isin("001", "002", "000", "045"), factor=1.0).collect()
+    assert len(got) == 40 and {(r.query_hash, r.body_hash) for r in got} == want
+
+
 # --- p4
 
 
