@@ -72,7 +72,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1)
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 words of an item with at most two wrong characters, and how many are wrong."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2, exact=False)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +98,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.groupBy("doc_kind", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_kinds, p7_ids, p8_found, p8_report, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_kinds, p7_ids, p8_found, p8_near, p8_report, p9_found, p9_profile)}
 
 SQL: dict[str, str] = {
     "p2_found": """

@@ -281,9 +281,9 @@ def test_leaks(spark):
     items = spark.createDataFrame([(70, item, 1), (70, item, 1), (71, "too short to leak", 1), (72, None, 1), (73, "intro words here " + " ".join(WORDS[2:]), 1)], "item_id bigint, text string, doc_id int")
     want = {(i, 70) for i in (1, 2, 4, 5, 12, 13)} | {(1, 73), (13, 73)}
     for k, block in ((0, 10**6), (1, 10**6), (1, 60)):
-        assert {tuple(r) for r in leaks.leaks(df, items, max_edits=k, block_chars=block).collect()} == want
+        assert {tuple(r) for r in leaks.leaks(df, items, max_edits=k, block_chars=block).collect()} == {(*w, 0) for w in want}
     near = {tuple(r) for r in leaks.leaks(df, items, max_edits=1, exact=False).collect()}
-    assert near >= want | {(14, 70)} and (6, 70) not in near
+    assert near >= {(*w, 0) for w in want} | {(14, 70, 1)} and not any(n[:2] == (6, 70) for n in near)
     assert leaks.leaks(df.limit(0), items).isEmpty() and leaks.leaks(df, items.limit(0)).isEmpty()
 
 
@@ -306,7 +306,35 @@ def test_leaks_against_brute_force(spark):
 
     want = {(d, i) for d, t in docs for i, s in items if holds(t, s)}
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_edits=1)
-    assert want and {tuple(r) for r in got.collect()} == want
+    assert want and {tuple(r) for r in got.collect()} == {(*w, 0) for w in want}
+
+
+def test_near_leaks_against_brute_force(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 6))) for _ in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(4)]
+
+    def spoil(text, edits):
+        for _ in range(edits):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "x", "x" + text[at]]) + text[at + 1 :]
+        return text
+
+    docs = []
+    for d in range(60):
+        src = rng.choice(items)[1].split()
+        at = rng.randrange(len(src) - 12)
+        docs.append((d, " ".join([rng.choice(vocab) for _ in range(8)] + [spoil(" ".join(src[at : at + rng.choice([11, 12, 13])]), d % 5)] + [rng.choice(vocab) for _ in range(8)])))
+
+    def least(text, item):
+        t, s = "".join(text.split()), item.split()
+        return min(leaks.myers("".join(s[j : j + 12]), t) for j in range(len(s) - 11))
+
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    edits = {(d, i): least(t, s) for d, t in docs for i, s in items}
+    for k in (0, 1, 2):
+        got = {tuple(r) for r in leaks.leaks(*frames, max_edits=k, exact=False).collect()}
+        assert got == {(*p, e) for p, e in edits.items() if e <= k} and any(e == k for *_, e in got)
 
 
 # --- p9
