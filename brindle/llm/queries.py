@@ -35,7 +35,8 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     large = table(spark, d, "bodies").filter(F.octet_length("bytes") > LIMIT)
-    return split_bodies(large).groupBy("body_hash").agg(F.max(F.col("long_line").cast("int")).alias("forced"))
+    cut = split_bodies(large).groupBy("body_hash").agg(F.max("piece_no").alias("last_no"), F.max(F.col("forced").cast("int")).alias("forced"))
+    return cut.filter("last_no > 0").drop("last_no")
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -130,12 +130,31 @@ def test_cuts_at_random():
         assert all(0 < e - s <= 64 for s, e, _ in pieces) and reassemble(raw, pieces) == raw
         for (_, e, kind), (s, _, _) in zip(pieces, pieces[1:]):
             assert 16 <= e - s <= 19
-            if kind == "line":
+            if kind in ("line", "paragraph"):
                 assert raw[e - 1 : e] in (b"\n", b"\r") and raw[e - 1 : e + 1] != b"\r\n"
         if not pieces:
             assert raw == b""
 
 
+def test_pieces_end_at_the_highest_boundary_that_leaves_them_half_full():
+    def kinds(raw, **levels):
+        return [(raw[s:e], k) for s, e, k in splitting.cuts(raw, 40, 0, **levels)]
+
+    assert kinds(b"one two three.\nfour five\n\nsix. seven eight\nnine ten")[0] == (b"one two three.\nfour five\n\n", "paragraph")
+    assert kinds(b"a\n \t\nb c d e f g h. i j\nk l m n o p q r s t u v w")[0] == (b"a\n \t\nb c d e f g h. i j\n", "line")
+    assert kinds(b"one two three four five. Six seven eight nine ten eleven")[0] == (b"one two three four five. ", "sentence")
+    assert kinds(b"one two three four five six seven eight nine ten")[0] == (b"one two three four five six seven eight ", "word")
+    assert kinds("漢字。".encode() * 9)[0] == ("漢字。".encode() * 4, "sentence")
+    assert kinds(b"a\n" + b"x" * 90)[0] == (b"a\n", "line") and kinds(b"x" * 90)[0] == (b"x" * 40, "hard")
+
+
+def test_forced_at_random():
+    rng = random.Random(6)
+    for _ in range(2000):
+        raw = b"".join(rng.choice([b"x" * rng.randrange(25), b"\n", b"\r\n", b"\r", b"y "]) for _ in range(rng.randrange(30)))
+        assert splitting.forced(raw, 20) == (max(map(len, raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n"))) > 20)
+
+
 def test_lines_decide_what_is_forced(spark):
     big = splitting.LIMIT
     bodies = {
@@ -144,7 +163,7 @@ def test_lines_decide_what_is_forced(spark):
     }
     rows = [(k, v, 1) for k, v in bodies.items()] + [("long", bodies["long"], 2), (None, b"abc", 3)]
     df = splitting.split_bodies(spark.createDataFrame(rows, "body_hash string, bytes binary, chunk_id int"), with_bytes=True)
-    got = {r.body_hash: r.f for r in df.groupBy("body_hash").agg(F.max("long_line").alias("f")).collect()}
+    got = {r.body_hash: r.f for r in df.groupBy("body_hash").agg(F.max("forced").alias("f")).collect()}
     assert got == {"crlf": False, "cr": False, "long": True, "last": True, "edge": False, "short": False, "utf": True, "latin": False, "": False}
     pieces = df.collect()
     assert all(len(p.piece) <= big and p.end_byte - p.start_byte == len(p.piece) for p in pieces)
