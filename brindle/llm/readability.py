@@ -24,16 +24,14 @@ MIN_WORDS = 40
 #: The model is fitted on at most so many samples, those of the least ids.
 MAX_SAMPLES = 5_000
 
-#: Frequent function words by which running text of a language is known.
+#: Frequent function words, the frame of running English.
 ENGLISH = frozenset(
     "a about after again all although an and any are as at be because been before but by can cannot could did do does each for from had has have he how i if in into is it its may "
     "more most must no not of on once one only or other our out over put should since so some such than that the their them then there these they this those through to two up upon us "
     "very was we were what when where whether which while who will with without would you your yet need look nor neither whose rather every people".split()
 )
-FOREIGN = frozenset(
-    "der die das und ist nicht ein eine einen des dem den von mit sich auf für danach wird bleibt gibt es sonst während jeden höchstens liest el la los las un una que se del por con "
-    "para como está cada cuando hasta su lo le les des et est une du au aux dans pour sur pas ne ainsi lorsque qu on vers".split()
-)
+#: A paragraph with a smaller share of them is no English prose; one with a larger share than the second is; the letters of others decide.
+FEW, MANY = 0.13, 0.4
 
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~)[^\n]*\n.*?(?:\n[ \t]*\1[^\n]*(?=\n|$)|\Z)", re.S)
 _ASIDE = re.compile(r"[,;]?\s*(?:\(?\s*(?:e\.g\.|i\.e\.|cf\.|see)\s*)?`[^`\n]{1,200}`\s*\)?")
@@ -91,17 +89,45 @@ def paragraphs(text: str | None) -> list[list[str]]:
     return out
 
 
-def english(text: str | None) -> list[list[str]]:
-    """The words of each sentence of the paragraphs that are running English."""
-    out = []
+class Letters:
+    """How much better the letter trigrams of samples explain words than their single letters do, in nats a letter."""
+
+    def __init__(self, sentences: list[list[str]]):
+        trigrams, pairs, letters = Counter(), Counter(), Counter()
+        for words in sentences:
+            line = " " + " ".join(words) + " "
+            trigrams.update(map("".join, zip(line, line[1:], line[2:])))
+            pairs.update(map("".join, zip(line, line[1:-1])))
+            letters.update(line[2:])
+        self.total = sum(letters.values())
+        self.of = {c: (n + 0.5) / (self.total + 20) for c, n in letters.items()}
+        self.odds = {t: math.log((n + 4 * self.of[t[2]]) / ((pairs[t[:2]] + 4) * self.of[t[2]])) for t, n in trigrams.items()}
+        self.unseen = {p: math.log(4 / (n + 4)) for p, n in pairs.items()}
+
+    def gain(self, words: list[str]) -> float:
+        line = " " + " ".join(words) + " "
+        odds, unseen = self.odds, self.unseen
+        return sum(odds[t] if t in odds else unseen.get(t[:2], 0.0) for t in map("".join, zip(line, line[1:], line[2:]))) / max(1, len(line) - 2)
+
+
+def _sentences(text: str | None) -> Iterator[list[list[str]]]:
     for p in paragraphs(text):
         words = [[w.lower().replace("’", "'") for w in _WORD.findall(s)] for s in p]
+        if sum(map(len, words)) >= 3:
+            yield [s for s in words if s]
+
+
+def english(text: str | None, letters: Letters) -> list[list[str]]:
+    """The words of each sentence of the paragraphs that are running English.
+
+    Where function words leave it open, English is what the samples' trigrams explain better than their single letters.
+    """
+    out = []
+    for words in _sentences(text):
         flat = [w for s in words for w in s]
-        if len(flat) < 3:
-            continue
         known = sum(w in ENGLISH for w in flat)
-        if known >= 0.13 * len(flat) and known > sum(w in FOREIGN for w in flat):
-            out += [s for s in words if s]
+        if known >= FEW * len(flat) and (known >= MANY * len(flat) or letters.gain(flat) > 0):
+            out += words
     return out
 
 
@@ -111,7 +137,7 @@ def syllables(word: str) -> int:
     return max(1, n - (word.endswith("e") and not word.endswith("le") and n > 1))
 
 
-FEATURES = ("sentence_length", "long_sentences", "commas_by_and", "word_length", "long_words", "very_long_words", "syllables", "vocabulary", "hard_vocabulary", "easy_vocabulary")
+FEATURES = ("sentence_length", "long_sentences", "connectives", "word_length", "long_words", "very_long_words", "syllables", "vocabulary", "hard_vocabulary", "easy_vocabulary")
 
 
 def features(sentences: list[list[str]], lexicon: dict[str, float]) -> list[float]:
@@ -132,6 +158,7 @@ def features(sentences: list[list[str]], lexicon: dict[str, float]) -> list[floa
 
 @dataclass
 class Model:
+    letters: Letters
     lexicon: dict[str, float]
     mean: np.ndarray
     scale: np.ndarray
@@ -173,10 +200,39 @@ def learn_lexicon(texts: list[list[list[str]]], grades: np.ndarray) -> dict[str,
     return {w: total[w] / (count[w] + 2.0) for w in count}
 
 
+def pairwise_weights(z: np.ndarray, y: np.ndarray, ridge: float, block: int = 512) -> np.ndarray:
+    """The weights of a logistic regression on the differences of all pairs of rows of different grades.
+
+    Pairs are summed in blocks of rows: of the differences d = zi - zj, sums of p d and of q d d' need only the sums of p
+    and q over rows and columns, and the products of z with q, so that no pair is ever kept.
+    """
+    w = np.zeros(z.shape[1])
+    pairs = max(1, sum(int((y < g).sum()) * int((y == g).sum()) for g in np.unique(y)))
+    for _ in range(50):
+        s = z @ w
+        grad, hess = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for i in range(0, len(y), block):
+            rows = slice(i, i + block)
+            over = y[rows, None] > y[None, :]
+            p = 1 / (1 + np.exp(-np.clip(s[rows, None] - s[None, :], -30, 30)))
+            miss, q = np.where(over, 1 - p, 0.0), np.where(over, p * (1 - p), 0.0)
+            grad += z[rows].T @ miss.sum(1) - z.T @ miss.sum(0)
+            cross = z[rows].T @ (q @ z)
+            hess += (z[rows] * q.sum(1)[:, None]).T @ z[rows] + (z * q.sum(0)[:, None]).T @ z - cross - cross.T
+        step = np.linalg.solve(hess / pairs + ridge * np.eye(len(w)) / len(y), grad / pairs - ridge * w / len(y))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def fit(texts: list[str], grades: list[int], ridge: float = 1.0) -> Model:
     """Learns the ranker from all pairs of texts of different grades, by logistic regression on their differences."""
     y = np.asarray(grades, float)
-    parsed = [english(t) for t in texts]
+    same: dict[str, str] = {}  # one object a word, however many texts hold it
+    raw = [[[same.setdefault(w, w) for w in s] for p in _sentences(t) for s in p] for t in texts]
+    letters = Letters([s for p in raw for s in p])
+    parsed = [[[same[w] for w in s] for s in english(t, letters)] for t in texts]
     lexicon = learn_lexicon(parsed, y)
     # A text's own words would flatter its vocabulary features: each fifth is described by the lexicon of the others.
     fold = np.arange(len(y)) % 5
@@ -188,20 +244,10 @@ def fit(texts: list[str], grades: list[int], ridge: float = 1.0) -> Model:
             x[i] = features(parsed[i], part)
     mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
     z = (x - mean) / scale
-    hi, lo = np.nonzero(y[:, None] > y[None, :])
-    diff = z[hi] - z[lo]
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ (1 - p) / len(diff) - ridge * w / len(y)
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(len(w)) / len(y)
-        step = np.linalg.solve(hess, grad)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
+    w = pairwise_weights(z, y, ridge)
     s = z @ w
     order = np.argsort(s, kind="stable")
-    return Model(lexicon, mean, scale, w, s[order], isotonic(y[order]))
+    return Model(letters, lexicon, mean, scale, w, s[order], isotonic(y[order]))
 
 
 def reading_levels(docs: DataFrame, samples: DataFrame, min_words: int = MIN_WORDS, max_samples: int = MAX_SAMPLES) -> DataFrame:
@@ -222,7 +268,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, min_words: int = MIN_WOR
         for b in batches:
             ids, rows = [], []
             for i, t in zip(b["doc_id"], b["text"]):
-                s = english(t)
+                s = english(t, model.letters)
                 if sum(map(len, s)) >= min_words:
                     ids.append(i)
                     rows.append(features(s, model.lexicon))

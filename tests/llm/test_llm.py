@@ -374,11 +374,54 @@ def test_held_out_accuracy():
     for k in range(5):
         train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         m = readability.fit([s[i]["text"] for i in train], [int(y[i]) for i in train])
-        x = np.array([readability.features(readability.english(s[i]["text"]), m.lexicon) for i in test])
+        x = np.array([readability.features(readability.english(s[i]["text"], m.letters), m.lexicon) for i in test])
         right += int((m.level(x) == y[test]).sum())
     assert right >= 0.95 * len(s)
 
 
+def test_pairs_in_blocks_give_the_weights_of_all_pairs():
+    rng = np.random.RandomState(4)
+    y = rng.randint(1, 5, 90).astype(float)
+    z = rng.normal(size=(90, 4)) + y[:, None] * [0.5, 0.2, 0.0, -0.3]
+    hi, lo = np.nonzero(y[:, None] > y[None, :])
+    d, w = z[hi] - z[lo], np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + np.eye(4) / 90, d.T @ (1 - p) / len(d) - w / 90)
+    for block in (7, 90, 512):
+        assert np.allclose(readability.pairwise_weights(z, y, 1.0, block), w, atol=1e-6)
+
+
+@needs_data
+def test_a_fit_at_its_bound_stays_small():
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    s = pq.read_table(f"{DATA}/reading_samples.parquet").to_pylist() * 32
+    x = np.random.RandomState(1).normal(size=(readability.MAX_SAMPLES, len(readability.FEATURES)))
+    tracemalloc.start()
+    readability.pairwise_weights(x, np.array([r["reading_level"] for r in s][: len(x)], float), 1.0)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+@needs_data
+def test_the_gate_keeps_english_and_leaves_out_other_languages():
+    import pyarrow.parquet as pq
+
+    s = pq.read_table(f"{DATA}/reading_samples.parquet").to_pylist()
+    letters = readability.fit([r["text"] for r in s], [r["reading_level"] for r in s]).letters
+    foreign = [
+        "De wet is in de maand van mei door de kamer aangenomen en we moeten over de gevolgen daarvan nog spreken.", "O livro que a menina leu no domingo fala de uma casa no campo onde as pessoas do lugar se encontram.",
+        "Il ramo viene chiuso quando i dati sono stati salvati e la revisione torna visibile in ogni copia.", "Det er ikke at for alle i denne verden at man skal tale over til de andre i byen.",
+        "Der Zweig wird danach geschlossen und die Revision bleibt in jedem Fall erhalten.", "La rama se cierra cuando los datos se guardan y la revisión vuelve a ser visible.", "Galaz zostaje zamknieta gdy dane sa zapisane w pliku i w bazie.",
+    ]
+    assert all(not readability.english(t, letters) for t in foreign)
+    plain = ["Copy the active folder in this module.", "Heavy rain fell over southern hills while farmers waited inside old barns.", "Jazz music spread quickly along rivers, carried by travelling bands."]
+    assert all(readability.english(t, letters) for t in plain)
+
+
 EASY = "The cat sees a dog. We take the key now. A box can be red. You can get the big map. Then the man is at the door. It has a new lid. "
 HARD = "Notwithstanding the considerable heterogeneity attributed to institutional identities, the characteristic authoritativeness that corroborates such confidentiality remains contingent upon an antecedent reproducibility. "
 
