@@ -1,8 +1,10 @@
 """Source files that nobody wrote by hand: output of tools, minified scripts, third-party copies and data saved as code.
 
-Paths and the comments at the head of a file tell most of them. What is left is compared with the third-party files found
-so far, over an inverted index of the hashes of their lines: a file most of whose lines stand in one third-party file is
-an edited copy of it. The composition of a file's tokens tells minified scripts, data and repetitive output of tools.
+Paths and the comments at the head of a file tell many of them. What is left is compared over inverted indexes of hashes
+of lines: a file most of whose lines stand in one third-party file is an edited copy of it, and a file most of whose runs
+of lines stand in several repositories is third-party code, although nothing says so anywhere. A run of three lines is so
+rare that it hardly ever occurs twice by chance. The composition of the tokens of what remains tells minified scripts,
+data and repetitive output of tools.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ LINE_CHARS = 12
 #: A copy is first looked for among so many third-party contents of each line; what is not found so is looked for among all.
 NEAR = 8
 CONTAINED, LEAST_LINES = 0.6, 5
+#: Lines a run, the share of a content's runs that must stand in so many repositories, its own counted. A run outlives an
+#: edit if its three lines do, so that of a copy with three quarters of its lines left about 0.4 of the runs are.
+RUN, SPREAD_SHARE, REPOSITORIES = 3, 0.4, 3
 
 #: Directories and names, in lower case, of third-party copies and of what tools write.
 VENDOR_DIRS = "vendor|_vendor|third_party|third-party|thirdparty|3rdparty|3rd_party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|external|extern|\\.venv|venv|pods|carthage|godeps"
@@ -66,8 +71,6 @@ def composition(text: str, lines: list[str]) -> str | None:
     """minified, data or tool, if the tokens of the text tell it; else null."""
     body = "\n".join(lines)
     bulk = sum(len(x) for x in lines)
-    if bulk < 200:
-        return None
     code = _NOTES.sub(" ", body)
     size: Counter[str] = Counter()
     for line in code.split("\n"):
@@ -98,16 +101,34 @@ def composition(text: str, lines: list[str]) -> str | None:
     return None
 
 
-def inspect(data: bytes) -> tuple[str | None, list[int]]:
-    """(what the content tells: tool, vendored, minified, data or null; hashes of its telling lines)."""
+def inspect(data: bytes) -> tuple[str | None, list[int], list[int]]:
+    """(what the content tells: tool, vendored, minified, data or null; hashes of its telling lines, and of their runs)."""
     import xxhash
 
     text = data.decode("utf-8", "replace")
     lines = _LINES.split(text)
     head = "\n".join(x for x in head_comments(lines).split("\n") if not HAND_WORDS.search(x))
     kind = "tool" if TOOL_WORDS.search(head) else "vendored" if VENDOR_WORDS.search(head) else composition(text, lines)
-    telling = {s for x in lines if len(s := x.strip()) >= LINE_CHARS and not _COMMENT.match(s)}
-    return kind, sorted(xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63) for s in telling)
+    telling = [xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63) for x in lines if len(s := x.strip()) >= LINE_CHARS and not _COMMENT.match(s)]
+    runs = {xxhash.xxh64_intdigest(repr(telling[i : i + RUN])) - (1 << 63) for i in range(len(telling) - RUN + 1)}
+    return kind, sorted(set(telling)), sorted(runs)
+
+
+def tree_root(path: Column) -> Column:
+    """The folder at the top of a path, in lower case: a file's repository where none is named. '' for a bare name."""
+    return F.regexp_extract(F.lower(F.translate(path, "\\", "/")), r"^(?:\.?/)*([^/]+)/", 1)
+
+
+def spread_out(contents: DataFrame, places: DataFrame, share: float, repositories: int, least: int) -> DataFrame:
+    """(body_hash) of the contents (body_hash, runs) of which ``share`` of the runs, and ``least``, each stand in as many repositories.
+
+    places: body_hash, repository. Runs are counted, never paired, so that no number of copies makes more than a row each.
+    """
+    held = contents.join(places.distinct(), "body_hash").select(F.explode("runs").alias("run"), "repository")
+    wide = held.groupBy("run", "repository").agg(F.lit(1).alias("one")).groupBy("run").agg(F.count("one").alias("n")).filter(F.col("n") >= repositories).select("run")
+    needed = F.greatest(F.lit(least), F.ceil(F.col("total") * share - 1e-9))
+    mine = contents.select("body_hash", F.size("runs").alias("total"), F.explode("runs").alias("run")).join(wide, "run", "left_semi")
+    return mine.groupBy("body_hash", "total").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed).select("body_hash")
 
 
 def path_kind(path: Column) -> Column:
@@ -120,7 +141,7 @@ def path_kind(path: Column) -> Column:
     )
 
 
-def not_handwritten(files: DataFrame, bodies: DataFrame, contained: float = CONTAINED, least_lines: int = LEAST_LINES) -> DataFrame:
+def not_handwritten(files: DataFrame, bodies: DataFrame, contained: float = CONTAINED, least_lines: int = LEAST_LINES, repository: str | None = None, spread_share: float = SPREAD_SHARE, repositories: int = REPOSITORIES) -> DataFrame:
     """(file_path, kind) of the distinct paths whose file is not hand-written; kind is vendored, tool, minified or data.
 
     files: file_path, body_hash (plain, null if unknown), any rows; bodies: body_hash, bytes. A path that has several
@@ -130,26 +151,32 @@ def not_handwritten(files: DataFrame, bodies: DataFrame, contained: float = CONT
 
     A content is a copy if ``contained`` of its lines, and ``least_lines``, stand in one third-party content, however many
     contents hold them. Contents of which too few lines stand in any are left out first. A copy's rarest lines are so many
-    that one of them must stand in the original, so the search by them loses none.
+    that one of them must stand in the original, so the search by them loses none. A content is third-party, too, if
+    ``spread_share`` of its runs of three lines, and ``least_lines``, each stand in ``repositories`` repositories: those
+    named by the column ``repository`` of files, else the folders at the top of the paths. Either test is off if its share
+    is above 1.
     """
     from brindle.workspace import Workspace
 
     ws = Workspace(files.sparkSession, "handwritten")
-    f = files.select("file_path", "body_hash").filter("file_path is not null").distinct()
+    owner = tree_root(F.col("file_path")) if repository is None else F.col(repository).cast("string")
+    placed = files.select("file_path", "body_hash", owner.alias("repository")).filter("file_path is not null").distinct()
+    f = placed.select("file_path", "body_hash").distinct()
     wanted = f.filter("body_hash is not null").select("body_hash").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for b in batches:
-            out: list[tuple[str, str | None, list[int]]] = []
+            out: list[tuple[str, str | None, list[int], list[int]]] = []
             for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if h not in seen:
                     seen.add(h)
                     out.append((h, *inspect(raw)))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64()))], names=["body_hash", "said", "lines"])
+            cols = list(zip(*out)) if out else [()] * 4
+            types = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["body_hash", "said", "lines", "runs"])
 
-    contents = bodies.select("body_hash", "bytes").filter("body_hash is not null and octet_length(bytes) > 0").join(wanted, "body_hash", "left_semi").mapInArrow(run, "body_hash string, said string, lines array<bigint>").dropDuplicates(["body_hash"])
+    contents = bodies.select("body_hash", "bytes").filter("body_hash is not null and octet_length(bytes) > 0").join(wanted, "body_hash", "left_semi").mapInArrow(run, "body_hash string, said string, lines array<bigint>, runs array<bigint>").dropDuplicates(["body_hash"])
     contents = ws.write(contents, "contents")
     judged = f.join(contents.select("body_hash", "said", F.lit(True).alias("there")), "body_hash", "left").withColumn("kind", F.coalesce(path_kind(F.col("file_path")), "said"))
 
@@ -173,5 +200,6 @@ def not_handwritten(files: DataFrame, bodies: DataFrame, contained: float = CONT
     pairs = rarest.join(source, "line").select("body_hash", "source").distinct()
     both = pairs.join(rest.select("body_hash", "least", "has"), "body_hash").join(by_content.filter("third").select(F.col("body_hash").alias("source"), "lines"), "source")
     copies = soon.unionByName(both.filter(F.size(F.array_intersect("has", "lines")) >= F.col("least")).select("body_hash")).distinct()
-    copied = judged.filter("kind is null").join(copies, "body_hash", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
+    shared = spread_out(contents.select("body_hash", "runs"), placed.filter("body_hash is not null").select("body_hash", "repository"), spread_share, repositories, least_lines)
+    copied = judged.filter("kind is null").join(copies.unionByName(shared).distinct(), "body_hash", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
     return judged.filter("kind is not null").select("file_path", "kind").unionByName(copied).groupBy("file_path").agg(F.max("kind").alias("kind"))

@@ -204,9 +204,14 @@ def test_handwritten_rules(spark, path, text, found):
     assert [r.file_path for r in handwritten.not_handwritten(files, bodies).collect()] == ([path] if found else [])
 
 
+def code_line(rng, word):
+    """A line of code of no common shape, so that token composition tells nothing."""
+    return f"{word}{rng.randrange(10**6)} = " + " ".join(rng.choice(["a", "+", "7", "(b)", "c.d", "*", "[e]", "f(9)", "!", "- 2"]) for _ in range(rng.randrange(4, 12))) + ";"
+
+
 def test_edited_copies_are_found_by_lines(spark):
     rng = random.Random(3)
-    line = lambda w: f"{w}{rng.randrange(10**5)} = " + " ".join(rng.choice(["a", "+", "7", "(b)", "c.d", "*", "[e]", "f(9)", "!", "- 2"]) for _ in range(rng.randrange(4, 12))) + ";"
+    line = lambda w: code_line(rng, w)
     lines, own = [line("value_") for _ in range(30)], [line("other_") for _ in range(30)]
     files = spark.createDataFrame([("vendor/z/a.c", "v"), ("src/copy.c", "c"), ("src/own.c", "o"), ("src/little.c", "l")], "file_path string, body_hash string")
     text = {"v": lines, "c": lines[:15] + own[:6] + lines[15:], "o": own, "l": own[6:] + lines[:4]}
@@ -217,7 +222,7 @@ def test_edited_copies_are_found_by_lines(spark):
 
 def test_copies_of_a_library_held_by_many_contents_are_found(spark):
     rng = random.Random(9)
-    line = lambda w: f"{w}{rng.randrange(10**6)} = call({rng.randrange(99)}, x[{rng.randrange(9)}]) - " + "abc"[: rng.randrange(1, 4)] + ";"
+    line = lambda w: code_line(rng, w)
     lib, text = [line("lib_") for _ in range(40)], {}
     for i in range(90):  # every version lacks some lines and has some of its own
         text[f"vendor/z{i}/a.c"] = [x for x in lib if rng.random() < 0.9] + [line("version_") for _ in range(4)]
@@ -228,6 +233,38 @@ def test_copies_of_a_library_held_by_many_contents_are_found(spark):
     assert {r.file_path for r in handwritten.not_handwritten(files, bodies).collect()} == text.keys() - {"src/own.c"}
 
 
+def test_edited_copies_without_any_mark_are_found_by_their_spread(spark):
+    rng = random.Random(10)
+    line = lambda w: code_line(rng, w)
+    lib, common, text = [line("lib_") for _ in range(60)], [line("idiom_") for _ in range(9)], {}
+    for i in range(100):  # nothing names the original, and no two copies are equal
+        text[f"team{i}/util/a{i}.c"] = [line("own_") if rng.random() < 0.08 else x for x in lib]
+    own = {f"team{i}/src/own{i}.c": [line("hand_") for _ in range(30)] + common[: i % 9] for i in range(40)}
+    twin = [line("two_") for _ in range(30)]
+    two = {f"team{i}/src/two.c": twin[i:] for i in range(2)}
+    files = spark.createDataFrame([(k, k, k.split("/")[0]) for k in text | own | two], "file_path string, body_hash string, owner string")
+    bodies = spark.createDataFrame([(k, "\n".join(v).encode()) for k, v in (text | own | two).items()], "body_hash string, bytes binary")
+    assert {r.file_path: r.kind for r in handwritten.not_handwritten(files, bodies).collect()} == dict.fromkeys(text, "vendored")
+    assert {r.file_path for r in handwritten.not_handwritten(files, bodies, repository="owner").collect()} == text.keys()
+    assert handwritten.not_handwritten(files.withColumn("owner", F.lit("one")), bodies, repository="owner").isEmpty()
+    assert handwritten.not_handwritten(files, bodies, spread_share=2.0).isEmpty()
+
+
+def test_switching_the_line_index_off_loses_copies(spark):
+    rng = random.Random(11)
+    line = lambda w: code_line(rng, w)
+    lib = [line("lib_") for _ in range(40)]
+    text = {"vendor/z/a.c": lib, "src/copy.c": lib[:30] + [line("own_") for _ in range(9)]}
+    files = spark.createDataFrame([(k, k) for k in text], "file_path string, body_hash string")
+    bodies = spark.createDataFrame([(k, "\n".join(v).encode()) for k, v in text.items()], "body_hash string, bytes binary")
+    assert handwritten.not_handwritten(files, bodies).count() == 2 and handwritten.not_handwritten(files, bodies, contained=2.0).count() == 1
+
+
+def test_short_contents_are_judged_by_their_tokens():
+    assert handwritten.inspect(b"T = [0x12, 0x34, 0x9a, 0x77, 0x01, 0x02]\n")[0] == "data"
+    assert handwritten.inspect(b"x = 1\n")[0] is None and handwritten.inspect(b"from a import b\n\nVERSION = '1.2'\n")[0] is None
+
+
 def test_long_heads_are_read_whole():
     head = [f"// licence, line {i}" for i in range(90)]
     assert handwritten.inspect("\n".join([*head, "// Code generated by x. DO NOT EDIT.", "int a;"]).encode())[0] == "tool"
