@@ -92,13 +92,38 @@ def test_nearest_recall(spark):
     asked = [i for i in range(len(x)) if i % 50 == 0]
     want = {(ids[i], ids[j]) for i in asked for j in np.argsort(-s[i])[:10]}
     q = F.col("body_hash").cast("int") % 50 == 0
-    got = neighbors.nearest(frame(spark, x, ids), q, block=11).collect()
+    got = neighbors.nearest(frame(spark, x, ids), q, shard_rows=150).collect()
     assert len(got) == 10 * len(asked)
     assert len({(r.query_hash, r.body_hash) for r in got} & want) >= 0.9 * len(want)
-    exact = {(r.query_hash, r.body_hash) for r in neighbors.nearest(frame(spark, x, ids), q, factor=1.0).collect()}
+    exact = {(r.query_hash, r.body_hash) for r in neighbors.nearest(frame(spark, x, ids), q, factor=1.0, shard_rows=150).collect()}
     assert exact == want
 
 
+def test_large_shards_are_split_again(spark):
+    """A sample far too small for the table: the shards it gives are split on the executors until they are small."""
+    rng = np.random.RandomState(11)
+    n, rows, sample = 50_000, 300, 200
+    x = np.repeat(rng.normal(size=(n // 50, 16)), 50, axis=0) + 0.25 * rng.normal(size=(n, 16))
+    ids = [f"{i:06d}" for i in range(n)]
+    df = frame(spark, x, ids).repartition(4)
+    v, models = neighbors._usable(df, F.col("body_hash").cast("int") % 50 == 0)
+    margin = 0.15 * float(neighbors.chord(0.99)) / 2
+    cut = neighbors.Shards(v, models, margin, sample, rows)
+    sizes = [r["count"] for r in cut.rows.groupBy("shard").count().collect()]
+    assert cut.levels and max(sizes) <= 2 * neighbors.LARGE * rows and cut.rows.select("id").distinct().count() == n
+    got = {(r.query_hash, r.body_hash) for r in neighbors.nearest(df, F.col("body_hash").cast("int") % 500 == 0, sample=sample, shard_rows=rows).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, n, 500):
+        s = u @ u[i]
+        s[i] = -2
+        want |= {(ids[i], ids[j]) for j in np.argsort(-s)[:10]}
+    assert len(got & want) >= 0.9 * len(want)
+    pairs = {(r[1], r[2]) for r in neighbors.similar_pairs(df, 0.99, sample=sample, shard_rows=rows).collect()}
+    whole = {(r[1], r[2]) for r in neighbors.similar_pairs(df, 0.99).collect()}
+    assert len(whole) > 500 and len(pairs & whole) >= 0.9 * len(whole)
+
 def test_nearest_counts_repeated_rows_once(spark):
     x = vectors(60, 12, 8)
     x[40:] = np.outer(np.arange(1, 21) / 3, x[0])  # equal but for the scale
