@@ -12,7 +12,8 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -36,15 +37,16 @@ _PAD = np.zeros(LANE, np.uint32)
 class Stream:
     """The words of a text as one string of letters and digits, with the offsets at which they begin and end."""
 
-    __slots__ = ("text", "starts", "ends")
-
     def __init__(self, words: list[str]):
-        self.text = "".join(words)
-        self.starts, self.ends, at = [], [], 0
-        for w in words:
-            self.starts.append(at)
-            at += len(w)
-            self.ends.append(at)
+        self.words, self.text = words, "".join(words)
+
+    @cached_property
+    def ends(self) -> list[int]:
+        return list(accumulate(map(len, self.words)))
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [0, *self.ends[:-1]] if self.words else []
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,8 +68,11 @@ def words_of(text: str | None) -> list[str]:
     return find(text)
 
 
-def myers(pattern: str, text: str) -> int:
-    """The least edit distance of pattern to any stretch of text, by Myers' bit vectors."""
+def myers(pattern: str, text: str, most: int | None = None) -> int:
+    """The least edit distance of pattern to any stretch of text, by Myers' bit vectors.
+
+    With ``most`` given, a number above it only says that the distance is above it: the search ends where it must be.
+    """
     m = len(pattern)
     if not m:
         return 0
@@ -76,7 +81,12 @@ def myers(pattern: str, text: str) -> int:
         peq[ch] = peq.get(ch, 0) | (1 << i)
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = full, 0, m, m
+    # Each character of the text lowers the score by one at most.
+    bound = m + len(text) if most is None else most + len(text)
     for ch in text:
+        if score > bound and best > most:
+            break
+        bound -= 1
         eq = peq.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -151,7 +161,10 @@ class Finder:
             self.auto.make_automaton()
 
     def _distance(self, s: Stream, w: int, doc: str, at: int) -> int:
-        """The least edit distance, or budget plus one, of a stretch of min_words words of the item around piece w, which stands at ``at``."""
+        """An edit distance, or budget plus one, of a stretch of min_words words of the item around piece w, which stands at ``at``.
+
+        It is the least of any stretch unless words must be equal, as then one within the budget will do.
+        """
         first, last = max(0, w + self.piece - self.n), min(w, len(s.starts) - self.n)
         best = self.k + 1
         for a in range(first, last + 1):
@@ -159,8 +172,8 @@ class Finder:
             if at - left < -self.k or at + right > len(doc) + self.k:
                 continue
             stretch = doc[max(0, at - left - self.k) : at + right + self.k]
-            best = min(best, myers(s.text[s.starts[a] : s.ends[a + self.n - 1]], stretch))
-            if not best:
+            best = min(best, myers(s.text[s.starts[a] : s.ends[a + self.n - 1]], stretch, self.k))
+            if not best or (self.exact and best <= self.k):
                 break
         return best
 
