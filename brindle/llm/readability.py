@@ -39,6 +39,7 @@ _ASIDE = re.compile(r"[,;]?\s*(?:\(?\s*(?:e\.g\.|i\.e\.|cf\.|see)\s*)?`[^`\n]{1,
 _CITED = re.compile(r",?\s*\(?\s*(?:e\.g\.|cf\.)\s+[\w./:-]+\s*\)?|\s+since v?\d+(?:\.\d+)+")
 _MAY_CITE = re.compile(r"e\.g\.|cf\.|since")
 _SYMBOL = re.compile(r"::|\w\(\)|[A-Za-z0-9]_[A-Za-z0-9]|[A-Za-z]{2,}[./][A-Za-z]{2,}|https?://")
+_INNER_DOT = re.compile(r"[A-Za-z]\.[A-Za-z]")
 _MAY_BE_SYMBOL = re.compile(r"[:(_./]")
 _MARKS = re.compile(r"[*_~\"“”„«»()\[\]<>|]+")
 _BULLET = re.compile(r"^\s*(?:[-*+•>]+|\d+[.)])\s+")
@@ -52,20 +53,34 @@ _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:['’][A-Za-z]+)?")
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
+class _Seen(dict):
+    """Characters without those of no width and controls, each looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = code if c in "\n\t" or unicodedata.category(c) not in ("Cc", "Cf", "Mn") else None
+        return self[code]
+
+
+_SEEN = _Seen()
+
+
 def paragraphs(text: str | None) -> list[list[str]]:
     """Paragraphs of sentences of prose: code, headings, symbol names and marks are left out."""
     if not text:
         return []
     text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n").replace("\x85", "\n").replace(" ", "\n").replace(" ", "\n\n")
-    text = "".join(c for c in text if c == "\n" or c == "\t" or unicodedata.category(c) not in ("Cc", "Cf", "Mn")) if not text.isascii() else text
+    text = text if text.isascii() else text.translate(_SEEN)
     text = _FENCE.sub("\n\n", text)
     out: list[list[str]] = []
     block: list[str] = []
 
     def close() -> None:
         if block:
-            words = [w for w in " ".join(block).split() if not (_MAY_BE_SYMBOL.search(w) and _SYMBOL.search(w))]
-            prose = _MARKS.sub(" ", " ".join(words))
+            prose = " ".join(block)
+            if "_" in prose or "/" in prose or "::" in prose or "()" in prose or _INNER_DOT.search(prose):
+                prose = " ".join(w for w in prose.split() if not (_MAY_BE_SYMBOL.search(w) and _SYMBOL.search(w)))
+            prose = _MARKS.sub(" ", prose)
             got = [s for s in _SENTENCE.split(prose) if s.strip()]
             if got:
                 out.append(got)
@@ -130,7 +145,7 @@ def learn_letters(sentences: list[list[str]], parts: int = 5) -> Letters:
 
 def _sentences(text: str | None) -> Iterator[list[list[str]]]:
     for p in paragraphs(text):
-        words = [[w.lower().replace("’", "'") for w in _WORD.findall(s)] for s in p]
+        words = [_WORD.findall(s.lower().replace("’", "'")) for s in p]
         if sum(map(len, words)) >= 3:
             yield [s for s in words if s]
 
@@ -143,7 +158,7 @@ def english(text: str | None, letters: Letters) -> list[list[str]]:
     out = []
     for words in _sentences(text):
         flat = [w for s in words for w in s]
-        known = sum(w in ENGLISH for w in flat)
+        known = sum(map(ENGLISH.__contains__, flat))
         if known >= FEW * len(flat) and (known >= MANY * len(flat) or letters.tell(flat)):
             out += words
     return out
