@@ -70,6 +70,10 @@ class Graph:
     deletions: DataFrame
     now_ms: int
     policy: Policy = field(default_factory=Policy)
+    #: What each branch's identities resolve to, written once however many views of the branch there are.
+    resolved: dict[int, DataFrame] = field(default_factory=dict, repr=False)
+    #: Each branch's chain and fork time.
+    chains: dict[int, tuple[list[int], int | None]] = field(default_factory=dict, repr=False)
 
 
 def branch_chain(branches: DataFrame, branch_id: int) -> list[int]:
@@ -91,10 +95,10 @@ class View:
 
     def __init__(self, g: Graph, branch_id: int):
         self.g, self.branch_id = g, branch_id
-        self.chain = branch_chain(g.branches, branch_id)
-        row = g.branches.filter(F.col("branch_id") == branch_id).select("fork_ts_ms").head()
-        self.fork_ts = row[0] if row else None
-        self._resolved: DataFrame | None = None
+        if branch_id not in g.chains:
+            row = g.branches.filter(F.col("branch_id") == branch_id).select("fork_ts_ms").head()
+            g.chains[branch_id] = branch_chain(g.branches, branch_id), row[0] if row else None
+        self.chain, self.fork_ts = g.chains[branch_id]
 
     def pos(self, branch: Column) -> Column:
         """Place of a branch in the chain, null if it is not on it."""
@@ -120,11 +124,11 @@ class View:
     def resolved(self) -> DataFrame:
         """(identity_id, revision_id): what each identity resolves to; identities that resolve to nothing have no row.
 
-        Written once for a view: every walk reads it several times, and it is no larger than the table of identities.
+        Written once for a branch: every walk reads it several times, and it is no larger than the table of identities.
         """
-        if self._resolved is None:
-            self._resolved = Workspace(self.g.revisions.sparkSession, "view").write(self._resolve(), "resolved")
-        return self._resolved
+        if self.branch_id not in self.g.resolved:
+            self.g.resolved[self.branch_id] = Workspace(self.g.revisions.sparkSession, "view").write(self._resolve(), "resolved")
+        return self.g.resolved[self.branch_id]
 
     def _resolve(self) -> DataFrame:
         r = self.on_chain(self.g.revisions)
@@ -152,23 +156,35 @@ class View:
         r = self.g.revisions.select(F.col("revision_id"), F.col("identity_id").alias("t_identity_id"), F.col("branch_id").alias("t_branch_id"), F.col("status").alias("t_status"), F.col("qualified_name").alias("t_qualified_name"), F.col("file_path").alias("t_file_path"), F.col("kind").alias("t_kind"), F.col("ts_ms").alias("t_ts_ms"))
         return self.resolved().join(r, "revision_id")
 
-    def effective_edges(self) -> DataFrame:
-        """edges with eff: the target after the nearest override on the chain."""
-        o = self.on_chain(self.g.overrides).groupBy("source_revision_id", "edge_id").agg(F.min_by("new_target", "pos").alias("new_target"))
-        return self.g.edges.join(o, ["source_revision_id", "edge_id"], "left").withColumn("eff", F.coalesce("new_target", "target_identity_id")).withColumn("edge_conf", edge_confidence(F.col("resolver"), F.col("last_validation_ms"), self.g.now_ms, self.g.policy.half_life_days))
+    def effective_edges(self, ids: list[int] | None = None) -> DataFrame:
+        """edges with eff: the target after the nearest override on the chain; with ids only those that lead to one of them.
+
+        ids are few (a caller's own, or the hits of a search), so that they reach the scan of the edges as a filter.
+        """
+        over, edges = self.on_chain(self.g.overrides), self.g.edges
+        if ids is not None:
+            turned = edges.join(over.filter(F.col("new_target").isin(ids)).select("source_revision_id", "edge_id").distinct(), ["source_revision_id", "edge_id"], "left_semi")
+            edges = edges.filter(F.col("target_identity_id").isin(ids)).unionByName(turned.filter(~F.col("target_identity_id").isin(ids)))
+        o = over.groupBy("source_revision_id", "edge_id").agg(F.min_by("new_target", "pos").alias("new_target"))
+        e = edges.join(o, ["source_revision_id", "edge_id"], "left").withColumn("eff", F.coalesce("new_target", "target_identity_id"))
+        e = e if ids is None else e.filter(F.col("eff").isin(ids))
+        return e.withColumn("edge_conf", edge_confidence(F.col("resolver"), F.col("last_validation_ms"), self.g.now_ms, self.g.policy.half_life_days))
 
     def edge_targets(self) -> DataFrame:
         """effective_edges() with target_revision_id, null if the effective target does not resolve."""
         t = self.resolved().select(F.col("identity_id").alias("eff"), F.col("revision_id").alias("target_revision_id"))
         return self.effective_edges().join(t, "eff", "left")
 
-    def inbound(self) -> DataFrame:
-        """(target_id, edge_id, ty, source_revision_id, source_identity_id, edge_conf, via): edges into each identity.
+    def inbound(self, ids: list[int] | None = None) -> DataFrame:
+        """(target_id, edge_id, ty, source_revision_id, source_identity_id, edge_conf, via): edges into each identity, or into ids.
 
         Edges of resolved sources whose effective target it is and which, or whose source has others that, point at it as
         stored; and edges that an override on the chain turns to it. Each edge once.
         """
-        eff = self.effective_edges().withColumnRenamed("eff", "target_id").withColumn("turned", ~F.col("target_id").eqNullSafe(F.col("target_identity_id")))
+        eff = self.effective_edges(ids).withColumnRenamed("eff", "target_id").withColumn("turned", ~F.col("target_id").eqNullSafe(F.col("target_identity_id")))
+        if ids is not None:
+            # Read five times below: written once, it is small, and known to be.
+            eff = Workspace(self.g.revisions.sparkSession, "asked").write(eff, "edges")
         r = self.g.revisions.select("revision_id", "identity_id", "branch_id")
         cols = ["target_id", "edge_id", "ty", "source_revision_id", "source_identity_id", "edge_conf"]
         src = self.resolved().withColumnRenamed("identity_id", "sid").join(r.select("revision_id", F.col("identity_id").alias("source_identity_id")), "revision_id").withColumnRenamed("revision_id", "source_revision_id")
@@ -183,6 +199,7 @@ class View:
         one = asked.join(stored, ["sid", "target_id"], "left_semi").select(*cols, F.lit(0).alias("via"))
         gone = self.honored().filter("honored").select(F.col("identity_id").alias("source_identity_id")).distinct()
         over = self.on_chain(self.g.overrides).select("source_revision_id", "edge_id", F.col("new_target").alias("target_id")).distinct()
+        over = over if ids is None else over.filter(F.col("target_id").isin(ids))
         here = r.filter(F.col("branch_id").isin(self.chain)).select(F.col("revision_id").alias("source_revision_id"), F.col("identity_id").alias("source_identity_id"))
         turned = over.join(eff, ["source_revision_id", "edge_id", "target_id"]).join(here, "source_revision_id").join(gone, "source_identity_id", "left_anti")
         back = turned.filter("NOT turned").join(own, "source_revision_id", "left_anti")
@@ -190,13 +207,13 @@ class View:
         rest = one.unionByName(two).groupBy("target_id", "edge_id").agg(F.min(F.struct("via", "ty", "source_revision_id", "source_identity_id", "edge_conf")).alias("b")).select("target_id", "edge_id", "b.ty", "b.source_revision_id", "b.source_identity_id", "b.edge_conf", "b.via")
         return straight.unionByName(rest)
 
-    def node_confidence(self) -> DataFrame:
-        """(identity_id, conf): the greatest confidence of the edges into each identity that has any."""
-        return self.inbound().groupBy(F.col("target_id").alias("identity_id")).agg(F.max("edge_conf").alias("conf"))
+    def node_confidence(self, ids: list[int] | None = None) -> DataFrame:
+        """(identity_id, conf): the greatest confidence of the edges into each identity that has any, or into ids."""
+        return self.inbound(ids).groupBy(F.col("target_id").alias("identity_id")).agg(F.max("edge_conf").alias("conf"))
 
-    def with_confidence(self, df: DataFrame, identity: str) -> DataFrame:
-        """df with conf; identities without edges into them have the weight of an AST producer."""
-        c = self.node_confidence().withColumnRenamed("identity_id", identity)
+    def with_confidence(self, df: DataFrame, identity: str, ids: list[int] | None = None) -> DataFrame:
+        """df with conf; identities without edges into them have the weight of an AST producer. ids: all of df's, if few."""
+        c = self.node_confidence(ids).withColumnRenamed("identity_id", identity)
         return df.join(c, identity, "left").withColumn("conf", F.coalesce("conf", source_weight(F.lit("Ast"))))
 
 

@@ -11,16 +11,23 @@ from brindle.workspace import Workspace
 
 
 def find_symbol(v: View, needle: str, limit: int = 20, prefer_hub: bool = False) -> DataFrame:
-    """(identity_id, revision_id, qualified_name, file_path, conf, rank) of the best hits; limit 0 is no limit."""
+    """(identity_id, revision_id, qualified_name, file_path, conf, rank) of the best hits; limit 0 is no limit.
+
+    The order does not depend on confidence, so with a limit only the hits' confidence is looked up.
+    """
     hit = v.on_chain(v.g.revisions).filter(F.contains("qualified_name", F.lit(needle))).select("identity_id").distinct()
-    r = v.resolved_rows().join(hit, "identity_id", "left_semi").filter(F.contains("t_qualified_name", F.lit(needle)))
-    rank = symbol_rank(F.col("t_qualified_name"), F.col("t_file_path"), needle, prefer_hub)
+    r = v.resolved_rows().filter(F.contains("t_qualified_name", F.lit(needle))).join(hit, "identity_id", "left_semi")
     # A renamed symbol is found under both identities; its revision is one hit.
-    w = Window.partitionBy("revision_id").orderBy("identity_id")
-    r = r.withColumn("n", F.row_number().over(w)).filter("n = 1")
-    out = v.with_confidence(r, "t_identity_id").select(F.col("t_identity_id").alias("identity_id"), "revision_id", F.col("t_qualified_name").alias("qualified_name"), F.col("t_file_path").alias("file_path"), "conf", rank.alias("rank"))
-    out = out.orderBy("rank", F.octet_length("qualified_name"), "qualified_name", "revision_id")
-    return out.limit(limit) if limit else out
+    r = r.dropDuplicates(["revision_id"]).withColumn("rank", symbol_rank(F.col("t_qualified_name"), F.col("t_file_path"), needle, prefer_hub))
+    r = r.select(F.col("t_identity_id").alias("identity_id"), "revision_id", F.col("t_qualified_name").alias("qualified_name"), F.col("t_file_path").alias("file_path"), "rank")
+    order = ("rank", F.octet_length("qualified_name"), "qualified_name", "revision_id")
+    ids = None
+    if limit:
+        top = r.orderBy(*order).limit(limit)
+        rows = top.collect()
+        ids = sorted({x["identity_id"] for x in rows})
+        r = r.sparkSession.createDataFrame(rows, top.schema)
+    return v.with_confidence(r, "identity_id", ids).select("identity_id", "revision_id", "qualified_name", "file_path", "conf", "rank").orderBy(*order)
 
 
 def definitions(v: View) -> DataFrame:
@@ -32,9 +39,12 @@ def definitions(v: View) -> DataFrame:
     return e.join(kinds, "target_revision_id").join(mine, "source_revision_id").groupBy("source_revision_id").agg(best.alias("target_revision_id")).withColumnRenamed("source_revision_id", "revision_id")
 
 
-def references(v: View, ty: str | None = None, limit: int = 20) -> DataFrame:
-    """(target_id, source_identity_id, source_revision_id, edge_id, conf): sources of each identity, one hit each, the first ``limit``."""
-    e = v.inbound()
+def references(v: View, ty: str | None = None, limit: int = 20, ids: list[int] | None = None) -> DataFrame:
+    """(target_id, source_identity_id, source_revision_id, edge_id, conf): sources of each identity, one hit each, the first ``limit``.
+
+    With ids only those of the given identities, whose edges alone are read.
+    """
+    e = v.inbound(ids)
     if ty:
         e = e.filter(F.col("ty") == ty)
     e = e.groupBy("target_id", "source_identity_id").agg(F.min(F.struct("via", "edge_id", "source_revision_id", "edge_conf")).alias("b")).select("target_id", "source_identity_id", "b.*")
@@ -44,14 +54,20 @@ def references(v: View, ty: str | None = None, limit: int = 20) -> DataFrame:
     return e.select("target_id", "source_identity_id", "source_revision_id", "edge_id", F.col("edge_conf").alias("conf"))
 
 
-def dependencies(v: View, limit: int = 4096) -> DataFrame:
-    """(revision_id, target_revision_id, edge_id, conf): what each revision depends on, each target once, in edge order."""
+def dependencies(v: View, limit: int = 4096, revisions: list[int] | None = None) -> DataFrame:
+    """(revision_id, target_revision_id, edge_id, conf): what each revision depends on, each target once, in edge order.
+
+    With revisions only those of the given ones; confidence is then looked up for their targets alone.
+    """
     mine = v.on_chain(v.g.revisions).select(F.col("revision_id").alias("source_revision_id"))
-    e = v.edge_targets().filter(F.col("ty").isin(*LOCAL_EDGES) & F.col("target_revision_id").isNotNull()).join(mine, "source_revision_id")
+    e = v.edge_targets() if revisions is None else v.edge_targets().filter(F.col("source_revision_id").isin(revisions))
+    e = e.filter(F.col("ty").isin(*LOCAL_EDGES) & F.col("target_revision_id").isNotNull()).join(mine, "source_revision_id")
     e = e.groupBy("source_revision_id", "target_revision_id").agg(F.min("edge_id").alias("edge_id"))
     e = e.withColumn("n", F.row_number().over(Window.partitionBy("source_revision_id").orderBy("edge_id"))).filter(F.col("n") <= limit)
     t = v.g.revisions.select(F.col("revision_id").alias("target_revision_id"), F.col("identity_id").alias("t_identity_id"))
-    return v.with_confidence(e.join(t, "target_revision_id"), "t_identity_id").select(F.col("source_revision_id").alias("revision_id"), "target_revision_id", "edge_id", "conf")
+    e = e.join(t, "target_revision_id")
+    ids = None if revisions is None else [r[0] for r in e.select("t_identity_id").distinct().collect()]
+    return v.with_confidence(e, "t_identity_id", ids).select(F.col("source_revision_id").alias("revision_id"), "target_revision_id", "edge_id", "conf")
 
 
 def file_hubs(v: View) -> DataFrame:
@@ -67,9 +83,12 @@ def file_imports(v: View, limit: int = 256) -> DataFrame:
     return e.withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("edge_id"))).filter(F.col("n") <= limit).drop("n")
 
 
-def expand_context(v: View, starts: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+def expand_context(v: View, starts: DataFrame, depth: int = 2, limit: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Context of each start revision: hits (start_id, revision_id, level, conf) and (start_id, pruned) counts.
 
+    A start's hits, itself counted, are at most ``limit``; what is reached later is left out, and nothing is expanded from
+    it. limit 0 is no limit.
+
     starts: start_id, revision ids on the chain. Breadth first, all starts at once, a join for each level; a revision is
     kept at its first arrival, by the order of its parent and the edge's id. Confidence is the product along the path, at
     least the floor of the weakest resolver. Stubs are reached but not passed. Each level is written, so lineage stays short.
@@ -84,6 +103,7 @@ def expand_context(v: View, starts: DataFrame, depth: int = 2) -> tuple[DataFram
     level = ws.write(level, "level0")
     hits = level.select("start_id", "revision_id", F.lit(0).alias("level"), "conf")
     pruned = None
+    had = level.groupBy("start_id").agg(F.count(F.lit(1)).alias("had"))
     for d in range(1, depth + 1):
         open_ = level.join(rows, "revision_id").filter("kind != 'Stub'")
         step = open_.join(edges, F.col("revision_id") == F.col("source_revision_id"))
@@ -97,8 +117,11 @@ def expand_context(v: View, starts: DataFrame, depth: int = 2) -> tuple[DataFram
         nxt = step.filter(~lost).withColumn("n", F.row_number().over(first)).filter("n = 1")
         nxt = nxt.join(hits.select("start_id", F.col("revision_id").alias("target_revision_id")), ["start_id", "target_revision_id"], "left_anti")
         nxt = nxt.withColumn("ord2", F.row_number().over(Window.partitionBy("start_id").orderBy("ord", "edge_id")).cast("bigint"))
+        if limit:
+            nxt = nxt.join(had, "start_id").filter(F.col("had") + F.col("ord2") <= limit)
         level = ws.write(nxt.select("start_id", F.col("target_revision_id").alias("revision_id"), F.col("conf2").alias("conf"), F.col("product2").alias("product"), F.col("least2").alias("least"), F.col("ord2").alias("ord")), f"level{d}")
         hits = hits.unionByName(level.select("start_id", "revision_id", F.lit(d).alias("level"), "conf"))
+        had = hits.groupBy("start_id").agg(F.count(F.lit(1)).alias("had"))
     count = starts.select("start_id").distinct()
     total = count.withColumn("pruned", F.lit(0).cast("bigint")) if pruned is None else count.join(pruned.groupBy("start_id").agg(F.sum("pruned").alias("pruned")), "start_id", "left").select("start_id", F.coalesce("pruned", F.lit(0)).alias("pruned"))
     return hits, total

@@ -124,18 +124,39 @@ def _(v: View) -> DataFrame:
     return _round(nav.references(v, "Calls"), "conf")
 
 
+#: The identity and the revisions asked for where a query answers for one.
+ONE = 41
+_CALLS = "WHERE ty = 'Calls'"
+
+
+@query("q4_references_of_one", f"SELECT * FROM ({_REF.format(where='')}) WHERE target_id = {ONE}")
+def _(v: View) -> DataFrame:
+    return _round(nav.references(v, ids=[ONE]), "conf")
+
+
+@query("q5_callers_of_one", f"SELECT * FROM ({_REF.format(where=_CALLS)}) WHERE target_id = {ONE}")
+def _(v: View) -> DataFrame:
+    return _round(nav.references(v, "Calls", ids=[ONE]), "conf")
+
+
 @query("q6_get_dependencies", "SELECT d.revision_id, d.target_revision_id, d.edge_id, round(coalesce(conf, 0.6), 6) AS conf FROM (SELECT e.source_revision_id AS revision_id, e.target_revision_id, min(e.edge_id) AS edge_id FROM et e JOIN rc s ON s.revision_id = e.source_revision_id WHERE e.target_revision_id IS NOT NULL AND e.ty IN ('Calls', 'Imports', 'Uses', 'Extends') GROUP BY 1, 2) d JOIN g_revisions t ON t.revision_id = d.target_revision_id LEFT JOIN nconf c ON c.identity_id = t.identity_id")
 def _(v: View) -> DataFrame:
     return _round(nav.dependencies(v), "conf")
 
 
+@query("q6_dependencies_of_one", f"SELECT d.revision_id, d.target_revision_id, d.edge_id, round(coalesce(conf, 0.6), 6) AS conf FROM (SELECT e.source_revision_id AS revision_id, e.target_revision_id, min(e.edge_id) AS edge_id FROM et e JOIN rc s ON s.revision_id = e.source_revision_id WHERE s.identity_id = {ONE} AND e.target_revision_id IS NOT NULL AND e.ty IN ('Calls', 'Imports', 'Uses', 'Extends') GROUP BY 1, 2) d JOIN g_revisions t ON t.revision_id = d.target_revision_id LEFT JOIN nconf c ON c.identity_id = t.identity_id")
+def _(v: View) -> DataFrame:
+    mine = [r[0] for r in v.on_chain(v.g.revisions).filter(F.col("identity_id") == ONE).select("revision_id").collect()]
+    return _round(nav.dependencies(v, revisions=mine), "conf")
+
+
 @query("q7_file_imports", "SELECT h.file_path, e.target_revision_id, min(e.edge_id) AS edge_id FROM (SELECT file_path, arg_min(revision_id, CAST(pos AS BIGINT) * 1000000000 + revision_id) AS revision_id FROM rc WHERE qualified_name = file_path GROUP BY 1) h JOIN et e ON e.source_revision_id = h.revision_id WHERE e.ty = 'Imports' AND e.target_revision_id IS NOT NULL GROUP BY 1, 2")
 def _(v: View) -> DataFrame:
     return nav.file_imports(v)
 
 
 def _starts(v: View) -> DataFrame:
-    return v.resolved_rows().filter("t_kind = 'Class'").select(F.col("revision_id").alias("start_id")).distinct()
+    return v.resolved().select(F.col("revision_id").alias("start_id")).distinct()
 
 
 _FLOOR = "CASE {x} WHEN 'Lsp' THEN 0.4 WHEN 'Ast' THEN 0.25 WHEN 'Textual' THEN 0.1 ELSE 0.5 END"
@@ -153,7 +174,7 @@ def _level(k: int) -> list[str]:
 
 _BFS = with_sql(
     *view_sql(BRANCH),
-    "l0 AS (SELECT DISTINCT s.revision_id AS start_id, s.revision_id, coalesce(c.conf, 0.6) AS conf, 1.0::DOUBLE AS product, 'Ast' AS least, 0 AS ord FROM res s JOIN g_revisions r ON r.revision_id = s.revision_id LEFT JOIN nconf c ON c.identity_id = r.identity_id WHERE r.kind = 'Class')",
+    "l0 AS (SELECT DISTINCT s.revision_id AS start_id, s.revision_id, coalesce(c.conf, 0.6) AS conf, 1.0::DOUBLE AS product, 'Ast' AS least, 0 AS ord FROM res s JOIN g_revisions r ON r.revision_id = s.revision_id LEFT JOIN nconf c ON c.identity_id = r.identity_id)",
     *_level(1), *_level(2),
 )
 
