@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from brindle.workspace import Workspace
 
-#: One node in 2**SPLITTER_BITS is a splitter. A reduced graph of SOLVE_ROWS rows or fewer (some 100 MB) is one task's work.
+#: One node in 2**SPLITTER_BITS is a splitter. A reduced graph of SOLVE_ROWS rows or fewer (some 100 MB) is one task's work;
+#: with paths, one whose paths can have so many elements in all.
 SPLITTER_BITS = 2
 SOLVE_ROWS = 500_000
+SOLVE_ELEMENTS = 4_000_000
+#: So few rows are one task's work however long their paths are.
+SOLVE_ANYWAY = 1_000
 
 
 def _splitter(col: Column, salt: int) -> Column:
@@ -110,10 +114,17 @@ def _solve_in_one(rows: pd.DataFrame, with_path: bool) -> pd.DataFrame:
 
 
 def _solve(graph: DataFrame, rows: int, level: int, ws: Workspace, with_path: bool) -> DataFrame:
-    """(id, root, depth[, path]) of a weighted pointer graph; ptr without a row is an end."""
+    """(id, root, depth[, path]) of a weighted pointer graph of so many rows; ptr without a row is an end.
+
+    The depths of a small graph tell how many elements its paths have, and so whether one task can hold those, too.
+    """
     kind = graph.schema["id"].dataType.simpleString()
     fields = f"id {kind}, root {kind}, depth bigint" + f", path array<{kind}>" * with_path
-    if rows <= SOLVE_ROWS:
+    small = rows <= SOLVE_ROWS
+    if small and with_path and rows > SOLVE_ANYWAY:
+        depths = graph.drop("seg").coalesce(1).mapInPandas(_whole(False), f"id {kind}, root {kind}, depth bigint")
+        small = (depths.agg(F.sum(F.greatest("depth", F.lit(0)))).head()[0] or 0) <= SOLVE_ELEMENTS
+    if small:
         return graph.coalesce(1).mapInPandas(_whole(with_path), fields)
     salt = level + 1
     start = graph.alias("c").join(graph.select(F.col("id").alias("ptr"), F.lit(True).alias("known")), "ptr", "left")
@@ -136,6 +147,8 @@ def _expand(states: DataFrame, salt: int, level: int, ws: Workspace, with_path:
     seen = Observation()
     reduced = ws.write(states.filter((~F.col("stop") | _splitter(F.col("id"), salt)) & (F.col("dist") > 0)).observe(seen, F.count(F.lit(1)).alias("n")), f"reduced{level}")
     solved = ws.write(_solve(reduced, seen.get["n"], level + 1, ws, with_path), f"solved{level}")
+    # What the levels below have written is not read again, as their result is.
+    ws.drop(f"reduced{level}", f"solved{level + 1}", *[n for n in ws.kept if n.startswith(f"walk{level + 1}-")])
     r = solved.select(F.col("id").alias("ptr"), F.col("root"), F.col("depth").alias("up"), *["path"] * with_path)
     joined = states.join(r, "ptr", "left")
     out = joined.select(

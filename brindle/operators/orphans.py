@@ -1,6 +1,6 @@
 """References to records that do not exist, were deleted, or came later.
 
-Keys become integers first: the keys of parents and references are spread into buckets by their leading digits, and each
+Keys become integers first: the keys of parents and references are spread into buckets by a hash, and each
 key's integer is its rank in the sorted bucket. Parents with consecutive ranks and the same state are compressed into
 runs, and every referenced key is matched as of the preceding run start: a key beyond that run's end has no record.
 """
@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_runs(parents: DataFrame, wanted: DataFrame, state: list[str], prefix_digits: int = 3) -> DataFrame:
+#: Far more buckets than tasks, whatever the keys look like; a bucket with few keys costs nothing.
+BUCKETS = 1 << 16
+
+
+def match_runs(parents: DataFrame, wanted: DataFrame, state: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Each wanted (space, key) with ``exists`` and the state of its parent, found by runs.
 
-    ``parents`` (space, key, state...) and ``wanted`` (space, key, other columns...) have distinct (space, key). The
-    buckets are as many as the leading ``prefix_digits`` of keys have values, so no window holds more than a bucket of
-    distinct keys, however often one of them is referred to. Null keys match nothing.
+    ``parents`` (space, key, state...) and ``wanted`` (space, key, other columns...) have distinct (space, key). Keys are
+    spread over buckets by a hash, so that keys with a common beginning share none, and sorted within each. No window holds
+    more than a bucket of distinct keys, however often one of them is referred to. Null keys match nothing.
     """
     extra = [c for c in wanted.columns if c not in ("space", "key")]
     both = (
         parents.select("space", "key", F.lit(True).alias("is_parent"), *state, *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra], F.lit(False).alias("is_wanted"))
         .unionByName(wanted.select("space", "key", F.lit(False).alias("is_parent"), *[F.lit(None).cast(parents.schema[c].dataType).alias(c) for c in state], *extra, F.lit(True).alias("is_wanted")))
-        .withColumn("bucket", F.substring("key", 1, prefix_digits))
+        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     )
     w = Window.partitionBy("space", "bucket").orderBy("key")
     ranked = both.withColumn("rank", F.dense_rank().over(w))
@@ -40,7 +44,7 @@ def match_runs(parents: DataFrame, wanted: DataFrame, state: list[str], prefix_d
     return matched.select("space", "key", *extra, inside.alias("exists"), *[F.when(inside, F.col(f"__run.{c}")).alias(c) for c in state])
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, prefix_digits: int = 3) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Distinct (src_table, month_utc, row_key, fate) of references whose record is missing, deleted or later.
 
     refs: src_table, row_key, space, key (plain, null if it refers to nothing), month (``YYYY-MM`` or null).
@@ -55,7 +59,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, prefix_digits: int =
     known = parents.filter(F.col("key").isNotNull()).groupBy("space", "key").agg(F.min(F.coalesce("deleted", F.lit(False))).alias("deleted"), F.min("month").alias("first_month"))
     refs = refs.filter(F.col("key").isNotNull())
     wanted = refs.groupBy("space", "key").agg(F.min("month").alias("least_month"))
-    state = match_runs(known, wanted, ["deleted", "first_month"], prefix_digits)
+    state = match_runs(known, wanted, ["deleted", "first_month"], buckets)
     bad = state.filter(~F.col("exists") | F.col("deleted") | (F.col("first_month") > F.col("least_month"))).select("space", "key", "exists", "deleted", "first_month")
     fate = F.when(~F.col("exists"), "missing").when(F.col("deleted"), "deleted").when(F.col("first_month") > F.col("month"), "late")
     return (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.scoring import nearest_rank
 from brindle.operators.graph import LIVE
+from brindle.sources.walk import kept
 
 #: Extensions of files that can be indexed, and the most edges of a type a revision may have.
 INDEXABLE = "py|ts|tsx|js|jsx|mjs|cjs|rs|go|java|c|h|cc|cpp|cxx|hpp|hh|hxx|cs"
@@ -15,7 +15,8 @@ MOST_EDGES = 10_000
 
 
 def is_indexable(path: Column) -> Column:
-    return path.rlike(rf"\.({INDEXABLE})$")
+    """Whether a file is indexed: a known extension, and nothing on its path that is never indexed."""
+    return path.rlike(rf"\.({INDEXABLE})$") & kept(path)
 
 
 def primaries(revisions: DataFrame) -> DataFrame:
@@ -100,9 +101,12 @@ def recent_rate(events: DataFrame, now_ms: int, window_ms: int = 60_000) -> Data
 
 
 def delay_percentiles(values: DataFrame, key: str, value: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of value by key; lists are folded to distinct values first."""
-    a = values.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return a.select(key, *[nearest_rank(F.col("v"), p).alias(n) for n, p in ps.items()])
+    """Nearest-rank percentiles of value by key: counts of distinct values stand in for the sorted list of all."""
+    c = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
+    all_, upto = Window.partitionBy(key), Window.partitionBy(key).orderBy(value)
+    c = c.withColumn("__n", F.sum("__c").over(all_)).withColumn("__upto", F.sum("__c").over(upto))
+    at = {n: F.floor((F.col("__n") - 1) * F.lit(p) + 0.5) + 1 for n, p in ps.items()}
+    return c.groupBy(key).agg(*[F.min(F.when(F.col("__upto") >= at[n], F.col(value))).alias(n) for n in ps])
 
 
 def stale_workers(heartbeats: DataFrame, now_ms: int, expected_ms: int) -> DataFrame:
@@ -125,23 +129,39 @@ def digest(epoch: Column, prev: Column, summary: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", epoch.cast("string"), prev, summary), 256)
 
 
-def chain_epochs(epochs: DataFrame) -> DataFrame:
-    """Adds prev and digest, each epoch's digest covering the one before; epochs are few, one for each stretch of time."""
+#: Epochs whose digests are chained one by one on the driver.
+MOST_EPOCHS = 1_000_000
+
+
+def chain_epochs(epochs: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
+    """Adds prev and digest, each epoch's digest covering the one before: a chain is sequential by its nature.
+
+    Epochs are stretches of time, a million of which are millennia of days; more than ``most`` are an error.
+    """
     rows, prev = [], ""
     import hashlib
 
-    for r in epochs.orderBy("epoch_id").toLocalIterator():
+    for r in epochs.orderBy("epoch_id").limit(most + 1).toLocalIterator():
+        if len(rows) == most:
+            raise ValueError(f"more than {most} epochs: seal longer ones")
         d = hashlib.sha256("\x1f".join((str(r["epoch_id"]), prev, r["summary"])).encode()).hexdigest()
         rows.append((r["epoch_id"], prev, d, r["summary"]))
         prev = d
     return epochs.sparkSession.createDataFrame(rows, "epoch_id bigint, prev string, digest string, summary string")
 
 
-def verify_chain(epochs: DataFrame) -> DataFrame:
-    """(ok, chain_length, broken_at_epoch): every epoch links to the digest before it and has the digest of its contents."""
-    w = Window.orderBy("epoch_id")
-    bad = (F.col("prev") != F.coalesce(F.lag("digest").over(w), F.lit(""))) | (F.col("digest") != digest(F.col("epoch_id"), F.col("prev"), F.col("summary")))
-    return epochs.withColumn("bad", bad).agg((F.count_if("bad") == 0).alias("ok"), F.count(F.lit(1)).alias("chain_length"), F.min(F.when(F.col("bad"), F.col("epoch_id"))).alias("broken_at_epoch"))
+def verify_chain(epochs: DataFrame, block: int = 4096) -> DataFrame:
+    """(ok, chain_length, broken_at_epoch): every epoch links to the digest before it and has the digest of its contents.
+
+    Links are checked within blocks of epoch ids; of each block the last digest is carried to the next one that has rows.
+    """
+    e = epochs.withColumn("block", F.floor(F.col("epoch_id") / block))
+    ends = e.groupBy("block").agg(F.max_by("digest", "epoch_id").alias("end"))
+    # One row a block: as many as the epochs divided by the block's size.
+    carried = ends.withColumn("carried", F.lag("end").over(Window.orderBy("block"))).drop("end")
+    before = F.coalesce(F.lag("digest").over(Window.partitionBy("block").orderBy("epoch_id")), "carried", F.lit(""))
+    bad = (F.col("prev") != before) | (F.col("digest") != digest(F.col("epoch_id"), F.col("prev"), F.col("summary")))
+    return e.join(carried, "block").withColumn("bad", bad).agg((F.count_if("bad") == 0).alias("ok"), F.count(F.lit(1)).alias("chain_length"), F.min(F.when(F.col("bad"), F.col("epoch_id"))).alias("broken_at_epoch"))
 
 
 #: Phases that are still in flight.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.operators.graph import Graph
@@ -32,12 +34,19 @@ SPARK_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(
 
 
 #: Graphs stored so far, by session and folder.
-_STORED: dict[tuple[str, str], Graph] = {}
+_STORED: dict[tuple, Graph] = {}
+
+
+def _changed(d: str) -> tuple[float, ...]:
+    """When the folder's files were written, where that is a local folder."""
+    at = d.removeprefix("file://")
+    return tuple(sorted(e.stat().st_mtime for e in os.scandir(at))) if os.path.isdir(at) else ()
 
 
 def graph(spark: SparkSession, d: str) -> Graph:
     """The graph of a data folder: derived and stored as tables once a session, as the engine's own tables would be."""
-    key = (spark.sparkContext.applicationId, d)
+    # A folder whose files have changed is another one.
+    key = (spark.sparkContext.applicationId, d, _changed(d))
     if key not in _STORED:
         have: dict[str, DataFrame] = {n: table(spark, d, n) for n in USED}
         names = {n: "{" + n + "}" for n in (*USED, "g_identities", "g_revisions", "g_edges")}

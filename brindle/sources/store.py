@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Store:
     """Tables under a root, in Parquet or JSON; a version becomes visible when its name is written, after its tables are.
 
@@ -20,25 +25,55 @@ class Store:
         self.spark, self.root, self.fmt = spark, root.rstrip("/"), fmt
 
     def _heads(self) -> DataFrame:
-        return self.spark.read.schema("no bigint, name string, schemas map<string,string>").json(f"{self.root}/heads")
+        return self.spark.read.schema("no bigint, name string, schemas map<string,string>").option("pathGlobFilter", "*.json").json(f"{self.root}/heads").filter("name IS NOT NULL")
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _last(self) -> int:
+        """The greatest number any writer has taken, whether or not it wrote the version."""
+        fs, p = self._at(f"{self.root}/heads")
+        return max((int(f.getPath().getName().split(".")[0]) for f in (fs.listStatus(p) if fs.exists(p) else ()) if f.getPath().getName()[0].isdigit()), default=0)
+
+    def _name(self, no: int, row: dict) -> bool:
+        """Creates the file that names a version; False if another writer was first to take its number."""
+        fs, p = self._at(f"{self.root}/heads/{no:020d}.json")
+        try:
+            out = fs.create(p, False)
+        except Exception:  # noqa: BLE001  only the Java side tells why; whether the file is there decides
+            if not fs.exists(p):
+                raise
+            return False
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        return True
 
     def current(self) -> tuple[int, str, dict[str, str]] | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/heads")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        fs, path = self._at(f"{self.root}/heads")
+        if not fs.exists(path):
             return None
         row = self._heads().orderBy(F.desc("no")).head()
         return (row["no"], row["name"], row["schemas"]) if row else None
 
-    def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        """Writes the tables as the next version, those not given are kept from the current one; returns its number."""
+    def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, expected: int | None = None) -> int:
+        """Writes the tables as the next version, those not given are kept from the current one; returns its number.
+
+        Compare and set: if another writer publishes meanwhile, or the current version is not the expected one (0: none),
+        Conflict is raised and nothing is published. The name of a version is created once, by whoever is first.
+        """
         was = self.current()
-        no, name = (was[0] + 1 if was else 1), uuid.uuid4().hex
+        if expected is not None and expected != (was[0] if was else 0):
+            raise Conflict(f"version {was[0] if was else 0} is current, not {expected}")
+        # A number that is taken but names nothing yet is a writer at work, or one that died: the next one is ours to try.
+        no, name = self._last() + 1, uuid.uuid4().hex
         schemas = dict(was[2]) if was else {}
         for t, df in tables.items():
             at = f"{self.root}/{name}/{t}"
             df.write.partitionBy(*(partition_by or {}).get(t, [])).format(self.fmt).save(at)
             schemas[t] = f"{at}\n{df.schema.json()}"
-        self.spark.createDataFrame([(no, name, schemas)], "no bigint, name string, schemas map<string,string>").coalesce(1).write.mode("append").json(f"{self.root}/heads")
+        if not self._name(no, {"no": no, "name": name, "schemas": schemas}):
+            raise Conflict(f"version {no} was published by another writer")
         return no
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
@@ -48,8 +83,6 @@ class Store:
         row = (heads.filter(F.col("no") == version) if version else heads.orderBy(F.desc("no"))).head()
         if row is None or table not in row["schemas"]:
             raise KeyError(f"no table {table} in version {version or 'current'}")
-        import json
-
         at, _, schema = row["schemas"][table].partition("\n")
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).format(self.fmt).load(at)
 

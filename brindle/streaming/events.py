@@ -51,20 +51,26 @@ def backlog_states(depths: DataFrame, hwm: int, lwm: int, hold_ms: int) -> DataF
     return d.select("ts_ms", "depth", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)).alias("degraded"))
 
 
-def hysteresis_stream(depths: DataFrame, hwm: int, lwm: int) -> DataFrame:
-    """(queue, depth, degraded) of a stream (queue, depth): on at the high-water mark, off below the low-water mark."""
+def hysteresis_stream(depths: DataFrame, hwm: int, lwm: int, hold_ms: int = 0) -> DataFrame:
+    """(queue, ts_ms, depth, degraded) of a stream (queue, ts_ms, depth): on at the high-water mark, off once the depth has been
+    below the low-water mark for hold_ms, by the times of the depths; the stream's twin of backlog_states().
+
+    The state of a queue is whether it is on and since when it is low. Rows of a micro-batch are taken in the order of
+    their times; one that is older than the last of the batch before is taken as it comes.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on = state.get[0] if state.exists else False
-        for p in parts:
-            out = []
-            for depth in p["depth"]:
-                on = True if depth >= hwm else False if depth < lwm else on
-                out.append((key[0], int(depth), on))
-            state.update((on,))
-            yield pd.DataFrame(out, columns=["queue", "depth", "degraded"])
-
-    return depths.groupBy("queue").applyInPandasWithState(step, "queue string, depth bigint, degraded boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
+        on, since = state.get if state.exists else (False, None)
+        rows = pd.concat(list(parts)).sort_values("ts_ms", kind="stable")
+        out = []
+        for ts, depth in zip(rows["ts_ms"].tolist(), rows["depth"].tolist()):
+            since = (ts if since is None else since) if depth < lwm else None
+            on = True if depth >= hwm else False if since is not None and ts - since >= hold_ms else on
+            out.append((key[0], ts, int(depth), on))
+        state.update((on, since))
+        yield pd.DataFrame(out, columns=["queue", "ts_ms", "depth", "degraded"])
+
+    return depths.groupBy("queue").applyInPandasWithState(step, "queue string, ts_ms bigint, depth bigint, degraded boolean", "on boolean, since bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def expired(rows: DataFrame, now_ms: int, ttl_ms: int, ts: str = "ts_ms") -> DataFrame:

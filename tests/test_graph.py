@@ -11,7 +11,7 @@ from brindle.operators import quality as A
 from brindle.operators import retention as R
 from brindle.operators import semantic as X
 from brindle.operators.graph import Graph, Policy, View, branch_chain
-from brindle.sources.store import Store, convert
+from brindle.sources.store import Conflict, Store, convert
 from brindle.sources.walk import changed_files, ignore_pattern, ignored, read_tree
 from brindle.streaming import events as E
 
@@ -278,6 +278,14 @@ def test_store(spark, tmp_path, fmt):
     assert [tuple(r) for r in s.read("t").collect()] == [(2, "y")] and [tuple(r) for r in s.read("t", 1).collect()] == [(1, "x")] and s.read("u").count() == 1
     with pytest.raises(KeyError):
         s.read("nothing")
+    with pytest.raises(Conflict):
+        s.publish({"t": a}, expected=1)
+    assert s.publish({"t": a}, expected=2) == 3
+    (tmp_path / "s" / "heads" / f"{4:020d}.json").write_text("")  # a writer that died
+    assert s.current()[0] == 3 and s.publish({"t": b}) == 5
+    s._last = lambda: 4  # a writer that has not seen the fifth version
+    with pytest.raises(Conflict):
+        s.publish({"t": a})
     other = Store(spark, str(tmp_path / "o"), "parquet")
     assert convert(spark, s, other, ["t"]) == 1 and other.read("t").schema == b.schema
 
@@ -309,12 +317,12 @@ def test_hysteresis(spark, tmp_path):
     d = spark.createDataFrame([(0, 10), (1, 60), (2, 30), (3, 5), (4, 6), (5, 4), (6, 30)], "ts_ms bigint, depth bigint")
     assert [r.degraded for r in E.backlog_states(d, 50, 10, 2).orderBy("ts_ms").collect()] == [False, True, True, True, True, False, False]
     src = str(tmp_path / "q")
-    spark.createDataFrame([("q", 10), ("q", 60), ("q", 30), ("q", 5)], "queue string, depth bigint").coalesce(1).write.parquet(src)
-    s = E.hysteresis_stream(spark.readStream.schema("queue string, depth bigint").parquet(src), 50, 10)
+    d.withColumn("queue", F.lit("q")).coalesce(1).write.parquet(src)
+    s = E.hysteresis_stream(spark.readStream.schema("queue string, ts_ms bigint, depth bigint").parquet(src), 50, 10, 2)
     q = s.writeStream.outputMode("append").format("memory").queryName("hyst").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert [r.degraded for r in spark.table("hyst").collect()] == [False, True, True, False]
+    assert [r.degraded for r in spark.table("hyst").orderBy("ts_ms").collect()] == [False, True, True, True, True, False, False]
 
 
 def test_logs(spark, tmp_path):

@@ -69,7 +69,7 @@ def test_orphans_at_random(spark, seed):
         fate = "missing" if not mine else "deleted" if all(p[2] for p in mine) else "late" if m and months and min(months) > m else None
         if fate:
             want.add((t, m or "unknown", row, fate))
-    got = orphan_references(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), prefix_digits=1)
+    got = orphan_references(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), buckets=3)
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -125,6 +125,12 @@ def test_long_chains_rings_and_hot_parents(spark, monkeypatch, solve_rows):
     check_tree(spark, links)
 
 
+def test_long_paths_are_not_one_task_s_work(spark, monkeypatch):
+    monkeypatch.setattr(H, "SOLVE_ELEMENTS", 10)
+    monkeypatch.setattr(H, "SOLVE_ANYWAY", 5)
+    check_tree(spark, {f"c{i:05d}": f"c{i - 1:05d}" if i else None for i in range(200)})
+
+
 def test_descendants(spark):
     df = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("s", "s")], "id string, parent string")
     assert {tuple(r) for r in H.descendants(df).collect()} == {("r", "a", 1), ("a", "b", 1), ("r", "b", 2)}
