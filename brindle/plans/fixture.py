@@ -60,7 +60,7 @@ def graph(spark: SparkSession, d: str) -> Graph:
 def with_sql(*more: str) -> str:
     """WITH clause of the relations for the SQL check, and further common table expressions."""
     names = {n: n for n in (*USED, "g_identities", "g_revisions", "g_edges")}
-    return "WITH RECURSIVE " + ",\n".join([*(f"{n} AS ({s})" for n, s in relations("epoch_ms({x})", names).items()), *more]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([*(f"{n} AS MATERIALIZED ({s})" for n, s in relations("epoch_ms({x})", names).items()), *more]) + "\n"
 
 
 CONF = f"least(greatest(CASE {{r}} WHEN 'Lsp' THEN 0.85 WHEN 'Ast' THEN 0.6 WHEN 'Textual' THEN 0.3 ELSE 1.0 END * CASE WHEN {{t}} <= 0 THEN 1.0 ELSE greatest(0.5, exp(-greatest({NOW_MS} - {{t}}, 0) / 2592000000.0)) END, 0.0), 1.0)"
