@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,52 @@ def apply_patch(before: str, patch: str) -> str:
     return "".join(out + old[at:])
 
 
+#: A path that leaves its root, or is none.
+_OUTSIDE = re.compile(r"^$|^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\.\.([/\\\\]|$)")
+
+
+def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """(patch_id, path, before, after, error): edits of files, those of one path in the order of seq, each on top of the last.
+
+    files: path, content; edits: patch_id, path, text (a unified diff or a whole text), seq. A file that is not there is
+    empty and its ``before`` null. An edit that does not fit, has no text or whose path lies outside the root has an error,
+    and no after; later ones go on from what was there. ``before`` is what a revert restores.
+    """
+    fields = "patch_id string, path string, before string, after string, error string"
+
+    def run(key: tuple, have: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        now = have["content"].iloc[0] if len(have) else None
+        out = []
+        for r in todo.sort_values("seq", kind="stable").itertuples():
+            after, error = None, None
+            if _OUTSIDE.search(key[0] or ""):
+                error = "path outside the root"
+            elif not isinstance(r.text, str):
+                error = "no text"
+            else:
+                try:
+                    after = apply_patch(now or "", r.text)
+                except ValueError as e:
+                    error = str(e)
+            out.append((r.patch_id, key[0], now, after, error))
+            now = now if error else after
+        return pd.DataFrame(out, columns=["patch_id", "path", "before", "after", "error"])
+
+    e = edits.select(F.col("patch_id").cast("string").alias("patch_id"), "path", "text", "seq").groupBy("path")
+    return files.select("path", "content").dropDuplicates(["path"]).groupBy("path").cogroup(e).applyInPandas(run, fields)
+
+
+def reverted(patches: DataFrame, ids: DataFrame) -> DataFrame:
+    """(patch_id, path, action, content): patches to take back: restore (with what was there before) or superseded by a later one.
+
+    patches: patch_id, path, before, seq of the applied edits; ids: patch_id. A file that was not there before is removed.
+    """
+    last = patches.groupBy("path").agg(F.max("seq").alias("last"))
+    p = patches.join(ids.select("patch_id").distinct(), "patch_id", "left_semi").join(last, "path")
+    action = F.when(F.col("seq") < F.col("last"), "superseded").when(F.col("before").isNull(), "remove").otherwise("restore")
+    return p.select("patch_id", "path", action.alias("action"), F.when(F.col("seq") == F.col("last"), F.col("before")).alias("content"))
+
+
 def settle(revisions: DataFrame, paths: DataFrame, confirm: bool, now_ms: int) -> DataFrame:
     """Speculative revisions of the given paths become Active, or Tombstone with the time; all others stay."""
     mine = F.coalesce("settled", F.lit(False)) & (F.col("status") == "Speculative")

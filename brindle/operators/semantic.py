@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
+from brindle.functions.snippets import backoff_ms
 from brindle.operators.graph import LIVE, Policy, View
 from brindle.workspace import Workspace
 
@@ -147,6 +148,36 @@ def parse_anchor(text: str) -> tuple[str, str | int]:
     raise ValueError(f"no commit anchor: {text!r}")
 
 
+def overlay_at(anchors: DataFrame, commits: DataFrame, anchor: str, branch_id: int, ris: DataFrame, live: DataFrame, strict: bool = False) -> DataFrame:
+    """(identity_id, revision_id) of a branch at a commit anchor; no rows if nothing was recorded under exactly that anchor.
+
+    anchors: branch_id, log_id, epoch; commits: oid, log_id; ris: epoch, identity_id, revision_id of the branch's snapshots;
+    live: its bindings now. An object id leads to its log id, that to an epoch, and that to a snapshot.
+    """
+    what, key = parse_anchor(anchor)
+    logs = commits.filter(F.lower("oid") == key).select("log_id") if what == "git" else anchors.filter(F.col("log_id") == key).select("log_id")
+    epoch = anchors.filter(F.col("branch_id") == branch_id).join(logs.distinct(), "log_id", "left_semi").agg(F.max("epoch")).head()[0]
+    return live.select("identity_id", "revision_id").limit(0) if epoch is None else snapshot_at(ris, live, epoch, strict)
+
+
+def compacted(v: View) -> DataFrame:
+    """(branch_id, identity_id, revision_id): the bindings that a branch sees along its chain as its own, so that its chain can end there."""
+    nearest = v.primaries().groupBy("identity_id").agg(F.min_by("revision_id", "pos").alias("revision_id"))
+    return nearest.select(F.lit(v.branch_id).cast("bigint").alias("branch_id"), "identity_id", "revision_id")
+
+
+def retried(queue: DataFrame, failed: DataFrame, now_ms: int, cap_ms: int = 30_000) -> DataFrame:
+    """(chunk_id, failures, failed_at_ms): the queue of vectors to delete after a round.
+
+    Those are due whose wait after their last failure is over. A due one that is not among the failed is done and leaves;
+    one that failed again waits longer; the others stay. Repeated chunks are one.
+    """
+    q = queue.groupBy("chunk_id").agg(F.max("failures").alias("failures"), F.max("failed_at_ms").alias("failed_at_ms"))
+    due = F.col("failed_at_ms").isNull() | (F.col("failed_at_ms") + backoff_ms(F.col("failures"), cap_ms) <= now_ms)
+    j = q.join(failed.select("chunk_id", F.lit(True).alias("again")).distinct(), "chunk_id", "left").withColumn("due", due).filter("NOT due OR again")
+    return j.select("chunk_id", (F.col("failures") + F.col("due").cast("int")).alias("failures"), F.when(F.col("due"), F.lit(now_ms).cast("bigint")).otherwise(F.col("failed_at_ms")).alias("failed_at_ms"))
+
+
 def lineage(revisions: DataFrame, heads: DataFrame, chain: list[int], max_depth: int = 32, include_tombstones: bool = True, follow_renames: bool = True) -> DataFrame:
     """(head_id, step, revision_id, link): the revisions behind each head, newest first.
 

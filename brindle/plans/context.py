@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
+from brindle.functions import snippets as N
+from brindle.functions.snippets import backoff_ms, body_snippet, embed_text
 from brindle.operators import quality as A
 from brindle.operators import semantic as X
 from brindle.operators.graph import Policy, View
@@ -100,21 +102,64 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BUDGET = 64
-_BUILD = f"WITH t AS (SELECT doc_id, text, (strlen(text) + 3) // 4 AS total FROM documents WHERE text IS NOT NULL AND strlen(text) = length(text)) SELECT doc_id, CASE WHEN total > {_BUDGET} THEN left(text, {4 * _BUDGET}) || chr(10) || '// ... [truncated, ' || (total - {_BUDGET}) || ' tokens omitted]' ELSE text END AS context, total > {_BUDGET} AS truncated, CASE WHEN total > {_BUDGET} THEN total - {_BUDGET} ELSE 0 END AS omitted FROM t"
+# Bytes in hexadecimal: one whose first digit is 8 to B goes on with a character.
+_BUILD = f"""WITH t AS (SELECT doc_id, text, (strlen(text) + 3) // 4 AS total, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, {4 * _BUDGET} - CASE WHEN substr(h, {8 * _BUDGET + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN substr(h, {8 * _BUDGET - 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, {8 * _BUDGET - 3}, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS cut FROM t)
+SELECT doc_id, CASE WHEN total > {_BUDGET} THEN decode(unhex(substr(h, 1, 2 * cut))) || chr(10) || '// ... [truncated, ' || (total - (cut + 3) // 4) || ' tokens omitted]' ELSE text END AS context, total > {_BUDGET} AS truncated, CASE WHEN total > {_BUDGET} THEN total - (cut + 3) // 4 ELSE 0 END AS omitted FROM c"""
 
 
 @query("q11_build_context", _BUILD)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of one-byte characters, which SQL can cut by bytes; others are covered by tests."""
-    t = table(spark, d, "documents").filter(F.octet_length("text") == F.length("text"))
     text, cut, omitted = X.truncated(F.col("text"), _BUDGET)
-    return t.select("doc_id", text.alias("context"), cut.alias("truncated"), omitted.alias("omitted"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("context"), cut.alias("truncated"), omitted.alias("omitted"))
+
+
+# Spans over the texts: one line, or several.
+_SPAN = "1 + doc_id % 5 AS a, 1 + doc_id % 5 + doc_id % 3 AS b"
+_SNIP = f"""ln AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') AS lines, {_SPAN} FROM documents WHERE text IS NOT NULL),
+rs AS (SELECT *, len(lines) AS n, lines[a + 1:len(lines)] AS rest, list_position(list_transform(lines[a + 1:len(lines)], lambda x: x <> '' AND NOT regexp_matches(x, '^[ \\t]')), true) AS stop FROM ln),
+sn AS (SELECT doc_id, CASE WHEN a > n THEN '' WHEN b > a THEN array_to_string(lines[a:least(b, n)], chr(10)) ELSE array_to_string(list_concat(lines[a:a], CASE WHEN coalesce(stop, 0) > 0 THEN rest[1:stop - 1] ELSE rest END), chr(10)) END AS snippet FROM rs)"""
+
 
+def _snippets(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (1 + F.col("doc_id") % 5).cast("int"), (1 + F.col("doc_id") % 5 + F.col("doc_id") % 3).cast("int")
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text", body_snippet(F.col("text"), a, b).alias("snippet"))
 
-@query("q11_build_context_all")
+
+@query("f17_body_snippets", "WITH " + _SNIP + " SELECT doc_id, snippet FROM sn")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    text, cut, omitted = X.truncated(F.col("text"), _BUDGET)
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("context"), cut.alias("truncated"), omitted.alias("omitted"))
+    return _snippets(spark, d).select("doc_id", "snippet")
+
+
+@query("f27_embed_texts", with_sql(_SNIP) + "SELECT r.revision_id, md5(CASE WHEN r.kind = 'Stub' THEN snippet ELSE r.qualified_name || chr(10) || r.file_path || chr(10) || snippet END) AS text_md5 FROM g_revisions r JOIN sn USING (doc_id)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Of stubs the body alone."""
+    r = graph(spark, d).revisions.join(_snippets(spark, d), "doc_id")
+    name = F.when(F.col("kind") != "Stub", F.col("qualified_name"))
+    return r.select("revision_id", F.md5(F.encode(embed_text(name, F.col("file_path"), F.col("snippet")), "UTF-8")).alias("text_md5"))
+
+
+@query("f26_backoff", "SELECT p_partkey, CAST(least(250 * power(2, least(p_partkey % 16, 10)), 30000) AS BIGINT) AS wait_ms FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", backoff_ms(F.col("p_partkey") % 16).alias("wait_ms"))
+
+
+@query("f19_stable_ids", with_sql() + "SELECT revision_id, " + ", ".join(f"md5(concat_ws(chr(31), {parts})) AS {n}" for n, parts in {"identity": "'id', file_path, qualified_name", "file": "'file', file_path", "slot": "'rev', CAST(branch_id AS VARCHAR), file_path, qualified_name", "content": "'revgen', CAST(branch_id AS VARCHAR), CAST(identity_id AS VARCHAR), CAST(doc_id AS VARCHAR)", "body": "'bh', file_path, qualified_name", "cas": "'cas', file_path, qualified_name", "chunk": "'chunk', CAST(identity_id AS VARCHAR), CAST(revision_id AS VARCHAR), '0'", "edge": "'edge', 'call', file_path, CAST(revision_id AS VARCHAR), qualified_name, '1', '2'"}.items()) + " FROM g_revisions")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, text = F.col, lambda n: F.col(n).cast("string")
+    path, name = c("file_path"), c("qualified_name")
+    return graph(spark, d).revisions.select(
+        "revision_id", N.identity_id(path, name).alias("identity"), N.file_identity(path).alias("file"), N.revision_id(c("branch_id"), path, name).alias("slot"), N.content_revision_id(c("branch_id"), text("identity_id"), text("doc_id")).alias("content"),
+        N.body_slot(path, name).alias("body"), N.allocation_key(path, name).alias("cas"), N.chunk_id(text("identity_id"), text("revision_id"), F.lit(0)).alias("chunk"), N.edge_id(F.lit("call"), path, text("revision_id"), name, F.lit(1), F.lit(2)).alias("edge"),
+    )
+
+
+@query("v8_vector_deletes", "WITH q AS (SELECT DISTINCT chunk_id, strpos('0123456789abcdef', left(chunk_id, 1)) - 1 AS f, 1000 * (strpos('0123456789abcdef', substr(chunk_id, 2, 1)) - 1) AS failed_at FROM chunks WHERE chunk_id IS NOT NULL), r AS (SELECT *, failed_at + least(250 * power(2, least(f, 10)), 30000) <= 12000 AS due, strpos('0123456789abcdef', substr(chunk_id, 3, 1)) > 8 AS again FROM q) SELECT chunk_id, CAST(f + CASE WHEN due THEN 1 ELSE 0 END AS INT) AS failures, CAST(CASE WHEN due THEN 12000 ELSE failed_at END AS BIGINT) AS failed_at_ms FROM r WHERE NOT due OR again")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A queue of all chunks: their digits tell how often and when each failed, and whether it does again."""
+    digit = lambda i: F.conv(F.substring("chunk_id", i, 1), 16, 10).cast("int")
+    q = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").select("chunk_id", digit(1).alias("failures"), (digit(2) * 1000).cast("bigint").alias("failed_at_ms"))
+    return X.retried(q, q.filter(digit(3) >= 8), 12_000)
 
 
 @query("q13_symbol_bodies", with_sql(*view_sql(BRANCH)) + "SELECT s.identity_id, md5(coalesce(nullif(d.text, ''), t.qualified_name || chr(10) || t.file_path || chr(10) || '// (body not available)' || chr(10))) AS body_md5, CASE WHEN nullif(d.text, '') IS NULL THEN 'stub' ELSE 'body' END AS source FROM res s JOIN g_revisions t ON t.revision_id = s.revision_id LEFT JOIN documents d USING (doc_id)")
@@ -126,6 +171,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return r.select("identity_id", F.md5(F.encode(text, "UTF-8")).alias("body_md5"), source.alias("source"))
 
 
+@query("q13_bodies_of_files", with_sql(*view_sql(BRANCH), _SNIP) + "SELECT s.identity_id, md5(CASE WHEN t.kind <> 'Function' OR snippet IS NULL OR snippet = '' THEN t.qualified_name || chr(10) || t.file_path || chr(10) || '// (body not available)' || chr(10) ELSE snippet END) AS body_md5, CASE WHEN t.kind <> 'Function' OR snippet IS NULL OR snippet = '' THEN 'stub' ELSE 'file' END AS source FROM res s JOIN g_revisions t ON t.revision_id = s.revision_id LEFT JOIN sn USING (doc_id)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Where no body is stored: of functions the lines of the file, of all else a stub."""
+    v = View(graph(spark, d), BRANCH)
+    r = v.resolved().join(v.g.revisions.select("revision_id", "kind", "qualified_name", "file_path", "doc_id"), "revision_id").join(_snippets(spark, d), "doc_id", "left")
+    part = F.when(F.col("kind") == "Function", F.col("snippet"))
+    text, source = X.body_of(F.lit(None).cast("string"), part, F.col("qualified_name"), F.col("file_path"))
+    return r.select("identity_id", F.md5(F.encode(text, "UTF-8")).alias("body_md5"), source.alias("source"))
+
+
 # --- time travel: epoch k holds the primaries among the revisions up to a time
 
 
@@ -153,6 +208,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _snapshot(spark, d, True)
 
 
+@query("t1_overlay_at_anchor", with_sql(*MORE, _SNAP, _OVER) + "SELECT identity_id, revision_id FROM ovl")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The overlay at the commit whose object id leads to log id 26 and so to the first epoch."""
+    v = View(graph(spark, d), BRANCH)
+    anchors = spark.createDataFrame([(BRANCH, 26, 1), (BRANCH, 27, 2), (0, 26, 2)], "branch_id bigint, log_id bigint, epoch int")
+    commits = spark.createDataFrame([("AB" * 20, 26), ("cd" * 20, 27)], "oid string, log_id bigint")
+    ris = _at(v, EPOCH_MS).withColumn("epoch", F.lit(1))
+    return X.overlay_at(anchors, commits, "ab" * 20, BRANCH, ris, A.primaries(v.g.revisions).filter(F.col("branch_id") == BRANCH))
+
+
+@query("t3_compacted_bindings", with_sql(*view_sql(BRANCH)) + f"SELECT CAST({BRANCH} AS BIGINT) AS branch_id, identity_id, revision_id FROM nearest WHERE k = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.compacted(View(graph(spark, d), BRANCH))
+
+
 @query("t3_bindings_on_chain", with_sql(*view_sql(BRANCH)) + "SELECT identity_id, revision_id FROM nearest WHERE k = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = View(graph(spark, d), BRANCH)
@@ -189,10 +259,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.lineage(full_revisions(v.g, spark, d), heads, v.chain)
 
 
-@query("g3_merge_bases", _LINEAGE.replace("SELECT DISTINCT revision_id FROM res", "SELECT revision_id FROM (SELECT identity_id, revision_id FROM live WHERE rn = 1 AND pos = 0 UNION SELECT identity_id, revision_id FROM live WHERE rn = 1 AND pos = 0)") + "SELECT a.identity_id AS pair_id, a.revision_id FROM (SELECT identity_id, revision_id FROM live WHERE rn = 1 AND pos = 0) a")
+@query("g3_merge_bases", _LINEAGE.replace("SELECT DISTINCT revision_id FROM res", "SELECT DISTINCT revision_id FROM live WHERE rn = 1 AND pos IN (0, 1)") + "SELECT o.identity_id AS pair_id, arg_min(b.revision_id, b.step) AS revision_id FROM live o JOIN live t ON t.identity_id = o.identity_id AND t.rn = 1 AND t.pos = 1 JOIN ln b ON b.head_id = t.revision_id JOIN ln a ON a.head_id = o.revision_id AND a.revision_id = b.revision_id WHERE o.rn = 1 AND o.pos = 0 GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Of each identity's primary on the branch with itself, over the lineages of both sides: the head is its own base."""
+    """Of each identity that the branch and its parent both have: the first revision of the parent's lineage in the branch's."""
     v = View(graph(spark, d), BRANCH)
-    p = v.primaries().filter("pos = 0").select(F.col("identity_id").alias("pair_id"), F.col("revision_id").alias("head_id"))
-    steps = X.lineage(full_revisions(v.g, spark, d), p.select("head_id"), v.chain).join(p, "head_id").select("pair_id", "step", "revision_id")
-    return X.merge_base(steps, steps)
+    p = v.primaries().filter("pos IN (0, 1)").select(F.col("identity_id").alias("pair_id"), "pos", F.col("revision_id").alias("head_id"))
+    steps = X.lineage(full_revisions(v.g, spark, d), p.select("head_id").distinct(), v.chain).join(p, "head_id").select("pair_id", "pos", "step", "revision_id")
+    return X.merge_base(steps.filter("pos = 0"), steps.filter("pos = 1"))

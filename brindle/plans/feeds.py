@@ -76,7 +76,11 @@ def _depths(spark: SparkSession, d: str) -> DataFrame:
     return n.select((F.col("day") * 86_400_000).alias("ts_ms"), F.sum("n").over(Window.orderBy("day")).alias("depth"))
 
 
-@query("v7_degraded_states")
+@query("v7_degraded_states", """WITH RECURSIVE e AS (SELECT epoch_us(ts) // 86400000000 AS day, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN -3 ELSE 0 END) AS n FROM events GROUP BY 1),
+d AS (SELECT day * 86400000 AS ts_ms, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS depth, row_number() OVER (ORDER BY day) AS k FROM e),
+s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ts_ms, CAST(0 AS BIGINT) AS depth, false AS degraded, CAST(NULL AS BIGINT) AS since UNION ALL
+  SELECT d.k, d.ts_ms, d.depth, CASE WHEN d.depth >= 500 THEN true WHEN d.depth < 100 AND d.ts_ms - coalesce(s.since, d.ts_ms) >= 86400000 THEN false ELSE s.degraded END, CASE WHEN d.depth < 100 THEN coalesce(s.since, d.ts_ms) END FROM s JOIN d ON d.k = s.k + 1)
+SELECT ts_ms, depth, degraded FROM s WHERE k > 0""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return E.backlog_states(_depths(spark, d), 500, 100, 86_400_000)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
+from brindle.operators import identity as I
 from brindle.operators import merge as M
 from brindle.operators import quality as A
 from brindle.operators import retention as R
@@ -177,6 +178,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.verify_chain(chain.withColumn("summary", F.when(F.col("epoch_id") % 5 == 0, F.concat("summary", F.lit("!"))).otherwise(F.col("summary"))))
 
 
+@query("q21_verify_whole_chain", "SELECT true AS ok, count(DISTINCT (epoch_us(ts) // 1000) // 86400000) AS chain_length, CAST(NULL AS BIGINT) AS broken_at_epoch FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return A.verify_chain(A.chain_epochs(A.seal_epochs(_audit(spark, d), 86_400_000)), block=7)
+
+
 def _wal(spark: SparkSession, d: str) -> DataFrame:
     p = F.lower(F.trim("phase"))
     names = ("Pending", "GraphDone", "VectorDone", "Committed", "Failed")
@@ -363,11 +369,48 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.retained(r, r.filter("status = 'Active'"), False)
 
 
-@query("r1_tombstones_to_collect", W + f"SELECT revision_id FROM g_full f WHERE status = 'Tombstone' AND (tombstoned_at_ms IS NULL OR {NOW_MS} - tombstoned_at_ms >= 90 * 86400000::BIGINT) AND revision_id NOT IN (SELECT revision_id FROM g_bind) AND revision_id NOT IN (SELECT revision_id FROM g_prim) AND NOT (revision_id IN (SELECT source_revision_id FROM g_edges WHERE ty = 'RenamedFrom') AND identity_id IN (SELECT target_identity_id FROM g_edges WHERE ty <> 'RenamedFrom'))")
+@query("i8_hidden_symbols", W + "SELECT identity_id, CASE WHEN bool_or(status = 'Active') THEN 'keep' ELSE 'hide' END AS action FROM g_revisions WHERE branch_id = 1 GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a branch inherits the symbols."""
+    r = graph(spark, d).revisions.filter("branch_id = 1")
+    return R.retained(r, r.filter("status = 'Active'"), True)
+
+
+@query("i5_resolved_identities")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Whose identity each Active revision's symbol takes over, if it were new, and the edge that says so."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    r = full_revisions(graph(spark, d), spark, d).join(docs, "doc_id", "left")
+    found = I.resolve_or_create(r.filter("status = 'Active'").withColumn("symbol_id", F.col("revision_id")), r.filter("status = 'Tombstone'"), Policy(rename_window_days=2000, tombstone_retention_days=2000), NOW_MS)
+    return found.join(I.renamed_from(found).select(F.col("source_revision_id").alias("tomb_id"), "edge_id"), "tomb_id", "left").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("w5_reverted_patches", "WITH e AS (SELECT CAST(event_id AS VARCHAR) AS patch_id, 'src/m' || user_id || '.py' AS path, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_id AS seq, event_type FROM events) SELECT patch_id, path, CASE WHEN seq < last THEN 'superseded' WHEN before IS NULL THEN 'remove' ELSE 'restore' END AS action, CASE WHEN seq = last THEN before END AS content FROM (SELECT *, max(seq) OVER (PARTITION BY path) AS last FROM e) WHERE event_type = 'purchase'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is an edit of its user's file, whose text is the event's type; purchases are to be taken back."""
+    from brindle.operators.patches import reverted
+
+    e = table(spark, d, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")))
+    p = e.select(F.col("event_id").cast("string").alias("patch_id"), F.concat(F.lit("src/m"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), "before", F.col("event_id").alias("seq"), "event_type")
+    return reverted(p, p.filter("event_type = 'purchase'"))
+
+
+@query("q16_index_status", W + "SELECT * FROM (SELECT (SELECT count(*) FROM g_revisions WHERE status = 'Active') AS active_revisions, (SELECT count(DISTINCT file_path) FROM g_revisions WHERE status = 'Active' AND file_path LIKE '%.py') AS indexable_files, (SELECT count(*) FROM g_edges e JOIN g_revisions r ON r.revision_id = e.source_revision_id WHERE r.status = 'Active') AS active_edges, (SELECT count(*) FROM g_revisions) AS revisions, (SELECT count(*) FROM g_edges) AS edges), (SELECT count(*) AS queued, count(*) FILTER (WHERE h NOT IN (SELECT body_hash FROM vectors WHERE lower(trim(model_id)) = 'stub/hashed-bow' AND embedding IS NOT NULL)) AS not_embedded FROM (SELECT DISTINCT body_hash AS h FROM chunks WHERE body_hash IS NOT NULL)), (SELECT count(*) AS watched_events, count(DISTINCT user_id) AS watched_paths FROM events)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the index, of what waits to be embedded and of what the watcher saw."""
+    from brindle.operators.semantic import embedding_jobs
+
+    g = graph(spark, d)
+    jobs = embedding_jobs(table(spark, d, "chunks"), table(spark, d, "bodies"), table(spark, d, "vectors"), "stub/hashed-bow")
+    e = table(spark, d, "events").agg(F.count(F.lit(1)).alias("watched_events"), F.countDistinct("user_id").alias("watched_paths"))
+    return A.index_counts(g.revisions, g.edges).crossJoin(jobs.agg(F.count(F.lit(1)).alias("queued"), F.count_if(F.col("state") != "cached").alias("not_embedded"))).crossJoin(e)
+
+
+@query("r1_tombstones_to_collect", W + f"SELECT revision_id FROM g_full f WHERE status = 'Tombstone' AND (tombstoned_at_ms IS NULL OR {NOW_MS} - tombstoned_at_ms >= 90 * 86400000::BIGINT) AND revision_id NOT IN (SELECT revision_id FROM g_bind) AND revision_id NOT IN (SELECT revision_id FROM g_prim) AND revision_id NOT IN (SELECT source_revision_id FROM g_overrides) AND NOT (revision_id IN (SELECT source_revision_id FROM g_edges WHERE ty = 'RenamedFrom') AND identity_id IN (SELECT target_identity_id FROM g_edges WHERE ty <> 'RenamedFrom'))")
 def _(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    none = spark.createDataFrame([], "revision_id bigint")
-    return R.tombstones_to_collect(full_revisions(g, spark, d), bindings_of(g), A.primaries(g.revisions), none, g.edges, NOW_MS, 90)
+    in_flight = g.overrides.select(F.col("source_revision_id").alias("revision_id"))
+    return R.tombstones_to_collect(full_revisions(g, spark, d), bindings_of(g), A.primaries(g.revisions), in_flight, g.edges, NOW_MS, 90)
 
 
 @query("r5_body_refcounts", "SELECT body_hash, count(*) AS refs FROM (SELECT DISTINCT chunk_id, body_hash FROM chunks WHERE body_hash IS NOT NULL) GROUP BY 1")
@@ -424,7 +467,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.finalized_deletions(g.revisions, g.deletions, g.branches)
 
 
-@query("r2_drained_edges", W + f", c AS (SELECT revision_id FROM g_full f WHERE status = 'Tombstone' AND (tombstoned_at_ms IS NULL OR {NOW_MS} - tombstoned_at_ms >= 90 * 86400000::BIGINT) AND revision_id NOT IN (SELECT revision_id FROM g_bind) AND revision_id NOT IN (SELECT revision_id FROM g_prim) AND NOT (revision_id IN (SELECT source_revision_id FROM g_edges WHERE ty = 'RenamedFrom') AND identity_id IN (SELECT target_identity_id FROM g_edges WHERE ty <> 'RenamedFrom'))) SELECT ty, count(*) AS n FROM g_edges WHERE source_revision_id NOT IN (SELECT revision_id FROM c) GROUP BY 1")
+@query("r2_drained_edges", W + f", c AS (SELECT revision_id FROM g_full f WHERE status = 'Tombstone' AND (tombstoned_at_ms IS NULL OR {NOW_MS} - tombstoned_at_ms >= 90 * 86400000::BIGINT) AND revision_id NOT IN (SELECT revision_id FROM g_bind) AND revision_id NOT IN (SELECT revision_id FROM g_prim) AND revision_id NOT IN (SELECT source_revision_id FROM g_overrides) AND NOT (revision_id IN (SELECT source_revision_id FROM g_edges WHERE ty = 'RenamedFrom') AND identity_id IN (SELECT target_identity_id FROM g_edges WHERE ty <> 'RenamedFrom'))) SELECT ty, count(*) AS n FROM g_edges WHERE source_revision_id NOT IN (SELECT revision_id FROM c) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     _, e, _ = R.drained(g.revisions, g.edges, g.overrides, QUERIES["r1_tombstones_to_collect"](spark, d))
@@ -436,6 +479,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.health(QUERIES["a5_consistency"](spark, d), QUERIES["q21_verify_audit_chain"](spark, d), QUERIES["a9_stale_workers"](spark, d))
 
 
+@query("q18_status_of_whole_chain", "SELECT v.n AS violations, w.n AS stale_workers, true AS audit_ok, v.n + w.n = 0 AS healthy, concat_ws(',', CASE WHEN v.n > 0 THEN 'consistency_violations' END, CASE WHEN w.n > 0 THEN 'worker_stale' END) AS degraded_modes FROM (SELECT count(*) AS n FROM (" + _CONSISTENCY + ") WHERE \"check\" = 'dangling_body') v, (SELECT count(*) AS n FROM (SELECT (SELECT max((epoch_us(ts) // 1000)) FROM events) - max((epoch_us(ts) // 1000)) > 1728000000000 AS s FROM events GROUP BY user_id) WHERE s) w")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All is well: an untouched chain, no violation of a check that none is of, workers that may rest for decades."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("worker"), F.expr(SPARK_MS.format(x="ts")).alias("ts_ms"))
+    now = e.agg(F.max("ts_ms")).head()[0] or 0
+    return A.health(QUERIES["a5_consistency"](spark, d).filter("check = 'dangling_body'"), QUERIES["q21_verify_whole_chain"](spark, d), A.stale_workers(e, now, 864_000_000_000))
+
+
 @query("a13_edge_landing", W + "SELECT ty, count(*) AS expected, count(*) FILTER (WHERE target_identity_id IN (SELECT identity_id FROM g_prim)) AS found, round(count(*) FILTER (WHERE target_identity_id IN (SELECT identity_id FROM g_prim)) / count(*), 6) AS recall FROM g_edges GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Of the edges of each type, how many lead to an identity that is live on some branch."""

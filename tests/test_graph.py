@@ -340,3 +340,28 @@ def test_logs(spark, tmp_path):
     assert {r.phase: (r.n, r.avg_ms, r.p99_ms) for r in A.merge_rollup(log).collect()} == {"a": (5, 3.0, 5), "b": (5, 6.0, 10)}
     assert [r.total_ms for r in A.slowest_merges(log, 2).collect()] == [15, 12]
     assert tuple(A.merge_summary(log).head()) == (5, 0.2, 0.2, 3.0)
+
+
+def test_snippets(spark):
+    from brindle.functions.snippets import body_snippet
+
+    text = "def a():\n    x = 1\n\n\ty\nz\r\nend\n"
+    rows = [(1, 1, "def a():\n    x = 1\n\n\ty"), (1, 2, "def a():\n    x = 1"), (5, 5, "z"), (6, 99, "end"), (0, 3, ""), (7, 7, ""), (3, 3, "\n\ty")]
+    for a, b, want in rows:
+        df = spark.createDataFrame([(text, a, b)], "t string, a int, b int")
+        assert df.select(body_snippet(F.col("t"), F.col("a"), F.col("b"))).head()[0] == want
+    df = spark.createDataFrame([(None, 1, 1), ("", 1, 2), ("x", None, 1)], "t string, a int, b int")
+    assert [r[0] for r in df.select(body_snippet(F.col("t"), F.col("a"), F.col("b"))).collect()] == ["", "", ""]
+
+
+def test_edits_and_reverts(spark):
+    files = spark.createDataFrame([("a.py", "one\ntwo\n")], "path string, content string")
+    diff = "@@ -1,2 +1,2 @@\n one\n-two\n+three\n"
+    edits = [("p1", "a.py", diff, 1), ("p2", "a.py", diff, 2), ("p3", "a.py", "whole", 3), ("p4", "../b.py", "x", 4), ("p5", "new.py", "x", 5), ("p6", "a.py", None, 6)]
+    got = P.apply_edits(files, spark.createDataFrame(edits, "patch_id string, path string, text string, seq bigint"))
+    by = {r.patch_id: r for r in got.collect()}
+    assert by["p1"].after == "one\nthree\n" and by["p2"].error and by["p2"].after is None and (by["p3"].before, by["p3"].after) == ("one\nthree\n", "whole")
+    assert by["p4"].error == "path outside the root" and by["p5"].before is None and by["p6"].error == "no text"
+    done = got.filter("error IS NULL").join(spark.createDataFrame([(e[0], e[3]) for e in edits], "patch_id string, seq bigint"), "patch_id")
+    back = {r.patch_id: (r.action, r.content) for r in P.reverted(done, done).collect()}
+    assert back == {"p1": ("superseded", None), "p3": ("restore", "one\nthree\n"), "p5": ("remove", None)}
