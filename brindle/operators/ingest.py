@@ -91,6 +91,37 @@ def resolved_imports(facts: DataFrame) -> DataFrame:
     return best.select("path", "ord", "local", F.when(whole, "module").otherwise(F.col("kind")).alias("kind"), "remote", "to_path")
 
 
+#: The longest chain of fields that is followed from a receiver.
+CHAIN = 4
+
+
+def _typed_receivers(attr: DataFrame, types: DataFrame, syms: DataFrame, names: DataFrame, cls: Column) -> DataFrame:
+    """attr with (at, type): the type of each call's receiver, as it is named in the file ``at``.
+
+    A receiver is a variable of the function or the instance itself, and fields from there on: each step looks for the
+    class of the type so far, here or where it is imported from, and takes the field's type from it. Of several types that
+    a variable is given the first counts; a chain longer than ``CHAIN`` or with a field of no known type has none.
+    """
+    local_types, field_types = (types.filter(F.col("what") == k).drop("what") for k in ("local", "field"))
+    parts = F.split("object", r"\.")
+    c = attr.withColumn("parts", parts)
+    self_ = F.col("parts")[0].isin("self", "this")
+    start = c.filter(~self_).withColumn("var", F.col("parts")[0]).join(local_types, ["path", "owner", "var"]).drop("var")
+    start = start.unionByName(c.filter(self_ & (F.size("parts") > 1)).withColumn("type", cls)).withColumn("at", F.col("path")).withColumn("rest", F.slice("parts", F.lit(2), F.size("parts"))).drop("parts")
+    classes = syms.filter("kind = 'Class'").select(F.col("path").alias("in_file"), F.col("key").alias("in_class")).distinct()
+    fields = field_types.select(F.col("path").alias("in_file"), F.col("owner").alias("in_class"), "var", F.col("type").alias("next"))
+    away = names.select(F.col("path").alias("at"), F.col("local").alias("type"), "remote", "file").dropDuplicates(["at", "type"])
+    done, now = start.filter(F.size("rest") == 0), start.filter(F.size("rest") > 0)
+    for _ in range(CHAIN):
+        # The class so far: of this file, else an imported one.
+        here = now.join(classes.withColumnRenamed("in_file", "at").withColumnRenamed("in_class", "type").withColumn("here", F.lit(True)), ["at", "type"], "left").join(away, ["at", "type"], "left")
+        where = here.withColumn("in_file", F.when(F.col("here"), F.col("at")).otherwise(F.col("file"))).withColumn("in_class", F.when(F.col("here"), F.col("type")).otherwise(F.col("remote"))).drop("here", "remote", "file")
+        step = where.withColumn("var", F.col("rest")[0]).join(fields, ["in_file", "in_class", "var"])
+        step = step.withColumn("at", F.col("in_file")).withColumn("type", F.col("next")).withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).select(*start.columns)
+        done, now = done.unionByName(step.filter(F.size("rest") == 0)), step.filter(F.size("rest") > 0)
+    return done.drop("rest")
+
+
 def resolved_calls(facts: DataFrame, syms: DataFrame, imports: DataFrame) -> DataFrame:
     """(path, ord, owner, to_path, to_key, rank): each call with the symbol it resolves to; others have no row."""
     calls = facts.filter("fact = 'call'").select("path", "language", "owner", "name", "object", "ord", directory(F.col("path")).alias("dir"))
@@ -124,11 +155,10 @@ def resolved_calls(facts: DataFrame, syms: DataFrame, imports: DataFrame) -> Dat
     add(bare.filter(F.col("language").isin(*SAME_DIR)).join(near.filter("to_key = name"), ["dir", "name"]).filter("language = l2"), 22, True)
     # The type of a receiver: a variable of the function, or a field of its class; the type here or imported.
     types = facts.filter("fact = 'type'").groupBy("path", "owner", F.col("name").alias("var"), F.col("kind").alias("what")).agg(F.min_by("object", "ord").alias("type"))
-    local = attr.withColumn("var", F.col("object")).join(types.filter("what = 'local'").drop("what"), ["path", "owner", "var"])
-    field = attr.filter(F.col("object").rlike(r"^(self|this)\.\w+$")).withColumn("c", cls).withColumn("var", F.substring_index("object", ".", -1)).join(types.filter("what = 'field'").drop("what").withColumnRenamed("owner", "c"), ["path", "c", "var"])
-    typed = local.select(*calls.columns, "type").unionByName(field.select(*calls.columns, "type"))
-    add(typed.withColumn("k", F.concat("type", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("path")) & (F.col("to_key") == F.col("k"))), 30)
-    add(typed.join(names, "path").filter("type = local").withColumn("k", F.concat("remote", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("file")) & (F.col("to_key") == F.col("k"))), 31)
+    typed = _typed_receivers(attr, types, syms, names, cls)
+    add(typed.withColumn("k", F.concat("type", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("at")) & (F.col("to_key") == F.col("k"))), 30)
+    away = names.select(F.col("path").alias("at"), "local", "remote", "file")
+    add(typed.join(away, "at").filter("type = local").withColumn("k", F.concat("remote", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("file")) & (F.col("to_key") == F.col("k"))), 31)
     # The root of the receiver is an import: a member of the module's file, or of the imported class.
     add(attr.withColumn("root", root).join(mods, ["path"]).filter("root = local OR object = local").join(to, (F.col("to_path") == F.col("file")) & (F.col("to_key") == F.col("name"))), 32)
     add(attr.withColumn("root", root).join(names, ["path"]).filter("root = local").withColumn("k", F.concat("remote", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("file")) & (F.col("to_key") == F.col("k"))), 33)

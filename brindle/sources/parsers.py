@@ -7,9 +7,11 @@ library; the languages with braces share a scanner that is told their declaratio
 from __future__ import annotations
 
 import ast
+import keyword
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -146,6 +148,39 @@ def parse_python(path: str, text: str, language: str = "Python") -> Index:
     return ix
 
 
+_LOOSE_IMPORT = re.compile(r"^[ \t]*(?:from\s+(?P<mod>[.\w]+)\s+import\s+(?P<names>\([^)]*\)|[^\n#]+)|import\s+(?P<mods>[^\n#]+))", re.M)
+_LOOSE_DEF = re.compile(r"^(?P<what>class|(?:async\s+)?def)\s+(?P<name>\w+)", re.M)
+_LOOSE_CALL = re.compile(r"(?<![\w.])(?:(?P<obj>\w+)\.)?(?P<name>\w+)\(")
+_LOOSE_QUIET = re.compile(r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+
+
+def parse_python_loosely(path: str, text: str, language: str = "Python") -> Index:
+    """A file that does not parse, by patterns: its own symbol, top-level definitions, imports, and calls of names and of members of names."""
+    ix = Index(path, language, module_key(path, language))
+    code = _LOOSE_QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    lines = code.count("\n") + 1
+    ix.add("symbol", "", FILE, "File", at=(1, 1, lines, 1))
+    for m in _LOOSE_IMPORT.finditer(code):
+        for part in filter(None, (x.strip() for x in (m["names"] or m["mods"]).strip("() \t").split(","))):
+            remote, _, local = (x.strip() for x in part.partition(" as "))
+            if m["mod"]:
+                ix.add("import", FILE, local or remote, "star" if remote == "*" else "name", m["mod"], remote)
+            else:
+                ix.add("import", FILE, local or remote.split(".")[0], "module", remote, None)
+    tops = [(m.start(), m["name"], m["what"]) for m in _LOOSE_DEF.finditer(code)]
+    starts = [x[0] for x in tops]
+    for i, (at, name, what) in enumerate(tops):
+        line = code.count("\n", 0, at) + 1
+        ix.add("symbol", "", name, "Class" if what == "class" else "Function", at=(line, 1, line, 1))
+    for m in _LOOSE_CALL.finditer(code):
+        if m["name"] in ("print", "super") or m["name"] in keyword.kwlist or re.search(r"\b(?:def|class)\s+$", code[max(0, m.start() - 8) : m.start()]):
+            continue
+        i = bisect_right(starts, m.start()) - 1
+        indented = code[code.rfind("\n", 0, m.start()) + 1 : m.start() + 1][:1] in " \t"
+        ix.add("call", tops[i][1] if i >= 0 and indented else FILE, m["name"], "", m["obj"])
+    return ix
+
+
 # --- languages with braces
 
 
@@ -158,6 +193,17 @@ class Grammar:
     imports: Callable[[str], list[tuple[str, str, str, str | None]]]
     made: str = r"\b(?P<var>\w+)\s*(?::=|=)\s*(?:new\s+|&)?(?P<type>[A-Z]\w*)\s*[({]"
     separator: str = r"\.|->|::"
+    fields: tuple[str, ...] = ()
+
+
+#: Fields: what a method makes and keeps, parameters that are kept, and declarations with the type before or behind the name.
+_SET = r"\b(?:this|self)\s*(?:\.|->)\s*(?P<var>\w+)\s*=\s*(?:new\s+)?(?P<type>[A-Z]\w*)\s*[({<]"
+_PARAMETER = r"[(,]\s*(?:(?:private|public|protected|readonly)\s+)+(?P<var>\w+)\s*\??:\s*(?P<type>[A-Z]\w*)"
+_TYPE_BEFORE = r"^\s*(?:(?:public|private|protected|internal|static|final|readonly|volatile|mutable|const)\s+)*(?:(?:std::)?(?:unique_ptr|shared_ptr|Optional|List)\s*<\s*)?(?P<type>[A-Z]\w*)(?:<[^>;]*>)?\s*>?\s*[*&?]?\s*\b(?P<var>\w+)\s*(?:=[^;]*|\{[^;}]*[;}][^;}]*\})?;?\s*$"
+_TYPE_BEHIND = r"^\s*(?:(?:private|public|protected|readonly|static|declare|pub(?:\([^)]*\))?)\s+)*(?P<var>\w+)\s*[?!]?:\s*(?:&\s*(?:mut\s+)?)?(?:(?:Box|Arc|Rc|Option|Mutex|RefCell)\s*<\s*)*(?P<type>[A-Z]\w*)"
+_GO_FIELD = r"^\s+(?P<var>\w+)\s+\*?(?:\w+\.)?(?P<type>[A-Z]\w*)\s*$"
+#: The types of fields that each language declares.
+FIELDS = {"TypeScript": (_PARAMETER, _TYPE_BEHIND), "Rust": (_TYPE_BEHIND,), "Go": (_GO_FIELD,), "Java": (_TYPE_BEFORE,), "CSharp": (_TYPE_BEFORE,), "C": (_TYPE_BEFORE,), "Cpp": (_TYPE_BEFORE,)}
 
 
 def _js_imports(text: str) -> list[tuple[str, str, str, str | None]]:
@@ -259,6 +305,7 @@ GRAMMARS = {
     "Cpp": Grammar(_C_TYPES, (r"^\s*[\w<>:*&,~ ]*?\b(?P<class>\w+)::(?P<name>~?\w+)\s*\([^;{}]*\)[^;{}]*\{", _METHOD, _CONSTRUCTOR), _includes),
 }
 GRAMMARS["TypeScript"] = Grammar(GRAMMARS["JavaScript"].types.replace(r"(?:class)", r"(?:class|interface|enum)").replace(r"[^{;]*\{", r"[^{;]*\{|\btype\s+(?P<alias>\w+)\s*(?:<[^>]*>)?="), GRAMMARS["JavaScript"].functions, _js_imports)
+GRAMMARS = {n: replace(g, fields=FIELDS.get(n, ())) for n, g in GRAMMARS.items()}
 _QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 
 
@@ -283,8 +330,6 @@ def parse_braces(path: str, text: str, language: str) -> Index:
     for m in re.finditer("\n", code):
         starts.append(m.end())
 
-    from bisect import bisect_right
-
     def where(a: int, b: int) -> tuple[int, int, int, int]:
         i, j = bisect_right(starts, a) - 1, bisect_right(starts, max(a, b - 1)) - 1
         return i + 1, a - starts[i] + 1, j + 1, b - starts[j] + 1
@@ -306,10 +351,17 @@ def parse_braces(path: str, text: str, language: str) -> Index:
     for module, local, kind, remote in g.imports(text):
         ix.add("import", FILE, local, kind, module, remote)
     scopes: list[tuple[int, int, str, bool]] = []  # start, end, key, whether a type
+    around: list[tuple[int, int, str, bool]] = []  # those of them that are open where the search has come to
 
-    def scope(at: int, types_only: bool = False) -> str:
-        inner = [s for s in scopes if s[0] <= at < s[1] and (s[3] or not types_only)]
-        return max(inner, key=lambda s: s[0])[2] if inner else ""
+    def scope(at: int) -> str:
+        """The innermost type around a place that lies behind all places asked for before."""
+        around[:] = [x for x in around if at < x[1]]
+        inner = [x for x in around if x[3]]
+        return max(inner, key=lambda x: x[0])[2] if inner else ""
+
+    def opened(a: int, b: int, key: str, is_type: bool) -> None:
+        scopes.append((a, b, key, is_type))
+        around.append(scopes[-1])
 
     found = []
     for m in re.finditer(g.types, code, re.M):
@@ -326,36 +378,49 @@ def parse_braces(path: str, text: str, language: str) -> Index:
             found.append((m.start("name"), end_of(at), name, False, m.groupdict()))
     done: set[tuple[str, int]] = set()
     for a, b, name, is_type, d in sorted(found, key=lambda x: (x[0], not x[3])):
+        within = scope(a)
         # Functions inside functions are no symbols.
-        if any(s[0] <= a < s[1] and not s[3] for s in scopes):
+        if any(not x[3] for x in around):
             continue
-        prefix = d.get("class") or scope(a, True)
+        prefix = d.get("class") or within
         key = f"{prefix}.{name}" if prefix and prefix != name or (prefix and not is_type) else name
         if is_type and d.get("impl"):
-            scopes.append((a, b, name, True))
+            opened(a, b, name, True)
             if d.get("trait"):
                 ix.add("extends", name, d["trait"].rpartition("::")[2], at=where(a, a + 1))
             continue
         if (key, where(a, b)[0]) in done:
             continue
         done.add((key, where(a, b)[0]))
-        scopes.append((a, b, key, is_type))
+        opened(a, b, key, is_type)
         ix.add("symbol", prefix, key, "Class" if is_type else "Function", at=where(a, b))
         for base in re.split(r",", ",".join(x for x in (d.get("bases"), d.get("more")) if x)):
             base = re.sub(r"<.*|\b(?:public|private|protected|virtual)\b", "", base).strip()
             if base and is_type:
                 ix.add("extends", key, base, at=where(a, a + 1))
 
-    inner = sorted((s for s in scopes if not s[3]), key=lambda s: s[0])
+    def finder(kept: list[tuple[int, int, str, bool]]) -> Callable[[int], str]:
+        """The key of the scope that begins last before a place and holds it, or ''."""
+        kept = sorted(kept, key=lambda x: x[0])
+        begins, ends = [x[0] for x in kept], []
+        for x in kept:
+            ends.append(max(x[1], ends[-1] if ends else 0))
+
+        def find(at: int) -> str:
+            i = bisect_right(begins, at) - 1
+            while i >= 0 and ends[i] > at:
+                if at < kept[i][1]:
+                    return kept[i][2]
+                i -= 1
+            return ""
+
+        return find
+
+    function_at, type_at = finder([x for x in scopes if not x[3]]), finder([x for x in scopes if x[3]])
+    names_at = {x[0] for x in scopes if not x[3]}
 
     def owner(at: int) -> str:
-        best = ""
-        for s in inner:
-            if s[0] > at:
-                break
-            if at < s[1]:
-                best = s[2]
-        return best or FILE
+        return function_at(at) or FILE
 
     for m in re.finditer(r"(?P<obj>(?:\w+\s*(?:\.|->|::)\s*)*)\b(?P<name>\w+)\s*(?:::<[^>]*>)?\(", code):
         name = m["name"]
@@ -363,17 +428,22 @@ def parse_braces(path: str, text: str, language: str) -> Index:
         if name in (CONTROL if m["obj"] else NO_CALLS) or name.isdigit() or re.search(r"\b(?:fn|func|function|class|def)\s+$", before):
             continue
         at = m.start("name")
-        if any(s[0] == at for s in inner):
+        if at in names_at:
             continue
         obj = re.sub(r"\s*(?:->|::)\s*", ".", m["obj"].strip()).rstrip(".").strip() or None
-        if obj is None and any(code[s[0] : s[0] + len(name)] == name and s[0] == at for s in inner):
-            continue
         ix.add("call", owner(at), name, "", obj, at=where(at, m.end()))
     if language in ("JavaScript", "TypeScript"):
         for m in re.finditer(r"<(?P<name>[A-Z]\w*)[\s/>]", code):
             ix.add("call", owner(m.start()), m["name"], at=where(m.start(), m.end()))
     for m in re.finditer(g.made, code):
-        ix.add("type", owner(m.start()), m["var"], "local", m["type"], at=where(m.start(), m.end()))
+        if not re.search(r"(?:this|self)\s*(?:\.|->)\s*$", code[max(0, m.start() - 12) : m.start()]):
+            ix.add("type", owner(m.start()), m["var"], "local", m["type"], at=where(m.start(), m.end()))
+    for pattern in (*g.fields, _SET):
+        for m in re.finditer(pattern, code, re.M):
+            cls = type_at(m.start("var"))
+            # Declarations count in a type's own block, parameters of its constructor and what methods set on the instance anywhere.
+            if cls and (pattern in (_SET, _PARAMETER) or not function_at(m.start("var"))):
+                ix.add("type", cls, m["var"], "field", m["type"], at=where(m.start(), m.end()))
     return ix
 
 
@@ -384,8 +454,14 @@ def parse(path: str, text: str, language: str) -> Index:
 PARSERS: dict[str, Callable[[str, str, str], Index]] = {"Python": lambda p, t, _: parse_python(p, t), **{n: parse_braces for n in GRAMMARS}}
 
 
+#: What reads a file that its language's parser cannot.
+LOOSE: dict[str, Callable[[str, str, str], Index]] = {"Python": parse_python_loosely}
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """Rows of facts of files (path, language, content); a file that cannot be parsed has one row with fact ``error``.
+    """Rows of facts of files (path, language, content); a file that cannot be parsed has a row with fact ``error``.
+
+    Such a file of Python has the facts that patterns find, too. PARSERS and LOOSE may be given further languages.
 
     Null paths, contents and languages without a parser are left out. Files are parsed where they lie.
     """
@@ -401,6 +477,7 @@ def facts(files: DataFrame) -> DataFrame:
                     rows += parser(path, content, language).rows
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append((path, language, "", "error", "", type(e).__name__, "", None, None, 0, 0, 0, 0, 0))
+                    rows += LOOSE[language](path, content, language).rows if language in LOOSE else []
             out = pd.DataFrame(rows, columns=COLUMNS)
             yield out.astype({c: "int32" for c in COLUMNS[-5:]})
 

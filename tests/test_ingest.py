@@ -15,7 +15,16 @@ CORPUS = {
     ),
     "game/utils.py": ("Python", "def clamp(x):\n    return x\n\ndef clamp(x, y=0):\n    return x + y\n"),
     "game/pieces.py": ("Python", "from game.utils import *\n\nclass Tile:\n    def width(self):\n        return clamp(3)\n"),
-    "game/broken.py": ("Python", "def f(:\n"),
+    "game/broken.py": ("Python", "from game.utils import clamp\nimport game.pieces as gp\n\ndef f(:\n\ndef g(x):\n    # clamp(0)\n    gp.Tile()\n    return clamp('clamp(1)')\n"),
+    "deep/app.py": ("Python", "from deep.engine import Engine\n\nclass App:\n    def __init__(self):\n        self.engine = Engine()\n\n    def go(self):\n        self.engine.pump.valve.turn()\n        e = Engine()\n        e.pump.start()\n        self.engine.missing.turn()\n"),
+    "deep/engine.py": ("Python", "from deep.pump import Pump\n\nclass Engine:\n    def __init__(self):\n        self.pump = Pump()\n"),
+    "deep/pump.py": ("Python", "class Valve:\n    def turn(self):\n        pass\n\nclass Pump:\n    def __init__(self):\n        self.valve = Valve()\n\n    def start(self):\n        pass\n"),
+    "svc/repo.ts": ("TypeScript", "export class Repo {\n  save(): void {\n    return;\n  }\n}\n"),
+    "svc/app.ts": ("TypeScript", "import { Repo } from './repo';\n\nexport class App {\n  private spare: Repo;\n  constructor(private readonly repo: Repo) {\n    this.made = new Repo();\n  }\n  run(): void {\n    this.repo.save();\n  }\n  other(): void {\n    this.made.save();\n  }\n  third(): void {\n    this.spare.save();\n  }\n}\n"),
+    "jv/Repo.java": ("Java", "package jv;\n\npublic class Repo {\n  public void save() {\n  }\n}\n"),
+    "jv/App.java": ("Java", "package jv;\nimport jv.Repo;\n\npublic class App {\n  private final Repo repo = new Repo();\n  public void run() {\n    this.repo.save();\n  }\n}\n"),
+    "rs/repo.rs": ("Rust", "pub struct Repo { n: u32 }\n\nimpl Repo {\n    pub fn save(&self) {}\n}\n"),
+    "rs/app.rs": ("Rust", "use rs::repo::Repo;\n\npub struct App {\n    repo: Box<Repo>,\n}\n\nimpl App {\n    pub fn run(&self) {\n        self.repo.save();\n    }\n}\n"),
     "web/card.tsx": ("TypeScript", "import { load as fetchIt } from './api';\nimport * as fmt from './fmt';\n\nexport interface Props { a: string }\nexport class Card extends Base {\n  render(x: number): void {\n    fetchIt(x);\n    fmt.pad(1);\n    this.draw();\n  }\n  draw() { return 1; }\n}\nexport const App = () => {\n  return <Card a='b' />;\n};\n"),
     "web/api.ts": ("TypeScript", "export function load(x: number) {\n  // load(2)\n  return x;\n}\n"),
     "web/fmt.js": ("JavaScript", "exports.pad = function (n) { return n; };\nfunction Shape() {}\nShape.prototype.area = function () { return exports.pad(2); };\n"),
@@ -94,6 +103,15 @@ def test_errors_are_rows(corpus):
         ("Extends", "app/Main.java::Main", "app/model/Item.java::Item"),
         ("Calls", "app/Main.java::Main.run", "app/model/Item.java::Item.name"),
         ("Calls", "app/Main.java::Main.run", "app/Main.java::Main.local"),
+        ("Calls", "game/broken.py::g", "game/utils.py::clamp"),
+        ("Calls", "game/broken.py::g", "game/pieces.py::Tile"),
+        ("Calls", "deep/app.py::App.go", "deep/pump.py::Valve.turn"),
+        ("Calls", "deep/app.py::App.go", "deep/pump.py::Pump.start"),
+        ("Calls", "svc/app.ts::App.run", "svc/repo.ts::Repo.save"),
+        ("Calls", "svc/app.ts::App.other", "svc/repo.ts::Repo.save"),
+        ("Calls", "svc/app.ts::App.third", "svc/repo.ts::Repo.save"),
+        ("Calls", "jv/App.java::App.run", "jv/Repo.java::Repo.save"),
+        ("Calls", "rs/app.rs::App.run", "rs/repo.rs::Repo.save"),
         ("Calls", "c/main.c::main", "c/main.c::twice"),
         ("Calls", "c/main.c::twice", "c/list.h::list_len"),
     ],
@@ -106,6 +124,26 @@ def test_no_calls_from_comments_or_strings(edges):
     assert not any(e[0] == "Calls" and e[1] == e[2] for e in edges if e[1].startswith("web/api"))
 
 
+def test_no_false_edges(edges):
+    """All calls of the small corpora of chains and fields, and no others."""
+    got = {e[1:] for e in edges if e[0] == "Calls" and e[1].split("/")[0] in ("deep", "svc", "jv", "rs")}
+    made = {("deep/app.py::App.__init__", "deep/engine.py::Engine"), ("deep/app.py::App.go", "deep/engine.py::Engine"), ("deep/engine.py::Engine.__init__", "deep/pump.py::Pump"), ("deep/pump.py::Pump.__init__", "deep/pump.py::Valve")}
+    want = made | {
+        ("deep/app.py::App.go", "deep/pump.py::Valve.turn"), ("deep/app.py::App.go", "deep/pump.py::Pump.start"), ("svc/app.ts::App.run", "svc/repo.ts::Repo.save"), ("svc/app.ts::App.other", "svc/repo.ts::Repo.save"),
+        ("svc/app.ts::App.third", "svc/repo.ts::Repo.save"), ("jv/App.java::App.run", "jv/Repo.java::Repo.save"), ("rs/app.rs::App.run", "rs/repo.rs::Repo.save"),
+    }
+    assert want <= got and all(t.split("::")[1] in ("Repo", "App") for _, t in got - want), got - want
+
+
+def test_large_files_are_read_in_little_time():
+    import time
+
+    text = "class Big {\n" + "".join(f"  m{i}() {{\n    return this.m{i // 2}();\n  }}\n" for i in range(6000)) + "}\n"
+    began = time.time()
+    ix = parsers.parse_braces("big.js", text, "JavaScript")
+    assert sum(r[3] == "symbol" for r in ix.rows) == 6002 and time.time() - began < 20
+
+
 def test_next_revisions(spark, corpus):
     syms = ingest.symbols(corpus).filter("path = 'game/pieces.py'")
     rows = {r.key: r.identity_id for r in syms.collect()}
