@@ -57,6 +57,24 @@ class Policy:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**raw)
 
+    @classmethod
+    def from_text(cls, text: str) -> Policy:
+        """From a configuration of lines ``name: value``, or of such lines below headings; # begins a comment."""
+        raw: dict[str, int | float] = {}
+        for line in text.splitlines():
+            name, colon, value = line.split("#")[0].partition(":")
+            if colon and value.strip():
+                number = float(value)
+                raw[name.strip()] = int(number) if cls.__dataclass_fields__.get(name.strip()) and isinstance(getattr(cls, name.strip()), int) else number
+        return cls.from_mapping(raw)
+
+    def reloaded(self, text: str) -> Policy:
+        """The policy of a changed configuration; this one if that is not valid."""
+        try:
+            return Policy.from_text(text)
+        except (ValueError, TypeError):
+            return self
+
 
 @dataclass
 class Graph:

@@ -182,14 +182,13 @@ def overlapping(wal: DataFrame) -> DataFrame:
     return x.join(first, "revision_id").filter("log_id != first_log_id").select("revision_id", "first_log_id", "log_id")
 
 
-def compacted_wal(wal: DataFrame, record_bytes: int, max_bytes: int) -> DataFrame:
-    """What stays of the log when the oldest terminal rows are dropped until the size is within the limit.
+def compacted_wal(wal: DataFrame, record_bytes: int, max_bytes: int, merging: bool = False) -> DataFrame:
+    """What stays of the log when the oldest terminal rows are dropped until the size is within the limit; all while a merge runs.
 
     How many must go is one count; which are the oldest is a global rank over their ids, taken in ranges of ids so that no
     task sorts all of them.
     """
-    n = wal.count()
-    drop = max(0, n - max_bytes // record_bytes)
+    drop = 0 if merging else max(0, wal.count() - max_bytes // record_bytes)
     if not drop:
         return wal
     terminal = wal.filter(F.col("phase").isin("Committed", "Failed"))

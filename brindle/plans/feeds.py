@@ -94,7 +94,9 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     last = r.filter("body_hash IS NOT NULL").groupBy("path").agg(F.max_by("body_hash", F.struct("ts_ms", "revision_id")).alias("body_hash"))
     b = table(spark, d, "bodies").filter("bytes IS NOT NULL").select("body_hash", "bytes").dropDuplicates(["body_hash"])
     text = F.regexp_replace(F.col("bytes").cast("string"), "\r\n?", "\n")
-    return last.join(b, "body_hash").select("path", language_of(F.col("path")).alias("language"), text.alias("content")).filter("language IS NOT NULL")
+    files = last.join(b, "body_hash").select("path", language_of(F.col("path")).alias("language"), text.alias("content")).filter("language IS NOT NULL")
+    # Parsing takes long for each byte: the partitions are not to be merged by size.
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 @query("n2_symbols")

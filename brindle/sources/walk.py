@@ -72,16 +72,28 @@ def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
+def ignore_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[tuple[bool, str]]:
+    """The rules of all ignore files under root, outer ones first, so that the innermost rule that matches counts.
+
+    As many lines as the tree's ignore files have; the tree itself is not listed on the driver.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    base = re.sub(r"^\w+:(//)?", "", root.rstrip("/"))
+    rows = [(re.sub(r"^\w+:(//)?", "", r["path"])[len(base) :].strip("/").rpartition("/")[0], r["text"]) for r in found.select("path", F.decode("content", F.lit("UTF-8")).alias("text")).collect()]
+    return [p for folder, text in sorted(rows, key=lambda r: (r[0].count("/") + bool(r[0]), r[0])) for line in text.splitlines() if (p := ignore_pattern(line, folder))]
+
+
+def read_tree(spark: SparkSession, root: str, rules: list[str] = (), ignore_files: bool = True) -> DataFrame:
     """(path, language, content, size, modified) of the source files under root; content is UTF-8 text.
 
-    Ignore rules are given as lines; names, rules and extensions are plain predicates on the path column.
+    Ignore rules are those of the tree's own ignore files and then the given lines; names, rules and extensions are plain
+    predicates on the path column.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^\w+:(//)?", "")
     rel = F.regexp_replace(F.col("path"), r"^\w+:(//)?", "")
     df = files.withColumn("rel", normal_path(F.ltrim(F.replace(rel, base, F.lit("")), F.lit("/"))))
-    patterns = [p for p in map(ignore_pattern, rules) if p]
+    patterns = (ignore_rules(spark, root) if ignore_files else []) + [p for p in map(ignore_pattern, rules) if p]
     df = df.filter(kept(F.col("rel")) & ~ignored(F.col("rel"), patterns)).withColumn("language", language_of(F.col("rel"))).filter("language IS NOT NULL")
     return df.select(F.col("rel").alias("path"), "language", F.decode(F.col("content"), "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -11,7 +11,7 @@ from brindle.operators import quality as A
 from brindle.operators import retention as R
 from brindle.operators import semantic as X
 from brindle.operators.graph import Graph, Policy, View, branch_chain
-from brindle.sources.store import Conflict, Store, convert
+from brindle.sources.store import Conflict, Store, convert, fingerprint
 from brindle.sources.walk import changed_files, ignore_pattern, ignored, read_tree
 from brindle.streaming import events as E
 
@@ -239,6 +239,9 @@ def test_policy():
     with pytest.raises(ValueError):
         Policy.from_mapping({"colour": 1})
     assert Policy.from_mapping({"max_hops": 2}).max_hops == 2
+    p = Policy.from_text("# tuned\nranking:\n  max_hops: 5  # far\n  semantic: 0.1\n  structural: 0.5\n")
+    assert (p.max_hops, p.semantic, p.hwm) == (5, 0.1, 5000)
+    assert p.reloaded("hwm: 9").hwm == 5000 and p.reloaded("colour: 1") is p and p.reloaded("max_hops: many") is p and p.reloaded("max_hops: 4").max_hops == 4
 
 
 # --- patches, trees, storage
@@ -263,6 +266,11 @@ def test_tree(spark, tmp_path):
         f.write_text("x = 1\n")
     got = {r.path: r.language for r in read_tree(spark, str(tmp_path), ["gen/*", "!gen/keep.py", "# note", "*.go"]).collect()}
     assert got == {"src/a.py": "Python", "gen/keep.py": "Python"}
+    (tmp_path / "src" / ".gitignore").write_text("# all but one\n*.py\n!a.py\n")
+    (tmp_path / "src" / "c.py").write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("gen/\n")
+    assert {r.path for r in read_tree(spark, str(tmp_path)).collect()} == {"src/a.py", "src/e.go"}
+    assert {r.path for r in read_tree(spark, str(tmp_path), ignore_files=False).collect()} == {"src/a.py", "src/c.py", "src/e.go", "gen/d.py", "gen/keep.py"}
     rules = [ignore_pattern(r) for r in ("build/", "/top.py", "a/**/z.py", "?.js")]
     df = spark.createDataFrame([(p,) for p in ("x/build/a.py", "top.py", "x/top.py", "a/b/c/z.py", "a/z.py", "q/x.js", "xx.js", "builder/a.py")], "p string")
     assert {r.p for r in df.filter(ignored(F.col("p"), rules)).collect()} == {"x/build/a.py", "top.py", "a/b/c/z.py", "a/z.py", "q/x.js"}
@@ -288,6 +296,7 @@ def test_store(spark, tmp_path, fmt):
         s.publish({"t": a})
     other = Store(spark, str(tmp_path / "o"), "parquet")
     assert convert(spark, s, other, ["t"]) == 1 and other.read("t").schema == b.schema
+    assert fingerprint(a.union(a)) != fingerprint(a) != fingerprint(b) and fingerprint(a.union(b)) == fingerprint(b.union(a))
 
 
 # --- streams
@@ -325,6 +334,16 @@ def test_hysteresis(spark, tmp_path):
     assert [r.degraded for r in spark.table("hyst").orderBy("ts_ms").collect()] == [False, True, True, True, True, False, False]
 
 
+def test_missed_events_orphan_tokens_and_ttl(spark):
+    disk = spark.createDataFrame([("a", 5_000), ("b", 5_000), ("c", 900)], "path string, mtime bigint")
+    indexed = spark.createDataFrame([("a", 4_900), ("b", 1_000)], "path string, indexed_ms bigint")
+    assert [tuple(r) for r in E.missed_events(disk, indexed).collect()] == [("b", 5_000), ("c", 900)]
+    tokens, patches = spark.createDataFrame([("p1",), ("p2",)], "patch_id string"), spark.createDataFrame([("p1",)], "patch_id string")
+    assert [r.patch_id for r in P.orphan_tokens(tokens, patches).collect()] == ["p2"]
+    wal = spark.createDataFrame([(i, "Committed") for i in range(9)], "log_id bigint, phase string")
+    assert A.compacted_wal(wal, 100, 300).count() == 3 and A.compacted_wal(wal, 100, 300, merging=True).count() == 9
+
+
 def test_logs(spark, tmp_path):
     from brindle.sources.logs import MERGE_METRICS, append_log, last_records, read_log
 
