@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scoring import stable_id
+from brindle.workspace import Workspace
 
 FILE = "$file"
 #: Languages in which a file's own directory is searched for names.
@@ -155,7 +156,8 @@ def resolved_calls(facts: DataFrame, syms: DataFrame, imports: DataFrame) -> Dat
     add(bare.filter(F.col("language").isin(*SAME_DIR)).join(near.filter("to_key = name"), ["dir", "name"]).filter("language = l2"), 22, True)
     # The type of a receiver: a variable of the function, or a field of its class; the type here or imported.
     types = facts.filter("fact = 'type'").groupBy("path", "owner", F.col("name").alias("var"), F.col("kind").alias("what")).agg(F.min_by("object", "ord").alias("type"))
-    typed = _typed_receivers(attr, types, syms, names, cls)
+    # Four steps that each read the one before: written once, as it is read twice.
+    typed = Workspace(facts.sparkSession, "receivers").write(_typed_receivers(attr, types, syms, names, cls), "typed")
     add(typed.withColumn("k", F.concat("type", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("at")) & (F.col("to_key") == F.col("k"))), 30)
     away = names.select(F.col("path").alias("at"), "local", "remote", "file")
     add(typed.join(away, "at").filter("type = local").withColumn("k", F.concat("remote", F.lit("."), "name")).join(to, (F.col("to_path") == F.col("file")) & (F.col("to_key") == F.col("k"))), 31)
@@ -190,8 +192,9 @@ def edges(facts: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     Imports start at the file's own symbol and lead to the imported symbol, or to the other file's symbol for whole modules
     and imports of everything; Calls and Uses start at their function, or at the file's symbol; Extends at the class.
     """
-    syms = symbols(facts) if syms is None else syms
-    imports = resolved_imports(facts)
+    ws = Workspace(facts.sparkSession, "edges")
+    syms = ws.write(symbols(facts) if syms is None else syms, "symbols")
+    imports = ws.write(resolved_imports(facts), "imports")
     known = syms.select(F.col("path").alias("target_path"), F.col("key").alias("target_key"), "identity_id", "disambiguator", "ord")
     ids = known.groupBy("target_path", "target_key").agg(F.min_by("identity_id", F.struct((F.col("disambiguator") != "").cast("int"), "ord")).alias("target_id"))
     named = imports.select("path", "ord", F.lit(FILE).alias("owner"), "to_path", F.when(F.col("kind") == "name", F.col("remote")).otherwise(FILE).alias("to_key")).withColumn("ty", F.lit("Imports"))

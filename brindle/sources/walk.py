@@ -72,15 +72,27 @@ def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def ignore_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[tuple[bool, str]]:
+def ignore_rules(spark: SparkSession, root: str, name: str = ".gitignore", depth: int = 32) -> list[tuple[bool, str]]:
     """The rules of all ignore files under root, outer ones first, so that the innermost rule that matches counts.
 
-    As many lines as the tree's ignore files have; the tree itself is not listed on the driver.
+    Readers of files skip hidden names, so the files are looked for level by level; only they and their lines are fetched.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = re.sub(r"^\w+:(//)?", "", root.rstrip("/"))
-    rows = [(re.sub(r"^\w+:(//)?", "", r["path"])[len(base) :].strip("/").rpartition("/")[0], r["text"]) for r in found.select("path", F.decode("content", F.lit("UTF-8")).alias("text")).collect()]
-    return [p for folder, text in sorted(rows, key=lambda r: (r[0].count("/") + bool(r[0]), r[0])) for line in text.splitlines() if (p := ignore_pattern(line, folder))]
+    out: list[tuple[bool, str]] = []
+    for k in range(depth):
+        level = root.rstrip("/") + "/*" * k
+        if k and not fs.globStatus(path(level)):
+            break
+        for found in sorted((f.getPath() for f in fs.globStatus(path(f"{level}/{name}")) or ()), key=str):
+            stream = fs.open(found)
+            lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
+            folder = re.sub(r"^\w+:(//)?", "", str(found.toString()))[len(base) :].strip("/").rpartition("/")[0]
+            out += [p for line in lines if (p := ignore_pattern(line, folder))]
+    return out
 
 
 def read_tree(spark: SparkSession, root: str, rules: list[str] = (), ignore_files: bool = True) -> DataFrame:
