@@ -14,7 +14,7 @@ from brindle.llm.leaks import leaks
 from brindle.llm.neighbors import nearest, similar_pairs
 from brindle.llm.readability import reading_levels
 from brindle.llm.splitting import LIMIT, split_bodies
-from brindle.sources.tables import table
+from brindle.sources.tables import table, table_of_texts
 
 # --- p2: most similar vectors
 
@@ -66,19 +66,19 @@ def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode_corpus(table_of_texts(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
 # --- p8: evaluation texts in the corpus
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1).select("doc_id", "item_id")
+    return leaks(table_of_texts(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"), max_edits=1).select("doc_id", "item_id")
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 12 words of an item with at most two wrong characters, and how many are wrong."""
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2, exact=False)
+    return leaks(table_of_texts(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"), max_edits=2, exact=False)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
+    return reading_levels(table_of_texts(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_samples"))
 
 
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
