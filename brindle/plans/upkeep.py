@@ -315,21 +315,11 @@ def overlay(base: DataFrame, over: DataFrame, key: list[str]) -> DataFrame:
 # --- renames and retention
 
 
-def _renames(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d)
-    r = full_revisions(g, spark, d).filter("branch_id = 1")
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    one = r.filter("kind = 'Function'").join(docs, "doc_id", "left").select(F.col("revision_id").alias("id"), "file_path", "kind", "qualified_name", "body", "status", "identity_id")
-    tombs = one.filter("status = 'Tombstone'")
-    fresh = one.filter("status = 'Active'")
-    return R.rename_scores(tombs, fresh, Policy())
-
-
 _RENAMES = with_sql(
     *MORE,
-    "rr AS (SELECT r.revision_id AS id, r.file_path, r.kind, r.qualified_name, d.text AS body, r.status, string_split(string_split(r.qualified_name, '::')[-1], '.')[-1] AS leaf FROM g_revisions r LEFT JOIN documents d USING (doc_id) WHERE r.branch_id = 1 AND r.kind = 'Function')",
+    "rr AS (SELECT r.revision_id AS id, r.file_path, r.kind, r.qualified_name, d.text AS body, r.status, string_split(string_split(r.qualified_name, '::')[-1], '.')[-1] AS leaf, r.branch_id, r.doc_id FROM g_revisions r LEFT JOIN documents d USING (doc_id) WHERE r.kind <> 'File' AND r.qualified_name <> r.file_path)",
     "tk AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(body), '[^a-z0-9_]+'), lambda x: x <> '' AND x NOT IN ('def', 'async', 'return', 'pass', 'none', 'true', 'false', 'self', 'cls', 'class'))) AS toks FROM rr WHERE body IS NOT NULL)",
-    "pp AS (SELECT t.id AS tomb_id, s.id AS symbol_id, t.leaf AS x, s.leaf AS y, a.toks AS ta, b.toks AS tb, t.body IS NOT NULL AND s.body IS NOT NULL AS both_known FROM rr t JOIN rr s ON s.file_path = t.file_path AND s.kind = t.kind LEFT JOIN tk a ON a.id = t.id LEFT JOIN tk b ON b.id = s.id WHERE t.status = 'Tombstone' AND s.status = 'Active')",
+    "pp AS (SELECT t.id AS tomb_id, s.id AS symbol_id, t.leaf AS x, s.leaf AS y, a.toks AS ta, b.toks AS tb, t.body IS NOT NULL AND s.body IS NOT NULL AS both_known FROM rr t JOIN rr s ON s.file_path = t.file_path AND s.branch_id = t.branch_id LEFT JOIN tk a ON a.id = t.id LEFT JOIN tk b ON b.id = s.id WHERE t.status = 'Tombstone' AND s.status = 'Active')",
     "p2 AS (SELECT *, CASE WHEN x = y THEN 1.0 ELSE 1.0 - levenshtein(x, y) / greatest(strlen(x), strlen(y), 1) END AS near, CASE WHEN len(ta) >= 1 AND len(tb) >= 1 THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END AS body FROM pp)",
     "p3 AS (SELECT tomb_id, symbol_id, greatest(CASE WHEN near >= 0.85 THEN near ELSE 0 END, CASE WHEN body >= 0.4 THEN body ELSE 0 END) AS confidence FROM p2 WHERE NOT both_known OR body >= 0.4)",
 )
@@ -337,17 +327,32 @@ _RENAMES = with_sql(
 
 @query("i3_rename_scores", _RENAMES + "SELECT tomb_id, symbol_id, round(confidence, 6) AS confidence FROM p3 WHERE confidence >= 0.55")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _renames(spark, d).withColumn("confidence", F.round("confidence", 6))
+    """Within files, of every branch and kind."""
+    return R.rename_scores(*_rename_sides(spark, d), Policy()).withColumn("confidence", F.round("confidence", 6))
 
 
-def _all_renames(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of every branch and kind, within files and across them."""
+def _rename_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
     r = graph(spark, d).revisions.join(docs, "doc_id", "left").select("branch_id", F.col("revision_id").alias("id"), "file_path", "kind", "qualified_name", "body", "status")
-    return R.all_rename_scores(r.filter("status = 'Tombstone'"), r.filter("status = 'Active'"), Policy())
+    return r.filter("status = 'Tombstone'"), r.filter("status = 'Active'")
+
+
+def _all_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every branch and kind, within files and across them."""
+    return R.all_rename_scores(*_rename_sides(spark, d), Policy())
+
+
+_STOP = "('def', 'async', 'return', 'pass', 'none', 'true', 'false', 'self', 'cls', 'class')"
+_MOVED = f"""ft AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS toks FROM documents WHERE text IS NOT NULL),
+f2 AS (SELECT * FROM ft WHERE len(list_filter(toks, lambda x: x NOT IN {_STOP})) >= 2),
+f3 AS (SELECT doc_id, len(any_value(toks)) AS n, any_value(toks) AS toks, {", ".join(f"bit_xor(CASE WHEN hash(tok) % 4 = {i} THEN 1::UBIGINT << CAST(hash(tok) // 4 % 60 AS INT) ELSE 0::UBIGINT END) AS s{i}" for i in range(4))} FROM (SELECT *, unnest(toks) AS tok FROM f2) GROUP BY 1),
+-- Of sets so alike few elements differ, and each differing one flips a bit.
+d2 AS (SELECT a.doc_id AS da, b.doc_id AS db, a.toks AS ta, b.toks AS tb FROM f3 a JOIN f3 b ON {" + ".join(f"CAST(bit_count(xor(a.s{i}, b.s{i})) AS INT)" for i in range(4))} <= 0.1765 * (a.n + b.n) + 1e-6),
+dj AS (SELECT da, db, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS j FROM d2),
+mv AS (SELECT t.id AS tomb_id, s.id AS symbol_id, j FROM rr t JOIN dj ON dj.da = t.doc_id AND j >= 0.7 JOIN rr s ON s.doc_id = dj.db AND s.branch_id = t.branch_id AND s.file_path <> t.file_path WHERE t.status = 'Tombstone' AND s.status = 'Active')"""
 
 
-@query("i3_rename_scores_all")
+@query("i3_rename_scores_all", _RENAMES + ", " + _MOVED + " SELECT tomb_id, symbol_id, round(confidence, 6) AS confidence, false AS cross_file FROM p3 WHERE confidence >= 0.55 UNION ALL SELECT tomb_id, symbol_id, round(j, 6), true FROM mv")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _all_renames(spark, d).withColumn("confidence", F.round("confidence", 6))
 
