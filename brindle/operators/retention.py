@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
 from brindle.operators.graph import DAY_MS, Policy
+from brindle.workspace import Workspace
 
 
 def rename_candidates(tombstones: DataFrame, now_ms: int, window_days: int) -> DataFrame:
@@ -49,39 +52,86 @@ def rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) ->
     return p.filter(~both | F.col("alike").isNotNull()).select("tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
 
 
+#: Bits of a token set's sketch, and how many of the most frequent tokens are told apart when tokens are ordered by rarity.
+SKETCH_BITS, FREQUENT_TOKENS = 256, 20_000
+_WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
+def _sketched(least: float, held: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each set its rarest tokens, hashed, of which one as similar has one among its own, and the parity of its tokens by hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, rarest, sketches = [], [], []
+            for toks in b.column("toks").to_pylist():
+                n, bits = len(toks), 0
+                toks.sort(key=lambda x: (held.get(x, 0), x))
+                hashes = [zlib.crc32(x.encode()) for x in toks]
+                for h in hashes:
+                    bits ^= 1 << h % SKETCH_BITS
+                lengths.append(n)
+                rarest.append([h - 2**31 for h in hashes[: n - math.ceil(n * least - 1e-9) + 1]])
+                sketches.append(bits.to_bytes(SKETCH_BITS // 8, "little"))
+            words = [pa.array([int.from_bytes(x[i * 8 : i * 8 + 8], "little", signed=True) for x in sketches], pa.int64()) for i in range(len(_WORDS))]
+            kept = ["branch_id", "set_id", "old", "new"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lengths, pa.int32()), pa.array(rarest, pa.list_(pa.int32())), *words], [*kept, "n", "rarest", *_WORDS])
+
+    return run
+
+
+def _similar_sets(sets: DataFrame, least: float, ws: Workspace) -> DataFrame:
+    """(old_id, new_id) of different sets (branch_id, set_id, toks, old, new) of a branch that may be so alike: all that are, and few others.
+
+    Two sets so alike share one of their rarest tokens, and at the first they share enough tokens are left in both; of their
+    tokens few are in one set only, and each of those flips one bit of the sketch. So pairs are told by fixed columns while
+    they are joined, and only those left are compared token by token.
+    """
+    # Any order of the tokens finds the same pairs: one by how many sets hold them finds few others. Rarer tokens than these tie.
+    held = sets.select(F.explode("toks").alias("tok")).groupBy("tok").count().orderBy(F.desc("count"), "tok").limit(FREQUENT_TOKENS)
+    held = {r[0]: r[1] for r in held.collect()}
+    kept = sets.select("branch_id", "set_id", "old", "new")
+    fields = [*(f"{c} {kind}" for c, kind in kept.dtypes), "n int", "rarest array<int>", *(f"{x} bigint" for x in _WORDS)]
+    signed = ws.write(sets.mapInArrow(_sketched(least, held), ", ".join(fields)), "signed")
+
+    def side(which: str, p: str) -> DataFrame:
+        return signed.filter(which).select("branch_id", F.col("set_id").alias(f"{which}_id"), F.col("n").alias(f"{p}_n"), *(F.col(x).alias(f"{p}_{x}") for x in _WORDS), F.posexplode("rarest").alias(f"{p}_at", f"{p}_tok"))
+
+    a, b = side("old", "a"), side("new", "b")
+    total = F.col("a_n") + F.col("b_n")
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    flipped = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _WORDS), F.lit(0))
+    sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-9
+    near = sizes & (left >= total * (least / (1 + least)) - 1e-9) & (flipped <= total * ((1 - least) / (1 + least)) + 1e-9)
+    p = a.join(b, (a["branch_id"] == b["branch_id"]) & (F.col("a_tok") == F.col("b_tok")) & near & (F.col("old_id") != F.col("new_id")))
+    return p.select("old_id", "new_id").distinct()
+
+
 def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
     """(tomb_id, symbol_id, confidence): tombstones and new symbols of one branch, but of different files, with similar bodies.
 
     Both: branch_id, id, file_path, kind, qualified_name, body; file hubs take no part. Each body needs two meaningful
     tokens, and the Jaccard similarity of all tokens must reach the body threshold. The join is exact: bodies are folded to
-    distinct token sets, and of two sets so similar each has one of the other's rarest tokens among its own rarest ones.
+    a branch's distinct token sets, and those that may be alike are found by ``_similar_sets`` and then compared.
     """
-    from brindle.workspace import Workspace
-
     ws = Workspace(tombstones.sparkSession, "moved")
     least = policy.body_similarity
 
-    def bodies(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    def bodies(df: DataFrame) -> DataFrame:
         r = _no_hubs(df).filter("body IS NOT NULL").select("branch_id", "id", "file_path", F.sort_array(S.tokens(F.col("body"))).alias("toks"))
-        r = r.filter(F.size(S.meaningful(F.col("toks"))) >= 2).withColumn("set_id", F.sha2(F.concat_ws(" ", "toks"), 256))
-        sets = ws.write(r.groupBy("branch_id", "set_id").agg(F.first("toks").alias("toks")), name)
-        return r.drop("toks"), sets
-
-    (t, t_sets), (s, s_sets) = bodies(tombstones, "old"), bodies(symbols, "new")
-    held = t_sets.unionByName(s_sets).select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("held"))
-
-    def rarest(sets: DataFrame, as_id: str, as_n: str) -> DataFrame:
-        each = sets.select("branch_id", F.col("set_id").alias(as_id), F.size("toks").alias(as_n), F.explode("toks").alias("tok")).join(held, "tok")
-        w = Window.partitionBy("branch_id", as_id).orderBy("held", "tok")
-        return each.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= F.col(as_n) - F.ceil(F.col(as_n) * least - 1e-9) + 1).drop("no", "held")
-
-    sizes = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    pairs = rarest(t_sets, "old", "n").join(rarest(s_sets, "new", "m"), ["branch_id", "tok"]).filter(sizes).select("branch_id", "old", "new").distinct()
-    pairs = pairs.join(t_sets.select("branch_id", F.col("set_id").alias("old"), F.col("toks").alias("a")), ["branch_id", "old"]).join(s_sets.select("branch_id", F.col("set_id").alias("new"), F.col("toks").alias("b")), ["branch_id", "new"])
-    alike = pairs.select("branch_id", "old", "new", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence")).filter(F.col("confidence") >= max(least, policy.rename_min_confidence))
-    t = t.select("branch_id", F.col("set_id").alias("old"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
-    s = s.select("branch_id", F.col("set_id").alias("new"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
-    return alike.join(t, ["branch_id", "old"]).join(s, ["branch_id", "new"]).filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
+        told = F.concat_ws(" ", F.col("branch_id").cast("string"), F.col("toks"))
+        return r.filter(F.size(S.meaningful(F.col("toks"))) >= 2).withColumn("set_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16))
+
+    t, s = ws.write(bodies(tombstones), "old"), ws.write(bodies(symbols), "new")
+    sets = t.select("set_id", "branch_id", "toks", F.lit(True).alias("old")).unionByName(s.select("set_id", "branch_id", "toks", F.lit(False).alias("old")))
+    sets = ws.write(sets.groupBy("set_id").agg(F.first("branch_id").alias("branch_id"), F.first("toks").alias("toks"), F.max("old").alias("old"), F.max(~F.col("old")).alias("new")), "sets")
+    pairs = ws.write(_similar_sets(sets, least, ws), "pairs")
+    ws.drop("signed")
+    pairs = pairs.join(sets.select(F.col("set_id").alias("old_id"), F.col("toks").alias("a")), "old_id").join(sets.select(F.col("set_id").alias("new_id"), F.col("toks").alias("b")), "new_id")
+    alike = pairs.select("old_id", "new_id", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence"))
+    same = sets.filter("old AND new").select(F.col("set_id").alias("old_id"), F.col("set_id").alias("new_id"), F.lit(1.0).alias("confidence"))
+    alike = alike.unionByName(same).filter(F.col("confidence") >= max(least, policy.rename_min_confidence))
+    t = t.select(F.col("set_id").alias("old_id"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
+    s = s.select(F.col("set_id").alias("new_id"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
+    return alike.join(t, "old_id").join(s, "new_id").filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
 
 
 def all_rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
@@ -102,8 +152,6 @@ def best_renames(scores: DataFrame) -> DataFrame:
     earlier one competes for any takes its best. What is left after ``ROUNDS`` is read in order by one task, which keeps
     the tombstones taken.
     """
-    from brindle.workspace import Workspace
-
     ws = Workspace(scores.sparkSession, "renames")
     order = [*(["cross_file"] if "cross_file" in scores.columns else []), F.desc("confidence"), "tomb_id"]
     left, won = ws.write(scores, "left0"), None

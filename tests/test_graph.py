@@ -184,6 +184,26 @@ def test_renames_across_files_at_random(spark):
     assert len(want) > 50 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_few_pairs_of_unlike_bodies_are_compared(spark):
+    import random
+
+    from brindle.workspace import Workspace
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        toks = rng.sample(words, 60)
+        rows.append((i % 2, b"a%d" % i, sorted(toks), True, False))
+        rows.append((i % 2, b"b%d" % i, sorted(toks[rng.randrange(12) :] + rng.sample(words, rng.randrange(4))), False, True))
+    rows = [(b, i, sorted(set(t)), old, new) for b, i, t, old, new in rows]
+    sets = spark.createDataFrame(rows, "branch_id bigint, set_id binary, toks array<string>, old boolean, new boolean")
+    got = {(bytes(r.old_id), bytes(r.new_id)) for r in R._similar_sets(sets, 0.7, Workspace(spark, "test")).collect()}
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.7 * len(set(x) | set(y))
+    want = {(i, j) for b, i, t, old, _ in rows for c, j, u, _, new in rows if old and new and b == c and alike(t, u)}
+    assert len(want) > 100 and want <= got and len(got) < 2 * len(want)
+
+
 def test_many_equal_bodies_are_settled_in_order(spark):
     df = spark.createDataFrame([(t, 100 + s, 1.0, s % 2 == 0) for t in range(20) for s in range(25)], "tomb_id bigint, symbol_id bigint, confidence double, cross_file boolean")
     assert {(r.tomb_id, r.symbol_id) for r in R.best_renames(df).collect()} == {(i, 100 + i) for i in range(20)}
