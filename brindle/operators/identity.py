@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
 from brindle.operators.graph import Policy
-from brindle.operators.retention import all_rename_scores, best_renames, rename_candidates
+from brindle.operators.retention import rename_candidates, settled_renames
 
 
 def resolve_or_create(symbols: DataFrame, tombstones: DataFrame, policy: Policy, now_ms: int) -> DataFrame:
@@ -21,7 +21,7 @@ def resolve_or_create(symbols: DataFrame, tombstones: DataFrame, policy: Policy,
     """
     old = rename_candidates(tombstones, now_ms, policy.rename_window_days).withColumn("id", F.col("revision_id"))
     new = symbols.withColumn("id", F.col("symbol_id"))
-    won = best_renames(all_rename_scores(old, new, policy)).select("tomb_id", "symbol_id", "confidence", "cross_file")
+    won = settled_renames(old, new, policy).select("tomb_id", "symbol_id", "confidence", "cross_file")
     was = old.select(F.col("revision_id").alias("tomb_id"), F.col("identity_id").alias("old_identity"), F.col("qualified_name").alias("old_name"))
     near = S.name_proximity(F.col("old_name"), F.col("qualified_name"))
     named = ~F.col("cross_file") & (near >= policy.name_proximity) & (near >= F.col("confidence"))

@@ -34,6 +34,11 @@ def rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) ->
     proximity's threshold; bodies, with the leaf names masked, from the body threshold (0.4 within a file at most) and need
     at least one meaningful token; where both bodies are known a body signal is required.
     """
+    return _scored_within(tombstones, symbols, policy).select("tomb_id", "symbol_id", "confidence")
+
+
+def _scored_within(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of ``rename_scores`` with their file_path and branch_id."""
     key = [c for c in ("branch_id", "file_path") if c in tombstones.columns]
 
     def side(df: DataFrame, as_id: str, as_name: str, as_body: str, as_toks: str) -> DataFrame:
@@ -49,7 +54,7 @@ def rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) ->
     name = F.when(F.col("near") >= policy.name_proximity, F.col("near"))
     both = F.col("old_body") & F.col("new_body")
     best = F.greatest(F.coalesce(name, F.lit(0.0)), F.coalesce("alike", F.lit(0.0)))
-    return p.filter(~both | F.col("alike").isNotNull()).select("tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
+    return p.filter(~both | F.col("alike").isNotNull()).select(*key, "tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
 
 
 #: Bits of a token set's sketch, and how many of the most frequent tokens are told apart when tokens are ordered by rarity.
@@ -105,14 +110,12 @@ def _similar_sets(sets: DataFrame, least: float, ws: Workspace) -> DataFrame:
     return p.select("old_id", "new_id").distinct()
 
 
-def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
-    """(tomb_id, symbol_id, confidence): tombstones and new symbols of one branch, but of different files, with similar bodies.
+def _alike_bodies(tombstones: DataFrame, symbols: DataFrame, policy: Policy, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(branch_id, old_id, new_id, confidence) of token sets so alike, and (branch_id, id, file_path, set_id) of both sides.
 
-    Both: branch_id, id, file_path, kind, qualified_name, body; file hubs take no part. Each body needs two meaningful
-    tokens, and the Jaccard similarity of all tokens must reach the body threshold. The join is exact: bodies are folded to
-    a branch's distinct token sets, and those that may be alike are found by ``_similar_sets`` and then compared.
+    The join is exact: bodies are folded to a branch's distinct token sets, and those that may be alike are found by
+    ``_similar_sets`` and then compared. Tokens are written once a set, not with each row that has them.
     """
-    ws = Workspace(tombstones.sparkSession, "moved")
     least = policy.body_similarity
 
     def bodies(df: DataFrame) -> DataFrame:
@@ -120,15 +123,25 @@ def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy)
         told = F.concat_ws(" ", F.col("branch_id").cast("string"), F.col("toks"))
         return r.filter(F.size(S.meaningful(F.col("toks"))) >= 2).withColumn("set_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16))
 
-    t, s = ws.write(bodies(tombstones), "old"), ws.write(bodies(symbols), "new")
+    t, s = bodies(tombstones), bodies(symbols)
     sets = t.select("set_id", "branch_id", "toks", F.lit(True).alias("old")).unionByName(s.select("set_id", "branch_id", "toks", F.lit(False).alias("old")))
     sets = ws.write(sets.groupBy("set_id").agg(F.first("branch_id").alias("branch_id"), F.first("toks").alias("toks"), F.max("old").alias("old"), F.max(~F.col("old")).alias("new")), "sets")
+    t, s = ws.write(t.drop("toks"), "old"), ws.write(s.drop("toks"), "new")
     pairs = ws.write(_similar_sets(sets, least, ws), "pairs")
     ws.drop("signed")
-    pairs = pairs.join(sets.select(F.col("set_id").alias("old_id"), F.col("toks").alias("a")), "old_id").join(sets.select(F.col("set_id").alias("new_id"), F.col("toks").alias("b")), "new_id")
-    alike = pairs.select("old_id", "new_id", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence"))
-    same = sets.filter("old AND new").select(F.col("set_id").alias("old_id"), F.col("set_id").alias("new_id"), F.lit(1.0).alias("confidence"))
-    alike = alike.unionByName(same).filter(F.col("confidence") >= max(least, policy.rename_min_confidence))
+    pairs = pairs.join(sets.select("branch_id", F.col("set_id").alias("old_id"), F.col("toks").alias("a")), "old_id").join(sets.select(F.col("set_id").alias("new_id"), F.col("toks").alias("b")), "new_id")
+    alike = pairs.select("branch_id", "old_id", "new_id", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence"))
+    same = sets.filter("old AND new").select("branch_id", F.col("set_id").alias("old_id"), F.col("set_id").alias("new_id"), F.lit(1.0).alias("confidence"))
+    return alike.unionByName(same).filter(F.col("confidence") >= max(least, policy.rename_min_confidence)), t, s
+
+
+def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+    """(tomb_id, symbol_id, confidence): tombstones and new symbols of one branch, but of different files, with similar bodies.
+
+    Both: branch_id, id, file_path, kind, qualified_name, body; file hubs take no part. Each body needs two meaningful
+    tokens, and the Jaccard similarity of all tokens must reach the body threshold.
+    """
+    alike, t, s = _alike_bodies(tombstones, symbols, policy, Workspace(tombstones.sparkSession, "moved"))
     t = t.select(F.col("set_id").alias("old_id"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
     s = s.select(F.col("set_id").alias("new_id"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
     return alike.join(t, "old_id").join(s, "new_id").filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
@@ -183,6 +196,128 @@ def best_renames(scores: DataFrame) -> DataFrame:
     return won.unionByName(ws.write(rest, "rest"))
 
 
+def settled_renames(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+    """``best_renames`` of ``all_rename_scores``, without the pairs of equal bodies, which grow as the square of their rows.
+
+    Pairs within files are written; those across files stay pairs of token sets and the rows of each set. One task a branch
+    reads its symbols in order and holds the tombstones of the sets that are alike.
+    """
+    ws = Workspace(tombstones.sparkSession, "settled")
+    alike, t, s = _alike_bodies(tombstones, symbols, policy, ws)
+    alike = ws.write(alike, "alike")
+    ws.drop("sets", "pairs")
+    within = ws.write(_scored_within(tombstones, symbols, policy).drop("file_path"), "within")
+    tomb, symbol = dict(within.dtypes)["tomb_id"], dict(within.dtypes)["symbol_id"]
+    fields = {"branch_id": dict(within.dtypes)["branch_id"], "step": "int", "tomb_id": tomb, "symbol_id": symbol, "set_id": "binary", "old_id": "binary", "path": "string", "confidence": "double"}
+
+    def rows(df: DataFrame, step: int, **named: str) -> DataFrame:
+        there = {"branch_id": F.col("branch_id"), "step": F.lit(step)} | {k: F.col(c) for k, c in named.items()}
+        return df.select(*(there.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in fields.items()))
+
+    pairs = rows(alike, 0, set_id="new_id", old_id="old_id", confidence="confidence")
+    olds = rows(t, 1, tomb_id="id", set_id="set_id", path="file_path")
+    news = rows(s, 2, symbol_id="id", set_id="set_id", path="file_path")
+    all_rows = pairs.unionByName(olds).unionByName(news).unionByName(rows(within, 2, tomb_id="tomb_id", symbol_id="symbol_id", confidence="confidence"))
+    # Branches compete only if one of them has a symbol or tombstone of another.
+    shared = [all_rows.filter(f"{c} IS NOT NULL").groupBy(c).agg((F.min("branch_id") < F.max("branch_id")).alias("several")).filter("several") for c in ("tomb_id", "symbol_id")]
+    alone = all(x.isEmpty() for x in shared)
+    all_rows = all_rows.repartition("branch_id") if alone else all_rows.withColumn("branch_id", F.lit(0).cast(fields["branch_id"])).repartition(1)
+    all_rows = all_rows.sortWithinPartitions("branch_id", "step", "symbol_id", F.desc("confidence"), "tomb_id").drop("step")
+    return ws.write(all_rows.mapInArrow(_settled, f"tomb_id {tomb}, symbol_id {symbol}, confidence double, cross_file boolean"), "won")
+
+
+class _Branch:
+    """What the symbols of a branch, in order, have left to take."""
+
+    def __init__(self) -> None:
+        self.near: dict[bytes, list[tuple[float, bytes]]] = {}  # of a new set the old ones, the most alike first
+        self.olds: dict[bytes, tuple[list[int], list[int]]] = {}  # of an old set its tombstones in order, and where the next is that may be left
+        self.ids, self.paths, self.taken = [], [], set()
+
+    def pair(self, new: bytes, old: bytes, confidence: float) -> None:
+        self.near.setdefault(new, []).append((confidence, old))
+        self.olds.setdefault(old, ([], []))
+
+    def tombstone(self, tomb: object, own: bytes, path: str) -> None:
+        if own in self.olds:
+            at, after = self.olds[own]
+            at.append(len(self.ids))
+            after.append(len(after))
+            self.ids.append(tomb)
+            self.paths.append(path)
+
+    def first(self, old: bytes, path: str) -> int | None:
+        """The first tombstone of a set that is left and of another file."""
+        at, after = self.olds[old]
+        i = 0
+        while i < len(at):
+            j = i
+            while j < len(at) and (after[j] != j or self.ids[at[j]] in self.taken):
+                if after[j] == j:
+                    after[j] = j + 1
+                j = after[j]
+            while i < j:
+                after[i], i = j, after[i]
+            if j < len(at) and self.paths[at[j]] != path:
+                return at[j]
+            i = j + 1
+        return None
+
+    def best(self, within: list[tuple[object, float]], places: list[tuple[bytes, str]]) -> tuple[object, float, bool] | None:
+        for tomb, confidence in within:
+            if tomb not in self.taken:
+                return tomb, confidence, False
+        found = None
+        for own, path in places:
+            for confidence, old in self.near.get(own, ()):
+                if found and confidence < found[0]:
+                    break
+                i = self.first(old, path)
+                if i is not None and (not found or confidence > found[0] or i < found[1]):
+                    found = confidence, i
+        return (self.ids[found[1]], found[0], True) if found else None
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tombstone of each symbol that gets one, of branches one after the other: pairs of sets, then tombstones, then symbols, all in order."""
+    state, branch, symbol, within, places, schema = _Branch(), None, None, [], [], None
+    won: list[tuple] = []
+
+    def settle() -> None:
+        got = state.best(within, places) if symbol is not None else None
+        if got:
+            state.taken.add(got[0])
+            won.append((got[0], symbol, got[1], got[2]))
+        within.clear()
+        places.clear()
+
+    def told() -> pa.RecordBatch:
+        columns = [[*x] for x in zip(*won)] or [[], [], [], []]
+        won.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, schema)], ["tomb_id", "symbol_id", "confidence", "cross_file"])
+
+    for b in batches:
+        schema = [b.schema.field("tomb_id").type, b.schema.field("symbol_id").type, pa.float64(), pa.bool_()]
+        for of, tomb, who, own, old, path, confidence in zip(*(b.column(c).to_pylist() for c in ("branch_id", "tomb_id", "symbol_id", "set_id", "old_id", "path", "confidence"))):
+            if of != branch or who != symbol:
+                settle()
+                symbol = who
+            if of != branch:
+                state, branch = _Branch(), of
+            if who is None and old is not None:
+                state.pair(own, old, confidence)
+            elif who is None:
+                state.tombstone(tomb, own, path)
+            elif own is not None:
+                places.append((own, path))
+            else:
+                within.append((tomb, confidence))
+        yield told()
+    if schema:
+        settle()
+        yield told()
+
+
 def tombstones_to_collect(revisions: DataFrame, bindings: DataFrame, snapshots: DataFrame, in_flight: DataFrame, edges: DataFrame, now_ms: int, days: int) -> DataFrame:
     """revision_id of tombstones old enough (or without a time) that no binding, snapshot, mutation or inbound edge needs.
 

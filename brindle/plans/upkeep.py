@@ -359,7 +359,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i1_best_renames")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.best_renames(_all_renames(spark, d)).drop("cross_file")
+    return R.settled_renames(*_rename_sides(spark, d), Policy()).select("symbol_id", "tomb_id", "confidence")
 
 
 @query("i2_rename_candidates", W + f"SELECT revision_id FROM g_full WHERE status = 'Tombstone' AND tombstoned_at_ms >= {NOW_MS} - 2000 * 86400000::BIGINT")

@@ -212,6 +212,47 @@ def test_many_equal_bodies_are_settled_in_order(spark):
 # --- integrity, scores
 
 
+def test_settled_renames_are_the_best_of_all_scores(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["def", "return", *(f"w{i}" for i in range(6))]
+    bodies = [" ".join(rng.sample(words, rng.randrange(2, 9))) for _ in range(12)]
+    fields = "branch_id bigint, id bigint, file_path string, kind string, qualified_name string, body string"
+    for shared in (False, True):  # whether a symbol may be new on two branches
+        row = lambda i: (rng.randrange(2), i, f"f{rng.randrange(6)}.py", rng.choice(["Function", "Class"]), f"n{rng.randrange(30)}", rng.choice([*bodies, None]))  # noqa: B023, E731
+        sides = [[row(i) for i in range(120)], [row(1000 + (i // 2 if shared else i)) for i in range(120)]]
+        t, s = (spark.createDataFrame(x, fields) for x in sides)
+        scores = {(r.tomb_id, r.symbol_id, r.cross_file, r.confidence) for r in R.all_rename_scores(t, s, Policy()).collect()}
+        want, taken = set(), set()
+        for who in sorted({x[1] for x in scores}):
+            free = sorted((cross, -c, tomb) for tomb, x, cross, c in scores if x == who and tomb not in taken)
+            if free:
+                taken.add(free[0][2])
+                want.add((free[0][2], who, -free[0][1], free[0][0]))
+        assert {(r.tomb_id, r.symbol_id, r.confidence, r.cross_file) for r in R.settled_renames(t, s, Policy()).collect()} == want
+        assert len(want) > 40 and {x[3] for x in want} == {False, True}
+
+
+def test_pairs_of_equal_bodies_are_not_written(spark, monkeypatch):
+    from brindle.operators import identity as I
+    from brindle.workspace import Workspace
+
+    written, write = {}, Workspace.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    body, n = "def total(a): return price * quantity + digits", 150
+    t = spark.createDataFrame([(1, i, i, f"old{i}.py", "Function", f"old{i}.py::a", body, 0) for i in range(n)], "branch_id bigint, revision_id bigint, identity_id bigint, file_path string, kind string, qualified_name string, body string, tombstoned_at_ms bigint")
+    s = spark.createDataFrame([(1, 1000 + i, f"new{i}.py", "Function", f"new{i}.py::b", body) for i in range(n)], "branch_id bigint, symbol_id bigint, file_path string, kind string, qualified_name string, body string")
+    got = {(r.symbol_id, r.identity_id) for r in I.resolve_or_create(s, t, Policy(rename_window_days=0), 0).collect()}
+    assert got == {(1000 + i, i) for i in range(n)} and max(written.values()) <= 2 * n
+
+
 def test_audit_chain(spark):
     rec = spark.createDataFrame([(i * 10, i % 2, "a") for i in range(9)], "ts_ms bigint, session_id bigint, action string")
     chain = A.chain_epochs(A.seal_epochs(rec, 30))
