@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
@@ -10,18 +10,18 @@ from brindle.operators.graph import Policy
 from brindle.operators.retention import rename_candidates, settled_renames
 
 
-def resolve_or_create(symbols: DataFrame, tombstones: DataFrame, policy: Policy, now_ms: int) -> DataFrame:
+def resolve_or_create(symbols: DataFrame, tombstones: DataFrame, policy: Policy, now_ms: int, bodies: DataFrame | None = None) -> DataFrame:
     """(branch_id, symbol_id, identity_id, tomb_id, confidence, resolver): the identity of each new symbol.
 
     symbols: branch_id, symbol_id (the proposed identity), file_path, kind, qualified_name, body. tombstones: branch_id,
-    revision_id, identity_id, file_path, kind, qualified_name, body, tombstoned_at_ms. A symbol takes over the identity of
-    the best tombstone of its file, else of another file; each tombstone once, in the order of symbols. All others keep
+    revision_id, identity_id, file_path, kind, qualified_name, body, tombstoned_at_ms. With bodies (body_id, body), both have
+    a body_id instead of a body. A symbol takes over the identity of the best tombstone of its file, else of another file; each tombstone once, in the order of symbols. All others keep
     the proposed identity, and tomb_id, confidence and resolver are null. resolver is Textual if the name alone has that
     confidence, else Ast. Identities are deterministic, so that no allocation has to be guarded against a second writer.
     """
     old = rename_candidates(tombstones, now_ms, policy.rename_window_days).withColumn("id", F.col("revision_id"))
     new = symbols.withColumn("id", F.col("symbol_id"))
-    won = settled_renames(old, new, policy).select("tomb_id", "symbol_id", "confidence", "cross_file")
+    won = settled_renames(old, new, policy, bodies).select("tomb_id", "symbol_id", "confidence", "cross_file")
     was = old.select(F.col("revision_id").alias("tomb_id"), F.col("identity_id").alias("old_identity"), F.col("qualified_name").alias("old_name"))
     near = S.name_proximity(F.col("old_name"), F.col("qualified_name"))
     named = ~F.col("cross_file") & (near >= policy.name_proximity) & (near >= F.col("confidence"))
@@ -29,10 +29,15 @@ def resolve_or_create(symbols: DataFrame, tombstones: DataFrame, policy: Policy,
     return j.select("branch_id", "symbol_id", F.coalesce("old_identity", "symbol_id").alias("identity_id"), "tomb_id", "confidence", F.when(F.col("tomb_id").isNotNull(), F.when(named, "Textual").otherwise("Ast")).alias("resolver"))
 
 
+def renamed_edge_id() -> Column:
+    """Of a row of ``resolve_or_create`` with a tombstone, the id of its edge."""
+    return S.stable_id(F.lit("renamed"), F.col("tomb_id").cast("string"), F.col("identity_id").cast("string"))
+
+
 def renamed_from(resolved: DataFrame) -> DataFrame:
     """Edges from each tombstone taken over to its successor: edge_id, ty, source_revision_id, target_identity_id, resolver, last_validation_ms."""
     r = resolved.filter("tomb_id IS NOT NULL")
-    return r.select(S.stable_id(F.lit("renamed"), F.col("tomb_id").cast("string"), F.col("identity_id").cast("string")).alias("edge_id"), F.lit("RenamedFrom").alias("ty"), F.col("tomb_id").alias("source_revision_id"), F.col("identity_id").alias("target_identity_id"), "resolver", F.lit(0).cast("bigint").alias("last_validation_ms"))
+    return r.select(renamed_edge_id().alias("edge_id"), F.lit("RenamedFrom").alias("ty"), F.col("tomb_id").alias("source_revision_id"), F.col("identity_id").alias("target_identity_id"), "resolver", F.lit(0).cast("bigint").alias("last_validation_ms"))
 
 
 def stabilized(symbols: DataFrame, live: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
@@ -34,11 +37,6 @@ def rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) ->
     proximity's threshold; bodies, with the leaf names masked, from the body threshold (0.4 within a file at most) and need
     at least one meaningful token; where both bodies are known a body signal is required.
     """
-    return _scored_within(tombstones, symbols, policy).select("tomb_id", "symbol_id", "confidence")
-
-
-def _scored_within(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
-    """The rows of ``rename_scores`` with their file_path and branch_id."""
     key = [c for c in ("branch_id", "file_path") if c in tombstones.columns]
 
     def side(df: DataFrame, as_id: str, as_name: str, as_body: str, as_toks: str) -> DataFrame:
@@ -54,19 +52,23 @@ def _scored_within(tombstones: DataFrame, symbols: DataFrame, policy: Policy) ->
     name = F.when(F.col("near") >= policy.name_proximity, F.col("near"))
     both = F.col("old_body") & F.col("new_body")
     best = F.greatest(F.coalesce(name, F.lit(0.0)), F.coalesce("alike", F.lit(0.0)))
-    return p.filter(~both | F.col("alike").isNotNull()).select(*key, "tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
+    return p.filter(~both | F.col("alike").isNotNull()).select("tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
 
 
 #: Bits of a token set's sketch, and how many of the most frequent tokens are told apart when tokens are ordered by rarity.
 SKETCH_BITS, FREQUENT_TOKENS = 256, 20_000
 _WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: A join of all rows is made in so many parts at most, of this many rows or more, so that what is shuffled for one part lies on disk at a time.
+PARTS, PART_ROWS = 8, 500_000
+
 
+def _signed(least: float, held: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each set with its tokens as codes, those without a code as they are, its rarest tokens, hashed, of which one as similar has one among its own, and the parity of its tokens by hash."""
+    code = {x: i for i, x in enumerate(held)}
 
-def _sketched(least: float, held: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each set its rarest tokens, hashed, of which one as similar has one among its own, and the parity of its tokens by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths, rarest, sketches = [], [], []
+            lengths, codes, rare, rarest, sketches = [], [], [], [], []
             for toks in b.column("toks").to_pylist():
                 n, bits = len(toks), 0
                 toks.sort(key=lambda x: (held.get(x, 0), x))
@@ -74,83 +76,246 @@ def _sketched(least: float, held: dict[str, int]) -> Callable[[Iterator[pa.Recor
                 for h in hashes:
                     bits ^= 1 << h % SKETCH_BITS
                 lengths.append(n)
+                codes.append(sorted(code[x] for x in toks if x in code))
+                rare.append([x for x in toks if x not in code])
                 rarest.append([h - 2**31 for h in hashes[: n - math.ceil(n * least - 1e-9) + 1]])
                 sketches.append(bits.to_bytes(SKETCH_BITS // 8, "little"))
             words = [pa.array([int.from_bytes(x[i * 8 : i * 8 + 8], "little", signed=True) for x in sketches], pa.int64()) for i in range(len(_WORDS))]
-            kept = ["branch_id", "set_id", "old", "new"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lengths, pa.int32()), pa.array(rarest, pa.list_(pa.int32())), *words], [*kept, "n", "rarest", *_WORDS])
+            arrays = [pa.array(lengths, pa.int32()), pa.array(codes, pa.list_(pa.int16())), pa.array(rare, pa.list_(pa.string())), pa.array(rarest, pa.list_(pa.int32())), *words]
+            kept = [c for c in b.schema.names if c != "toks"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *arrays], [*kept, "n", "codes", "rare", "rarest", *_WORDS])
 
     return run
 
 
-def _similar_sets(sets: DataFrame, least: float, ws: Workspace) -> DataFrame:
-    """(old_id, new_id) of different sets (branch_id, set_id, toks, old, new) of a branch that may be so alike: all that are, and few others.
+def _held(sets: DataFrame) -> dict[str, int]:
+    """The most frequent tokens with how many sets hold them.
 
-    Two sets so alike share one of their rarest tokens, and at the first they share enough tokens are left in both; of their
-    tokens few are in one set only, and each of those flips one bit of the sketch. So pairs are told by fixed columns while
-    they are joined, and only those left are compared token by token.
+    Any order of the tokens finds the same pairs: one by how many sets hold them finds few others. Rarer tokens than these tie.
     """
-    # Any order of the tokens finds the same pairs: one by how many sets hold them finds few others. Rarer tokens than these tie.
     held = sets.select(F.explode("toks").alias("tok")).groupBy("tok").count().orderBy(F.desc("count"), "tok").limit(FREQUENT_TOKENS)
-    held = {r[0]: r[1] for r in held.collect()}
-    kept = sets.select("branch_id", "set_id", "old", "new")
-    fields = [*(f"{c} {kind}" for c, kind in kept.dtypes), "n int", "rarest array<int>", *(f"{x} bigint" for x in _WORDS)]
-    signed = ws.write(sets.mapInArrow(_sketched(least, held), ", ".join(fields)), "signed")
+    return {r[0]: r[1] for r in held.collect()}
+
 
-    def side(which: str, p: str) -> DataFrame:
-        return signed.filter(which).select("branch_id", F.col("set_id").alias(f"{which}_id"), F.col("n").alias(f"{p}_n"), *(F.col(x).alias(f"{p}_{x}") for x in _WORDS), F.posexplode("rarest").alias(f"{p}_at", f"{p}_tok"))
+def _sign(sets: DataFrame, least: float, held: dict[str, int]) -> DataFrame:
+    kept = [f"{c} {kind}" for c, kind in sets.dtypes if c != "toks"]
+    return sets.mapInArrow(_signed(least, held), ", ".join([*kept, "n int", "codes array<smallint>", "rare array<string>", "rarest array<int>", *(f"{x} bigint" for x in _WORDS)]))
 
-    a, b = side("old", "a"), side("new", "b")
-    total = F.col("a_n") + F.col("b_n")
-    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+
+def _similar_sets(sets: DataFrame, least: float, ws: Workspace, parts: int = 1) -> DataFrame:
+    """(branch_id, old_id, new_id) of different sets (branch_id, set_id, toks, old, new) of a branch that may be so alike: all that are, and few others.
+
+    Two sets so alike share one of their rarest tokens, and at the first they share enough tokens are left in both; of their
+    tokens few are in one set only, and each of those flips one bit of the sketch. So pairs are told by fixed columns while
+    they are joined, and only those left are compared token by token. Sets may have what ``_sign`` gives instead of toks.
+    """
+    signed = ws.write(_sign(sets, least, _held(sets)), "signed") if "toks" in sets.columns else sets
+    a_n, b_n = F.col("a_n"), F.col("b_n")
+    left = F.least(a_n - F.col("a_at"), b_n - F.col("b_at"))
     flipped = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _WORDS), F.lit(0))
-    sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-9
-    near = sizes & (left >= total * (least / (1 + least)) - 1e-9) & (flipped <= total * ((1 - least) / (1 + least)) + 1e-9)
-    p = a.join(b, (a["branch_id"] == b["branch_id"]) & (F.col("a_tok") == F.col("b_tok")) & near & (F.col("old_id") != F.col("new_id")))
-    return p.select("old_id", "new_id").distinct()
+    sizes = F.least(a_n, b_n) >= F.greatest(a_n, b_n) * least - 1e-9
+    near = sizes & (left >= (a_n + b_n) * (least / (1 + least)) - 1e-9) & (flipped <= (a_n + b_n) * ((1 - least) / (1 + least)) + 1e-9)
+
+    def pairs(k: int) -> DataFrame:
+        def side(which: str, p: str) -> DataFrame:
+            s = signed.filter(which).select("branch_id", F.col("set_id").alias(f"{which}_id"), F.col("n").alias(f"{p}_n"), *(F.col(x).alias(f"{p}_{x}") for x in _WORDS), F.posexplode("rarest").alias(f"{p}_at", "tok"))
+            return s.filter(F.pmod("tok", F.lit(parts)) == k)
+
+        p = side("old", "a").join(side("new", "b"), ["branch_id", "tok"]).filter(near & (F.col("old_id") != F.col("new_id")))
+        return p.select("branch_id", "old_id", "new_id").distinct()
+
+    found = ws.write(_in_parts(ws, "pairs", parts, pairs).distinct(), "pairs")
+    ws.drop(*(f"pairs{k}" for k in range(parts)))
+    return found
+
+
+def _in_parts(ws: Workspace, name: str, parts: int, part: Callable[[int], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [ws.write(part(k), f"{name}{k}") for k in range(parts)])
+
+
+def _jaccard(a: str, b: str) -> Column:
+    """Of two sets that aren't empty."""
+    shared = F.size(F.array_intersect(f"{a}_codes", f"{b}_codes")) + F.size(F.array_intersect(f"{a}_rare", f"{b}_rare"))
+    return shared / (F.col(f"{a}_n") + F.col(f"{b}_n") - shared)
+
+
+#: So many old and new rows of a file are compared at a time.
+BLOCK = 128
+
+
+def _entries(codes: pa.ListArray, rare: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all rows as numbers, and where each row's begin and end; a null has none."""
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (codes, rare)]
+    values = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if sizes[1].any():
+        others = rare.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + FREQUENT_TOKENS
+        row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+        values = np.concatenate([values, others])[np.argsort(row, kind="stable")]
+    return values, np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+
+
+def _compared(least: float, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of an old and a new row of a file (rows in order of branch and file, the old ones first) whose sets are alike or of which one is unknown."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: t.column(c).combine_chunks() for c in t.schema.names}
+        values, at = _entries(col["codes"], col["rare"])
+        known, old = (col[c].to_numpy(zero_copy_only=False) for c in ("known", "old"))
+        place = np.full(int(values.max(initial=0)) + 1, -1)
+        starts = [0, *(np.flatnonzero(_differs(col)) + 1), len(old)]
+        left, right, score = [], [], []
+        for s, e in zip(starts, starts[1:]):
+            mid = s + int(old[s:e].sum())
+            for i in range(s, mid, BLOCK):
+                j = min(i + BLOCK, mid)
+                there, own = np.unique(values[at[i] : at[j]], return_inverse=True)
+                place[there] = np.arange(len(there))
+                n = np.diff(at[i : j + 1])
+                a = np.zeros((j - i, len(there)), np.float32)
+                a[np.repeat(np.arange(j - i), n), own] = 1
+                for k in range(mid, e, BLOCK):
+                    h = min(k + BLOCK, e)
+                    m = np.diff(at[k : h + 1])
+                    b = np.zeros((h - k, len(there)), np.float32)
+                    other = place[values[at[k] : at[h]]]
+                    b[np.repeat(np.arange(h - k), m)[other >= 0], other[other >= 0]] = 1
+                    shared = (a @ b.T).astype(np.float64)
+                    body = shared / np.maximum(n[:, None] + m[None, :] - shared, 1)
+                    alike = (np.minimum(n[:, None], m[None, :]) >= 1) & (body >= least)
+                    x, y = np.nonzero(alike | ~(known[i:j, None] & known[None, k:h]))
+                    left.append(x + i)
+                    right.append(y + k)
+                    score.append(np.where(alike, body, -1.0)[x, y])
+                place[there] = -1
+        if left:
+            x, y, found = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+            yield pa.RecordBatch.from_arrays([col["branch_id"].take(pa.array(x)), col["id"].take(pa.array(x)), col["id"].take(pa.array(y)), col["leaf"].take(pa.array(x)), col["leaf"].take(pa.array(y)), pa.array(found, mask=found < 0)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.flatnonzero(_differs({c: b.column(c) for c in ("branch_id", "file_path")}))
+            last = int(new[-1]) + 1 if len(new) else 0
+            if waiting and not last and all(waiting[-1].column(c)[-1] == b.column(c)[0] for c in ("branch_id", "file_path")):
+                waiting.append(b)
+                continue
+            # The last file of a batch may go on in the next.
+            if waiting or last:
+                yield from pairs(pa.Table.from_batches([*waiting, b.slice(0, last)]))
+            waiting = [b.slice(last)]
+        if waiting:
+            yield from pairs(pa.Table.from_batches(waiting))
+
+    return run
 
 
-def _alike_bodies(tombstones: DataFrame, symbols: DataFrame, policy: Policy, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(branch_id, old_id, new_id, confidence) of token sets so alike, and (branch_id, id, file_path, set_id) of both sides.
+def _differs(col: dict[str, pa.Array]) -> np.ndarray:
+    """Of each row but the first, whether it is of another branch or file than the one before."""
+    n = len(col["branch_id"])
+    return np.logical_or(*(pc.not_equal(col[c].slice(1), col[c].slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False).astype(bool) for c in ("branch_id", "file_path")))
 
-    The join is exact: bodies are folded to a branch's distinct token sets, and those that may be alike are found by
-    ``_similar_sets`` and then compared. Tokens are written once a set, not with each row that has them.
+
+class _Bodies:
+    """The rows of both sides and the token sets of their bodies, each body read once however many rows have it.
+
+    rows: branch_id, id, file_path, leaf, old, body_id (null if unknown), own (the meaningful tokens of a body that has the
+    leaf's name in it, with that masked), set_id (null if a body has less than two meaningful tokens). sets: body_id, set_id
+    and what ``_sign`` gives.
     """
-    least = policy.body_similarity
-
-    def bodies(df: DataFrame) -> DataFrame:
-        r = _no_hubs(df).filter("body IS NOT NULL").select("branch_id", "id", "file_path", F.sort_array(S.tokens(F.col("body"))).alias("toks"))
-        told = F.concat_ws(" ", F.col("branch_id").cast("string"), F.col("toks"))
-        return r.filter(F.size(S.meaningful(F.col("toks"))) >= 2).withColumn("set_id", F.substring(F.unhex(F.sha2(told, 256)), 1, 16))
-
-    t, s = bodies(tombstones), bodies(symbols)
-    sets = t.select("set_id", "branch_id", "toks", F.lit(True).alias("old")).unionByName(s.select("set_id", "branch_id", "toks", F.lit(False).alias("old")))
-    sets = ws.write(sets.groupBy("set_id").agg(F.first("branch_id").alias("branch_id"), F.first("toks").alias("toks"), F.max("old").alias("old"), F.max(~F.col("old")).alias("new")), "sets")
-    t, s = ws.write(t.drop("toks"), "old"), ws.write(s.drop("toks"), "new")
-    pairs = ws.write(_similar_sets(sets, least, ws), "pairs")
-    ws.drop("signed")
-    pairs = pairs.join(sets.select("branch_id", F.col("set_id").alias("old_id"), F.col("toks").alias("a")), "old_id").join(sets.select(F.col("set_id").alias("new_id"), F.col("toks").alias("b")), "new_id")
-    alike = pairs.select("branch_id", "old_id", "new_id", S.token_jaccard(F.col("a"), F.col("b")).alias("confidence"))
-    same = sets.filter("old AND new").select("branch_id", F.col("set_id").alias("old_id"), F.col("set_id").alias("new_id"), F.lit(1.0).alias("confidence"))
-    return alike.unionByName(same).filter(F.col("confidence") >= max(least, policy.rename_min_confidence)), t, s
-
-
-def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+
+    def __init__(self, tombstones: DataFrame, symbols: DataFrame, bodies: DataFrame | None, policy: Policy, ws: Workspace):
+        self.policy, self.ws = policy, ws
+        if bodies is None:
+            tombstones, symbols = (x.withColumn("body_id", F.md5("body")) for x in (tombstones, symbols))
+            bodies = tombstones.select("body_id", "body").unionByName(symbols.select("body_id", "body")).dropDuplicates(["body_id"])
+
+        def side(df: DataFrame, old: bool) -> DataFrame:
+            return _no_hubs(df).select("branch_id", "id", "file_path", S.name_leaf(F.col("qualified_name")).alias("leaf"), "body_id", F.lit(old).alias("old"))
+
+        bodies = bodies.filter("body IS NOT NULL").select("body_id", "body")
+        told = ws.write(bodies.select("body_id", F.sort_array(S.tokens(F.col("body"))).alias("toks")), "texts")
+        set_id = F.when(F.size(S.meaningful(F.col("toks"))) >= 2, F.substring(F.unhex(F.sha2(F.concat_ws(" ", "toks"), 256)), 1, 16))
+        sets = told.select("body_id", set_id.alias("set_id"), "toks")
+        both = side(tombstones, True).unionByName(side(symbols, False))
+        self.parts = min(PARTS, 1 + both.count() // PART_ROWS)
+        masked = F.array_except(S.meaningful(S.tokens(S.mask_identifier(F.col("body"), F.col("leaf")))), F.array(F.lit(S.MASK)))
+        own = F.when((F.length("leaf") > 0) & F.contains("body", "leaf"), F.sort_array(masked))
+        few = math.ceil(self.parts / 4)
+
+        def joined(k: int) -> DataFrame:
+            mine = F.coalesce(F.pmod(F.hash(F.col("body_id").cast("string")), F.lit(few)), F.lit(0)) == k
+            j = both.filter(mine).join(bodies.filter(mine), "body_id", "left").join(sets.filter(mine).select("body_id", "set_id"), "body_id", "left")
+            return j.select("branch_id", "id", "file_path", "leaf", "old", F.when(F.col("body").isNotNull(), F.col("body_id")).alias("body_id"), own.alias("own"), "set_id")
+
+        self.rows = _in_parts(ws, "rows", few, joined)
+        self.held = _held(sets)
+        self.sets = ws.write(_sign(sets, policy.body_similarity, self.held), "sets")
+        ws.drop("texts")
+
+    def within(self) -> DataFrame:
+        """(branch_id, tomb_id, symbol_id, confidence) of the rows of ``rename_scores``."""
+        policy, least = self.policy, min(self.policy.body_similarity, 0.4)
+        own_id = F.sha2(F.concat_ws(" ", "own"), 256)
+        own = self.rows.filter("own IS NOT NULL").select(F.concat(F.lit("own "), own_id).alias("key"), F.col("own").alias("toks")).dropDuplicates(["key"])
+        own = self.ws.write(_sign(own, policy.body_similarity, self.held).select("key", "codes", "rare"), "own")
+        dull = {*S.STOP_TOKENS, S.MASK}
+        codes = F.array_except("codes", F.array(*(F.lit(i).cast("smallint") for i, x in enumerate(self.held) if x in dull)).cast("array<smallint>"))
+        sets = self.sets.select(F.col("body_id").cast("string").alias("key"), codes.alias("codes"), F.array_except("rare", F.array(*map(F.lit, sorted(dull)))).alias("rare")).unionByName(own)
+        key = F.when(F.col("own").isNotNull(), F.concat(F.lit("own "), own_id)).otherwise(F.col("body_id").cast("string"))
+        at, kind = ["branch_id", "file_path"], dict(self.rows.dtypes)
+        names, kinds = ["branch_id", "tomb_id", "symbol_id", "old_leaf", "new_leaf", "alike"], [kind["branch_id"], kind["id"], kind["id"], "string", "string", "double"]
+
+        def scored(k: int) -> DataFrame:
+            r = self.rows.filter("branch_id IS NOT NULL AND file_path IS NOT NULL").filter(F.pmod(F.xxhash64(*at), F.lit(self.parts)) == k)
+            r = r.select(*at, "id", "leaf", "old", key.alias("key")).join(sets, "key", "left").select(*at, "id", "leaf", "old", F.col("key").isNotNull().alias("known"), "codes", "rare")
+            p = r.repartition(*at).sortWithinPartitions(*at, F.desc("old")).mapInArrow(_compared(least, names), ", ".join(f"{c} {kind}" for c, kind in zip(names, kinds)))
+            near = S.name_proximity(F.col("old_leaf"), F.col("new_leaf"))
+            best = F.greatest(F.coalesce(F.when(near >= policy.name_proximity, near), F.lit(0.0)), F.coalesce("alike", F.lit(0.0)))
+            return p.select("branch_id", "tomb_id", "symbol_id", best.alias("confidence")).filter(F.col("confidence") >= policy.rename_min_confidence)
+
+        return _in_parts(self.ws, "within", self.parts, scored)
+
+    def alike(self) -> DataFrame:
+        """(branch_id, old_id, new_id, confidence) of token sets so alike, of a branch that has rows of one among the old ones and of the other among the new.
+
+        The join is exact: those that ``_similar_sets`` finds are compared.
+        """
+        least, ws = self.policy.body_similarity, self.ws
+        one = self.sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "codes", "rare", "rarest", *_WORDS)))
+        there = self.rows.filter("set_id IS NOT NULL").groupBy("branch_id", "set_id").agg(F.max("old").alias("old"), F.max(~F.col("old")).alias("new"))
+        one, there = ws.write(one, "one"), ws.write(there, "there")
+        signed = ws.write(there.join(one.drop("codes", "rare"), "set_id"), "signed")
+        found = _similar_sets(signed, least, ws, self.parts)
+        for as_id, p in (("old_id", "a"), ("new_id", "b")):
+            found = found.join(one.select(F.col("set_id").alias(as_id), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "codes", "rare"))), as_id)
+        found = found.select("branch_id", "old_id", "new_id", _jaccard("a", "b").alias("confidence"))
+        same = there.filter("old AND new").select("branch_id", F.col("set_id").alias("old_id"), F.col("set_id").alias("new_id"), F.lit(1.0).alias("confidence"))
+        out = ws.write(found.unionByName(same).filter(F.col("confidence") >= max(least, self.policy.rename_min_confidence)), "alike")
+        ws.drop("one", "there", "signed", "pairs")
+        return out
+
+
+def cross_file_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy, bodies: DataFrame | None = None) -> DataFrame:
     """(tomb_id, symbol_id, confidence): tombstones and new symbols of one branch, but of different files, with similar bodies.
 
     Both: branch_id, id, file_path, kind, qualified_name, body; file hubs take no part. Each body needs two meaningful
-    tokens, and the Jaccard similarity of all tokens must reach the body threshold.
+    tokens, and the Jaccard similarity of all tokens must reach the body threshold. With bodies (body_id, body), rows have a
+    body_id instead of a body.
     """
-    alike, t, s = _alike_bodies(tombstones, symbols, policy, Workspace(tombstones.sparkSession, "moved"))
-    t = t.select(F.col("set_id").alias("old_id"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
-    s = s.select(F.col("set_id").alias("new_id"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
-    return alike.join(t, "old_id").join(s, "new_id").filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
+    found = _Bodies(tombstones, symbols, bodies, policy, Workspace(tombstones.sparkSession, "moved", tidy=True))
+    t, s = found.rows.filter("old"), found.rows.filter("NOT old")
+    t = t.select("branch_id", F.col("set_id").alias("old_id"), F.col("id").alias("tomb_id"), F.col("file_path").alias("old_path"))
+    s = s.select("branch_id", F.col("set_id").alias("new_id"), F.col("id").alias("symbol_id"), F.col("file_path").alias("new_path"))
+    return found.alike().join(t, ["branch_id", "old_id"]).join(s, ["branch_id", "new_id"]).filter("old_path != new_path").select("tomb_id", "symbol_id", "confidence")
 
 
-def all_rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+def all_rename_scores(tombstones: DataFrame, symbols: DataFrame, policy: Policy, bodies: DataFrame | None = None) -> DataFrame:
     """(tomb_id, symbol_id, confidence, cross_file) of both kinds of pairs; columns as for ``cross_file_scores``."""
-    within = rename_scores(tombstones, symbols, policy).withColumn("cross_file", F.lit(False))
-    return within.unionByName(cross_file_scores(tombstones, symbols, policy).withColumn("cross_file", F.lit(True)))
+    whole = [df if bodies is None else df.join(bodies, "body_id", "left") for df in (tombstones, symbols)]
+    within = rename_scores(*whole, policy).withColumn("cross_file", F.lit(False))
+    return within.unionByName(cross_file_scores(tombstones, symbols, policy, bodies).withColumn("cross_file", F.lit(True)))
 
 
 #: After so many rounds the symbols that still compete are settled one after the other.
@@ -196,34 +361,37 @@ def best_renames(scores: DataFrame) -> DataFrame:
     return won.unionByName(ws.write(rest, "rest"))
 
 
-def settled_renames(tombstones: DataFrame, symbols: DataFrame, policy: Policy) -> DataFrame:
+def settled_renames(tombstones: DataFrame, symbols: DataFrame, policy: Policy, bodies: DataFrame | None = None) -> DataFrame:
     """``best_renames`` of ``all_rename_scores``, without the pairs of equal bodies, which grow as the square of their rows.
 
-    Pairs within files are written; those across files stay pairs of token sets and the rows of each set. One task a branch
-    reads its symbols in order and holds the tombstones of the sets that are alike.
+    With bodies (body_id, body), rows have a body_id instead of a body. Pairs within files are written; those across files
+    stay pairs of token sets and the rows of each set. One task a branch reads its symbols in order and holds the tombstones
+    of the sets that are alike.
     """
-    ws = Workspace(tombstones.sparkSession, "settled")
-    alike, t, s = _alike_bodies(tombstones, symbols, policy, ws)
-    alike = ws.write(alike, "alike")
-    ws.drop("sets", "pairs")
-    within = ws.write(_scored_within(tombstones, symbols, policy).drop("file_path"), "within")
-    tomb, symbol = dict(within.dtypes)["tomb_id"], dict(within.dtypes)["symbol_id"]
-    fields = {"branch_id": dict(within.dtypes)["branch_id"], "step": "int", "tomb_id": tomb, "symbol_id": symbol, "set_id": "binary", "old_id": "binary", "path": "string", "confidence": "double"}
+    ws = Workspace(tombstones.sparkSession, "settled", tidy=True)
+    found = _Bodies(tombstones, symbols, bodies, policy, ws)
+    within, alike, there = found.within(), found.alike(), found.rows
+    ws.drop("sets", "own")
+    kinds = dict(there.dtypes)
+    fields = {"branch_id": kinds["branch_id"], "step": "int", "tomb_id": kinds["id"], "symbol_id": kinds["id"], "set_id": "binary", "old_id": "binary", "path": "string", "confidence": "double"}
+    # Branches compete only if one of them has a symbol or tombstone of another.
+    alone = there.groupBy("old", "id").agg((F.min("branch_id") < F.max("branch_id")).alias("several")).filter("several").isEmpty()
 
     def rows(df: DataFrame, step: int, **named: str) -> DataFrame:
-        there = {"branch_id": F.col("branch_id"), "step": F.lit(step)} | {k: F.col(c) for k, c in named.items()}
-        return df.select(*(there.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in fields.items()))
+        has = {"branch_id": F.col("branch_id"), "step": F.lit(step)} | {k: F.col(c) for k, c in named.items()}
+        if not alone:
+            has |= {k: F.concat(F.encode(F.concat(F.col("branch_id").cast("string"), F.lit(" ")), "UTF-8"), has[k]) for k in ("set_id", "old_id") if k in has}
+        return df.select(*(has.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in fields.items()))
 
     pairs = rows(alike, 0, set_id="new_id", old_id="old_id", confidence="confidence")
-    olds = rows(t, 1, tomb_id="id", set_id="set_id", path="file_path")
-    news = rows(s, 2, symbol_id="id", set_id="set_id", path="file_path")
+    olds = rows(there.filter("old AND set_id IS NOT NULL"), 1, tomb_id="id", set_id="set_id", path="file_path")
+    news = rows(there.filter("NOT old AND set_id IS NOT NULL"), 2, symbol_id="id", set_id="set_id", path="file_path")
     all_rows = pairs.unionByName(olds).unionByName(news).unionByName(rows(within, 2, tomb_id="tomb_id", symbol_id="symbol_id", confidence="confidence"))
-    # Branches compete only if one of them has a symbol or tombstone of another.
-    shared = [all_rows.filter(f"{c} IS NOT NULL").groupBy(c).agg((F.min("branch_id") < F.max("branch_id")).alias("several")).filter("several") for c in ("tomb_id", "symbol_id")]
-    alone = all(x.isEmpty() for x in shared)
     all_rows = all_rows.repartition("branch_id") if alone else all_rows.withColumn("branch_id", F.lit(0).cast(fields["branch_id"])).repartition(1)
     all_rows = all_rows.sortWithinPartitions("branch_id", "step", "symbol_id", F.desc("confidence"), "tomb_id").drop("step")
-    return ws.write(all_rows.mapInArrow(_settled, f"tomb_id {tomb}, symbol_id {symbol}, confidence double, cross_file boolean"), "won")
+    won = ws.write(all_rows.mapInArrow(_settled, f"tomb_id {kinds['id']}, symbol_id {kinds['id']}, confidence double, cross_file boolean"), "won")
+    ws.drop(*(x for x in [*ws.kept] if x != "won"))
+    return won
 
 
 class _Branch:

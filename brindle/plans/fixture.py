@@ -33,7 +33,8 @@ def relations(ms: str, t: dict[str, str]) -> dict[str, str]:
 SPARK_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({x} AS TIMESTAMP_NTZ))"
 
 
-#: Graphs stored so far, by session and folder.
+#: Relations and graphs stored so far, by session and folder.
+_RELATIONS: dict[tuple, dict[str, DataFrame]] = {}
 _STORED: dict[tuple, Graph] = {}
 
 
@@ -43,17 +44,27 @@ def _changed(d: str) -> tuple[float, ...]:
     return tuple(sorted(e.stat().st_mtime for e in os.scandir(at))) if os.path.isdir(at) else ()
 
 
+def _key(spark: SparkSession, d: str) -> tuple:
+    # A folder whose files have changed is another one.
+    return (spark.sparkContext.applicationId, d, _changed(d))
+
+
+def relation(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A relation of the graph of a data folder, stored once a session together with those that it is made of, and no others."""
+    have = _RELATIONS.setdefault(_key(spark, d), {})
+    names = {n: "{" + n + "}" for n in (*USED, "g_identities", "g_revisions", "g_edges")}
+    sql = relations(SPARK_MS, names)[name]
+    if name not in have:
+        of = {n: table(spark, d, n) if n in USED else relation(spark, d, n) for n, x in names.items() if x in sql}
+        have[name] = Workspace(spark, "graph", tidy=True).write(spark.sql(sql, **of), name)
+    return have[name]
+
+
 def graph(spark: SparkSession, d: str) -> Graph:
     """The graph of a data folder: derived and stored as tables once a session, as the engine's own tables would be."""
-    # A folder whose files have changed is another one.
-    key = (spark.sparkContext.applicationId, d, _changed(d))
+    key = _key(spark, d)
     if key not in _STORED:
-        have: dict[str, DataFrame] = {n: table(spark, d, n) for n in USED}
-        names = {n: "{" + n + "}" for n in (*USED, "g_identities", "g_revisions", "g_edges")}
-        ws = Workspace(spark, "graph")
-        for name, sql in relations(SPARK_MS, names).items():
-            have[name] = ws.write(spark.sql(sql, **{n: df for n, df in have.items() if "{" + n + "}" in sql}), name)
-        _STORED[key] = Graph(*(have[f"g_{n}"] for n in ("branches", "identities", "revisions", "edges", "overrides", "deletions")), now_ms=NOW_MS)
+        _STORED[key] = Graph(*(relation(spark, d, f"g_{n}") for n in ("branches", "identities", "revisions", "edges", "overrides", "deletions")), now_ms=NOW_MS)
     return _STORED[key]
 
 

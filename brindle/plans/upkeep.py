@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
@@ -13,7 +13,7 @@ from brindle.operators import merge as M
 from brindle.operators import quality as A
 from brindle.operators import retention as R
 from brindle.operators.graph import Graph, Policy
-from brindle.plans.fixture import NOW_MS, SPARK_MS, graph, with_sql
+from brindle.plans.fixture import NOW_MS, SPARK_MS, graph, relation, with_sql
 from brindle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,11 @@ def full_revisions(g: Graph, spark: SparkSession, d: str) -> DataFrame:
     r = g.revisions.join(bodies_of(spark, d), "doc_id", "left")
     w = Window.partitionBy("branch_id", "identity_id").orderBy("ts_ms", "revision_id")
     ren = g.edges.filter("ty = 'RenamedFrom'").join(g.revisions.select(F.col("revision_id").alias("source_revision_id"), F.col("identity_id").alias("old_id")), "source_revision_id").groupBy(F.col("target_identity_id").alias("identity_id")).agg(F.min("old_id").alias("rename_source_id"))
-    return r.withColumn("parent_revision_id", F.lag("revision_id").over(w)).join(ren, "identity_id", "left").withColumn("tombstoned_at_ms", F.when((F.col("status") == "Tombstone") & (F.col("revision_id") % 7 != 0), F.col("ts_ms")))
+    return r.withColumn("parent_revision_id", F.lag("revision_id").over(w)).join(ren, "identity_id", "left").withColumn("tombstoned_at_ms", tombstoned_at_ms())
+
+
+def tombstoned_at_ms() -> Column:
+    return F.when((F.col("status") == "Tombstone") & (F.col("revision_id") % 7 != 0), F.col("ts_ms"))
 
 
 def bindings_of(g: Graph) -> DataFrame:
@@ -337,9 +341,20 @@ def _rename_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return r.filter("status = 'Tombstone'"), r.filter("status = 'Active'")
 
 
+def _sides_and_bodies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with the ids of their bodies, and the bodies."""
+    r = relation(spark, d, "g_revisions").select("branch_id", F.col("revision_id").alias("id"), "file_path", "kind", "qualified_name", F.col("doc_id").alias("body_id"), "status")
+    return r.filter("status = 'Tombstone'"), r.filter("status = 'Active'"), _document_bodies(spark, d)
+
+
+def _document_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("body_id"), F.col("text").alias("body"))
+
+
 def _all_renames(spark: SparkSession, d: str) -> DataFrame:
     """Scores of every branch and kind, within files and across them."""
-    return R.all_rename_scores(*_rename_sides(spark, d), Policy())
+    t, s, bodies = _sides_and_bodies(spark, d)
+    return R.all_rename_scores(t, s, Policy(), bodies)
 
 
 _STOP = "('def', 'async', 'return', 'pass', 'none', 'true', 'false', 'self', 'cls', 'class')"
@@ -359,7 +374,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i1_best_renames")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.settled_renames(*_rename_sides(spark, d), Policy()).select("symbol_id", "tomb_id", "confidence")
+    t, s, bodies = _sides_and_bodies(spark, d)
+    return R.settled_renames(t, s, Policy(), bodies).select("symbol_id", "tomb_id", "confidence")
 
 
 @query("i2_rename_candidates", W + f"SELECT revision_id FROM g_full WHERE status = 'Tombstone' AND tombstoned_at_ms >= {NOW_MS} - 2000 * 86400000::BIGINT")
@@ -384,10 +400,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("i5_resolved_identities")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Whose identity each Active revision's symbol takes over, if it were new, and the edge that says so."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    r = full_revisions(graph(spark, d), spark, d).join(docs, "doc_id", "left")
-    found = I.resolve_or_create(r.filter("status = 'Active'").withColumn("symbol_id", F.col("revision_id")), r.filter("status = 'Tombstone'"), Policy(rename_window_days=2000, tombstone_retention_days=2000), NOW_MS)
-    return found.join(I.renamed_from(found).select(F.col("source_revision_id").alias("tomb_id"), "edge_id"), "tomb_id", "left").withColumn("confidence", F.round("confidence", 6))
+    r = relation(spark, d, "g_revisions").withColumn("tombstoned_at_ms", tombstoned_at_ms()).withColumnRenamed("doc_id", "body_id")
+    found = I.resolve_or_create(r.filter("status = 'Active'").withColumn("symbol_id", F.col("revision_id")), r.filter("status = 'Tombstone'"), Policy(rename_window_days=2000, tombstone_retention_days=2000), NOW_MS, _document_bodies(spark, d))
+    return found.select("tomb_id", "branch_id", "symbol_id", "identity_id", F.round("confidence", 6).alias("confidence"), "resolver", F.when(F.col("tomb_id").isNotNull(), I.renamed_edge_id()).alias("edge_id"))
 
 
 @query("w5_reverted_patches", "WITH e AS (SELECT CAST(event_id AS VARCHAR) AS patch_id, 'src/m' || user_id || '.py' AS path, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_id AS seq, event_type FROM events) SELECT patch_id, path, CASE WHEN seq < last THEN 'superseded' WHEN before IS NULL THEN 'remove' ELSE 'restore' END AS action, CASE WHEN seq = last THEN before END AS content FROM (SELECT *, max(seq) OVER (PARTITION BY path) AS last FROM e) WHERE event_type = 'purchase'")

@@ -48,12 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's setting that a query's shuffled files are removed when it ends.
+_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
-    """Written tables that cut lineage: they outlive lost executors, and each is dropped once no later step reads it."""
+    """Written tables that cut lineage: they outlive lost executors, and each is dropped once no later step reads it.
+
+    Of a tidy one, what was shuffled for a table is removed as soon as that is written; else when the driver collects garbage.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         ship(spark)
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept: dict[str, str] = {}
         jvm = spark.sparkContext._jvm
@@ -63,7 +71,14 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         at = os.path.join(self.root, name)
-        df.write.mode("overwrite").parquet(at)
+        was = self.spark.conf.get(_REMOVED, None)
+        if self.tidy:
+            self.spark.conf.set(_REMOVED, "true")
+        try:
+            df.write.mode("overwrite").parquet(at)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(_REMOVED, was) if was is not None else self.spark.conf.unset(_REMOVED)
         self.kept[name] = at
         return self.spark.read.schema(df.schema).parquet(at)
 

@@ -253,6 +253,55 @@ def test_pairs_of_equal_bodies_are_not_written(spark, monkeypatch):
     assert got == {(1000 + i, i) for i in range(n)} and max(written.values()) <= 2 * n
 
 
+def test_resolved_identities_store_little(spark, monkeypatch):
+    """Of the graph only what is read, and no text or tokens of a body for each row that has it."""
+    import __spark_entry__ as entry
+    from brindle.plans import fixture
+    from brindle.workspace import Workspace
+
+    written, write = {}, Workspace.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    for kept in ("_STORED", "_RELATIONS"):
+        monkeypatch.setattr(fixture, kept, {}, raising=False)
+    d = "/root/testdata/sf0.001"
+    n = entry.queries()["i5_resolved_identities"](spark, d).count()
+    assert n == spark.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus = 'O'").count()
+    assert {x for x in written if x.startswith("g_")} == {"g_identities", "g_revisions"}
+    assert all(not {"body", "toks"} & {*written[x].columns} for x in written if x.startswith(("old", "new", "rows", "within")))
+
+
+def test_renames_in_parts_and_of_bodies_by_id(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    words = ["def", "Name", "return", *(f"w{i}" for i in range(7))]
+    bodies = [*(" ".join(rng.sample(words, rng.randrange(1, 10))) for _ in range(25)), None]
+    row = lambda i: (rng.randrange(2), i, f"f{rng.randrange(5)}.py", rng.choice(["Function", "Class"]), rng.choice(["x.Name", f"n{rng.randrange(30)}"]), rng.randrange(28))
+    sides = [[row(i) for i in range(150)], [row(1000 + i) for i in range(150)]]
+    fields = "branch_id bigint, id bigint, file_path string, kind string, qualified_name string, "
+    t, s = (spark.createDataFrame([(*x[:5], bodies[x[5]] if x[5] < len(bodies) else None) for x in rows], fields + "body string") for rows in sides)
+    scores = sorted(((r.symbol_id, r.cross_file, -r.confidence, r.tomb_id) for r in R.all_rename_scores(t, s, Policy()).collect()))
+    want, taken, served = set(), set(), set()
+    for who, cross, confidence, tomb in scores:
+        if who not in served and tomb not in taken:
+            served.add(who)
+            taken.add(tomb)
+            want.add((tomb, who, -confidence, cross))
+    by_id = [spark.createDataFrame(rows, fields + "body_id bigint") for rows in sides]
+    texts = spark.createDataFrame([*enumerate(bodies)], "body_id bigint, body string")
+    told = lambda df: {(r.tomb_id, r.symbol_id, r.confidence, r.cross_file) for r in df.collect()}
+    assert len(want) > 60 and told(R.settled_renames(*by_id, Policy(), texts)) == want
+    for name, value in (("PART_ROWS", 40), ("BLOCK", 3), ("FREQUENT_TOKENS", 5)):
+        monkeypatch.setattr(R, name, value)
+    assert told(R.settled_renames(*by_id, Policy(), texts)) == want
+
+
 def test_audit_chain(spark):
     rec = spark.createDataFrame([(i * 10, i % 2, "a") for i in range(9)], "ts_ms bigint, session_id bigint, action string")
     chain = A.chain_epochs(A.seal_epochs(rec, 30))
